@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..functions.compare import OPERATORS, as_text, compare, is_member, same_value
+from ..functions.compare import PREPARED, as_items, compare, is_member, judge, prepare, same_value
 from ..types import (ALLOW_WORDS, DECIDED, RESULT_STATES, SEVERITY_WEIGHT, TVAL, TVAL_DDL, WORST_RANK, bounded, lookup,
                      tval_py)
 
@@ -68,6 +68,12 @@ def with_controls(df: DataFrame, controls: DataFrame, *cols: str) -> DataFrame:
     return df.withColumn("__c", F.explode(packed.scalar())).select(*df.columns, "__c.*")
 
 
+def judged_controls(controls: DataFrame) -> DataFrame:
+    """Controls with their expected value laid out and their state for an absent setting, worked out once per control."""
+    c = prepare(controls, "expected", "e", expected=True).withColumn("__none", F.lit(None).cast(TVAL_DDL))
+    return prepare(c, "__none", "n").withColumn("absent", compare("operator", "n", "e")).drop("__none", *[f"n_{x}" for x in PREPARED])
+
+
 def _read_fields(controls: DataFrame) -> DataFrame:
     reqs = controls.select(F.explode("requires").alias("r")).select(F.col("r.field").alias("field"))
     return controls.select("field").unionByName(reqs).where("field is not null").distinct()
@@ -85,7 +91,8 @@ def scoped_worst(observations: DataFrame, controls: DataFrame) -> DataFrame:
     """Worst state over the scoped instances of a control's field, first in order on a tie."""
     ctl = F.broadcast(bounded(controls.select("control_id", "field", "operator", "expected"), MAX_CONTROLS, "controls"))
     s = observations.where("scope is not null").join(ctl, "field")
-    judged = compare(F.col("operator"), F.col("value"), F.col("expected"))
+    s = judge(s, "operator", "value", "expected", "judged")
+    judged = F.col("judged")
     st = (F.when(F.col("state") == "UNPARSED", F.lit("UNKNOWN"))
           .when((judged == "FAIL") & (F.col("state") == "DEFAULT_ASSUMED"), F.lit("UNKNOWN")).otherwise(judged))
     s = s.withColumn("st", st).withColumn("rk", lookup(F.col("st"), WORST_RANK, 9))
@@ -120,18 +127,17 @@ def evaluate(devices: DataFrame, controls: DataFrame, observations: DataFrame,
                   "control_id", F.struct("state", "observed", "confidence", "evidence", "reason")))).alias("sm")))
     d = devices.join(plain, "device_id", "left").join(scoped, "device_id", "left")
     d = _with_na(d, na_fields, na_domains)
-    g = with_controls(d, controls, "control_id", "title", "field", "operator", "expected", "severity", "tier",
-                      "applies_to", "requires", "frameworks")
-    m, o = F.col("m"), F.element_at("m", F.col("field"))
-    o = F.when(m.isNotNull(), o)
-    failing = F.filter("requires", lambda r: _requirement_fails(m, r))
-    so = F.when(F.col("sm").isNotNull(), F.element_at("sm", F.col("control_id")))
+    g = with_controls(d, judged_controls(controls), "control_id", "title", "field", "operator", "expected", "severity", "tier",
+                      "applies_to", "requires", "frameworks", "absent", *[f"e_{x}" for x in PREPARED])
+    m = F.col("m")
     domain = F.regexp_extract("field", r"^([^.\[]*)", 1)
-    g = (g.withColumn("o", o).withColumn("so", so)
-         .withColumn("req", F.get(failing, F.lit(0)))
-         .withColumn("naf", F.element_at("na_f", F.col("field"))).withColumn("nad", F.element_at("na_d", domain)))
-    direct = compare(F.col("operator"), F.col("o.value"), F.col("expected"))
-    absent = compare(F.col("operator"), F.lit(None).cast(TVAL_DDL), F.col("expected"))
+    failing = F.filter("requires", lambda r: _requirement_fails(m, r))
+    g = g.withColumns({"o": F.when(m.isNotNull(), F.element_at("m", F.col("field"))),
+                       "so": F.when(F.col("sm").isNotNull(), F.element_at("sm", F.col("control_id"))),
+                       "req": F.when(F.size("requires") > 0, F.get(failing, F.lit(0))),
+                       "naf": F.element_at("na_f", F.col("field")), "nad": F.element_at("na_d", domain)})
+    g = prepare(g.withColumn("ov", F.col("o.value")), "ov", "o").withColumn("direct", compare("operator", "o", "e"))
+    direct, absent = F.col("direct"), F.col("absent")
     rv = F.element_at("m", F.col("req.field"))
     steps = [
         ((F.size("applies_to") > 0) & ~F.coalesce(F.array_contains("applies_to", F.col("platform")), F.lit(False)),
@@ -381,7 +387,6 @@ def compliant_value(op: Column, expected: Column, current: Column) -> Column:
     cur = F.when(current["kind"] == "list", current["l"]).otherwise(F.array().cast("array<string>"))
     want = F.floor(F.coalesce(expected["n"], expected["s"].try_cast("double"))).cast("int")
     first = F.when(F.size(items) > 0, F.get(items, F.lit(0)))
-    from ..functions.compare import as_items
     add = F.greatest(want - F.size(cur), F.lit(0))
     filler = F.when(add > 0, F.transform(F.sequence(F.lit(1), F.greatest(add, F.lit(1))),
                                          lambda i: F.concat(F.lit("<added entry "), i.cast("string"), F.lit(">")))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.compare import compare
+from ..functions.compare import judge
 from ..functions.text import base_control
 from ..types import DECIDED, bounded
 
@@ -66,8 +66,9 @@ def framework_state(labelled: DataFrame, profiles: DataFrame) -> DataFrame:
         key = F.when(F.col("platform") == k, v).otherwise(key)
     p = F.broadcast(bounded(profiles.select("framework", "control_id", F.col("platform").alias("pkey"), F.col("expected").alias("own")), 100000, "profiles"))
     j = labelled.withColumn("pkey", key).join(p, ["framework", "control_id", "pkey"], "left")
-    judged = F.when(F.col("state").isin(DECIDED) & F.col("own").isNotNull(), compare(F.col("operator"), F.col("observed"), F.col("own"))).otherwise(F.col("state"))
-    return j.withColumn("fstate", judged).withColumn("profiled", F.col("fstate") != F.col("state")).drop("pkey", "own")
+    j = judge(j, "operator", "observed", "own", "judged")
+    judged = F.when(F.col("state").isin(DECIDED) & F.col("own").isNotNull(), F.col("judged")).otherwise(F.col("state"))
+    return j.withColumn("fstate", judged).withColumn("profiled", F.col("fstate") != F.col("state")).drop("pkey", "own", "judged")
 
 
 def requirement_state(state: Column) -> Column:
