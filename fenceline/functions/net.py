@@ -26,8 +26,7 @@ def mask_len(mask: Column) -> Column:
     m = ip_to_long(mask)
     inv = F.lit(4294967295) - m
     n = F.bit_count(m)
-    dotted = F.when(F.expr("0") == F.lit(1), F.lit(0)).otherwise(
-        F.when(inv.bitwiseAND(inv + 1) == 0, n))
+    dotted = F.when(inv.bitwiseAND(inv + 1) == 0, n)
     return F.coalesce(dotted, F.when(mask.rlike(r"^\d{1,2}$"), F.when(mask.try_cast("int") <= 32, mask.try_cast("int"))))
 
 
@@ -44,69 +43,71 @@ def net_of(addr: Column, mask: Column) -> Column:
     return F.when(a.isNotNull() & p.isNotNull(), F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"), p.cast("int").alias("prefixlen")))
 
 
-def _hex4(n: Column) -> Column:
-    return F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.hex(n), 8, "0"))
-
-
-def _v6_groups(a: Column) -> Column:
-    """An IPv6 address as 32 hex digits; NULL when malformed."""
-    low = F.lower(a)
-    double = F.instr(low, "::") > 0
-    left = F.filter(F.split(F.split_part(low, F.lit("::"), F.lit(1)), ":"), lambda x: x != "")
-    right = F.filter(F.split(F.when(double, F.split_part(low, F.lit("::"), F.lit(2))).otherwise(""), ":"), lambda x: x != "")
-    fill = F.array_repeat(F.lit("0"), F.when(double, F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))).otherwise(0))
-    g = F.concat(left, fill, right)
-    ok = low.rlike(r"^[0-9a-f:]+$") & low.contains(":") & (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(ok, F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
-
-
-def _fill(h: Column, bits: Column, digit_hi: bool) -> Column:
-    """Set the last `bits` bits of a 32-digit key to zero or one."""
-    whole = F.floor(bits / 4).cast("int")
-    part = (bits % 4).cast("int")
-    at = F.lit(32) - whole
-    d = F.conv(F.substring(h, at, F.lit(1)), 16, 10).cast("int")
-    size = F.pow(F.lit(2), part).cast("int")
-    nd = F.when(F.lit(digit_hi), d - d % size + size - 1).otherwise(d - d % size)
-    keep = F.substring(h, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    mid = F.when(at >= 1, F.lower(F.hex(nd.cast("bigint")))).otherwise("")
-    return F.concat(keep, mid, F.repeat(F.lit("f" if digit_hi else "0"), whole))
-
-
-def interval(value: Column) -> Column:
-    """(lo, hi) keys of an address, network or a-b range; NULL for anything else (a name, a tag)."""
-    v = F.trim(value)
-    addr, pfx = F.split_part(v, F.lit("/"), F.lit(1)), F.when(v.contains("/"), F.split_part(v, F.lit("/"), F.lit(2)))
-    n4 = ip_to_long(addr)
-    p4 = F.coalesce(mask_len(pfx), F.when(pfx.isNull(), F.lit(32)))
-    size = block_size(p4)
-    lo4 = n4 - n4 % size
-    h6 = _v6_groups(addr)
-    p6 = F.coalesce(F.when(pfx.rlike(r"^\d{1,3}$"), F.when(pfx.try_cast("int") <= 128, pfx.try_cast("int"))), F.when(pfx.isNull(), F.lit(128)))
-    ra, rb = (ip_to_long(F.split_part(v, F.lit("-"), F.lit(i))) for i in (1, 2))
-    is_range = v.rlike(r"^\d+\.\d+\.\d+\.\d+-\d+\.\d+\.\d+\.\d+$")
-
-    def pair(lo, hi):
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-    return (F.when(is_range, F.when(ra.isNotNull() & rb.isNotNull(), pair(F.lower(_hex4(ra)), F.lower(_hex4(rb)))))
-            .when(n4.isNotNull() & p4.isNotNull(), pair(F.lower(_hex4(lo4)), F.lower(_hex4(lo4 + size - 1))))
-            .when(h6.isNotNull() & p6.isNotNull(), pair(_fill(h6, F.lit(128) - p6, False), _fill(h6, F.lit(128) - p6, True))))
+# An address value is worked out in steps, each a transform over the one before, so no step is written out twice.
+_STEPS = [
+    # the text, whether it means everything, its address, prefix and range parts
+    """struct(trim(x) AS t, lower(trim(x)) IN ('any', 'all', '0.0.0.0/0', '::/0', '*') AS any, split_part(trim(x), '/', 1) AS a,
+       if(contains(x, '/'), split_part(trim(x), '/', 2), NULL) AS p, trim(x) RLIKE '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+-[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' AS rng)""",
+    # octets of the address and of a dotted mask, both ends of a range, groups of an IPv6 address
+    """struct(x.t, x.any, x.rng, x.p, if(x.a RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$', transform(split(x.a, '[.]'), o -> cast(o AS bigint)), NULL) AS o4,
+       if(x.p RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$', transform(split(x.p, '[.]'), o -> cast(o AS bigint)), NULL) AS m4,
+       if(x.rng, transform(split(split_part(x.t, '-', 1), '[.]'), o -> try_cast(o AS bigint)), NULL) AS r1, if(x.rng, transform(split(split_part(x.t, '-', 2), '[.]'), o -> try_cast(o AS bigint)), NULL) AS r2,
+       if(contains(x.a, ':') AND lower(x.a) RLIKE '^[0-9a-f:]+$', filter(split(split_part(lower(x.a), '::', 1), ':'), g -> g != ''), NULL) AS l6,
+       if(contains(x.a, '::'), filter(split(split_part(lower(x.a), '::', 2), ':'), g -> g != ''), cast(array() AS array<string>)) AS e6, contains(x.a, '::') AS dbl)""",
+    # numbers and the 32-digit form
+    """struct(x.t, x.any, x.rng, if(forall(x.o4, o -> o <= 255), concat('00000000000000000000ffff', lpad(lower(hex(aggregate(x.o4, 0L, (s, o) -> s * 256 + o))), 8, '0')), NULL) AS h4,
+       CASE WHEN x.p IS NULL THEN 32 WHEN x.p RLIKE '^[0-9]{1,2}$' AND cast(x.p AS int) <= 32 THEN cast(x.p AS int)
+            WHEN forall(x.m4, o -> o <= 255) AND bit_count(aggregate(x.m4, 0L, (s, o) -> s * 256 + o)) = 32 - bit_count(4294967295L - aggregate(x.m4, 0L, (s, o) -> s * 256 + o))
+             AND ((4294967295L - aggregate(x.m4, 0L, (s, o) -> s * 256 + o)) & (4294967296L - aggregate(x.m4, 0L, (s, o) -> s * 256 + o))) = 0 THEN cast(bit_count(aggregate(x.m4, 0L, (s, o) -> s * 256 + o)) AS int) END AS p4,
+       if(forall(x.r1, o -> o <= 255), concat('00000000000000000000ffff', lpad(lower(hex(aggregate(x.r1, 0L, (s, o) -> s * 256 + o))), 8, '0')), NULL) AS h1,
+       if(forall(x.r2, o -> o <= 255), concat('00000000000000000000ffff', lpad(lower(hex(aggregate(x.r2, 0L, (s, o) -> s * 256 + o))), 8, '0')), NULL) AS h2,
+       concat(x.l6, array_repeat('0', if(x.dbl, greatest(8 - size(x.l6) - size(x.e6), 0), 0)), x.e6) AS g6,
+       CASE WHEN x.p IS NULL THEN 128 WHEN x.p RLIKE '^[0-9]{1,3}$' AND cast(x.p AS int) <= 128 THEN cast(x.p AS int) END AS p6)""",
+    """struct(x.t, x.any, x.rng, x.h1, x.h2, coalesce(x.h4, if(size(x.g6) = 8 AND forall(x.g6, g -> g RLIKE '^[0-9a-f]{1,4}$'), array_join(transform(x.g6, g -> lpad(g, 4, '0')), ''), NULL)) AS h,
+       if(x.h4 IS NOT NULL, x.p4 + 96, x.p6) AS p)""",
+    # both ends of the block: whole digits, then the digit the prefix ends in
+    """struct(x.t, x.any, x.rng, x.h1, x.h2, x.h, x.p, cast(x.p DIV 4 AS int) AS n, cast(x.p % 4 AS int) AS r, cast(conv(substr(x.h, cast(x.p DIV 4 AS int) + 1, 1), 16, 10) AS int) AS d, cast(pow(2, 4 - x.p % 4) AS int) AS s)""",
+    """struct(x.t, x.any, x.rng,
+       CASE WHEN x.rng THEN if(x.h2 IS NULL, NULL, x.h1) WHEN x.h IS NOT NULL AND x.p IS NOT NULL THEN concat(substr(x.h, 1, x.n), if(x.r > 0, lower(hex(x.d - x.d % x.s)), ''), repeat('0', 32 - x.n - if(x.r > 0, 1, 0))) END AS lo,
+       CASE WHEN x.rng THEN if(x.h1 IS NULL, NULL, x.h2) WHEN x.h IS NOT NULL AND x.p IS NOT NULL THEN concat(substr(x.h, 1, x.n), if(x.r > 0, lower(hex(x.d - x.d % x.s + x.s - 1)), ''), repeat('f', 32 - x.n - if(x.r > 0, 1, 0))) END AS hi)""",
+    """struct(x.t, x.any, x.rng, x.lo, x.hi, CASE WHEN x.lo = x.hi THEN 32 WHEN x.lo IS NOT NULL THEN aggregate(sequence(1, 32), 0, (a, i) -> if(a = i - 1 AND substr(x.lo, i, 1) = substr(x.hi, i, 1), i, a)) END AS n)""",
+    # index entry: everything, the smallest enclosing block of whole hex digits, or the text itself
+    """struct(x.t, x.any, x.rng, x.lo, x.hi, CASE WHEN x.any THEN '*' WHEN x.lo IS NOT NULL THEN concat('b', x.n) ELSE '=' END AS m,
+       CASE WHEN x.any THEN '*' WHEN x.lo IS NOT NULL THEN substr(x.lo, 1, x.n) ELSE x.t END AS k)""",
+]
+
+
+def intervals_sql(array: str) -> str:
+    for step in _STEPS:
+        array = f"transform({array}, x -> {step})"
+    return array
+
+
+def intervals(array: str) -> Column:
+    """An array of address values as structs: t (text), any, lo, hi (32-digit keys, NULL for a name), m and k (index entry)."""
+    return F.expr(intervals_sql(array))
+
+
+def interval(value: str) -> Column:
+    """The same for one column."""
+    return F.expr(f"element_at({intervals_sql(f'array({value})')}, 1)")
+
+
+def covers(v: str, c: str) -> str:
+    """P18 over two interval structs: the rule side any matches; a question about any is matched only by that; else containment."""
+    return (f"({v}.any OR (NOT {c}.any AND ({v}.t = {c}.t OR coalesce({v}.lo <= {c}.lo AND {c}.hi <= {v}.hi AND NOT {c}.rng AND NOT ({v}.rng AND contains({c}.t, '/')), false))))")
+
+
+def addr_in(value: str, candidate: str) -> Column:
+    """Is the candidate address or network inside the rule's value?"""
+    both = f"arrays_zip({intervals_sql(f'array({value})')}, {intervals_sql(f'array({candidate})')})"
+    return F.expr(f"element_at(transform({both}, z -> {covers('z.`0`', 'z.`1`')}), 1)")
 
 
 def is_any(v: Column) -> Column:
     return F.lower(F.trim(v)).isin(ANY_TOKENS)
 
 
-def addr_in(value: Column, candidate: Column) -> Column:
-    """Rule side any matches; a question about any is matched only by that; else containment."""
-    iv, ic = interval(value), interval(candidate)
-    ranged = value.contains("-") & candidate.contains("/")
-    inside = F.coalesce((iv["lo"] <= ic["lo"]) & (ic["hi"] <= iv["hi"]) & ~ranged, F.lit(False))
-    return (F.when(is_any(value), F.lit(True)).when(is_any(candidate), F.lit(False))
-            .otherwise((F.trim(value) == F.trim(candidate)) | inside))
-
-
 def service(value: Column) -> Column:
     """(proto, lo, hi) of a `proto/port[-port]` service; NULL for a name."""
     v = F.lower(F.trim(value))

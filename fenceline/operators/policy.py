@@ -293,7 +293,7 @@ def covered(resolved: DataFrame, policies: DataFrame) -> DataFrame:
         policies.where("unordered").select("device_id"), "device_id", "left_anti")
     key = ["device_id", "family", "S", "D", "V", "Zs", "Zd"]
     sig = p.groupBy(*key).agg(F.min_by(F.struct("ord", "id", rule_name().alias("nm"), "action"), F.struct("ord", "id")).alias("f"))
-    sig = sig.withColumn("sid", F.xxhash64(*key))
+    sig = sig.withColumn("sid", F.struct(F.xxhash64(*key).alias("a"), F.hash(*key).alias("b")))
     mode = {k: F.when(F.array_contains(k, "*"), "*").when(F.size(k) > BIG, "+").otherwise("e") for k in "SDV"}
     post = sig.withColumn("pat", F.concat(*[mode[k] for k in "SDV"]))
     for k in "SDV":
@@ -362,51 +362,40 @@ def hygiene_summary(resolved: DataFrame, findings: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ reachability
 
-def _blocks(value: Column) -> Column:
-    """Index entry of an address value: '*' for any, else its smallest enclosing hex-digit block, else its text."""
-    iv = net.interval(value)
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0),
-                       lambda acc, i: F.when((acc == i - 1) & (F.substring(iv["lo"], i, F.lit(1)) == F.substring(iv["hi"], i, F.lit(1))), i).otherwise(acc))
-    return (F.when(net.is_any(value), F.struct(F.lit("*").alias("m"), F.lit("*").alias("k")))
-            .when(iv.isNotNull(), F.struct(F.concat(F.lit("b"), same.cast("string")).alias("m"), F.substring(iv["lo"], F.lit(1), same).alias("k")))
-            .otherwise(F.struct(F.lit("=").alias("m"), F.trim(value).alias("k"))))
+POST_LIMIT = 4096  # a rule with more source-destination value pairs is matched on its wider side without indexing it
 
 
-def _probe_key(mode: Column, text: Column, block: Column) -> Column:
-    """What a question posts for one index mode; NULL when that mode cannot hold a match."""
-    n = F.substring(mode, 2, 3).try_cast("int")
-    mine = F.length(block["k"])
-    return (F.when(mode == "*", "*").when(mode == "+", "+")
-            .when(mode == "=", F.when(~net.is_any(text), F.trim(text)))
-            .when(block["m"].startswith("b") & (n <= mine), F.substring(block["k"], F.lit(1), n)))
-
-
-def _posted(r: DataFrame, side: str) -> DataFrame:
-    many = F.size(side) > 64
-    vals = F.when(many, F.array(F.lit("+"))).otherwise(F.col(side))
-    b = F.when(many, F.struct(F.lit("+").alias("m"), F.lit("+").alias("k"))).otherwise(_blocks(F.col(f"{side}_v")))
-    return r.withColumn(f"{side}_v", F.explode(vals)).withColumn(f"{side}_b", b)
-
-
-def _side_true(side: str, asked: str) -> Column:
-    return F.when(F.col(f"{side}_b.m") == "+", F.exists(side, lambda v: net.addr_in(v, F.col(asked)))).otherwise(net.addr_in(F.col(f"{side}_v"), F.col(asked)))
+def _posted(r: DataFrame, sides: list[str]) -> DataFrame:
+    """One row per indexed value (pair of values); a side too large to pair is posted whole, as '+'."""
+    big = (F.size("src_iv") * F.size("dst_iv") > POST_LIMIT) if len(sides) == 2 else F.lit(False)
+    whole = F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("t", "string"), ("any", "boolean"), ("rng", "boolean"), ("lo", "string"), ("hi", "string"))],
+                             F.lit("+").alias("m"), F.lit("+").alias("k")))
+    for n, s in enumerate(sides):
+        other = sides[1 - n] if len(sides) == 2 else s
+        wider = (F.size(f"{s}_iv") > F.size(f"{other}_iv")) if n == 0 else (F.size(f"{s}_iv") >= F.size(f"{other}_iv"))
+        r = r.withColumn(f"{s}_v", F.explode(F.when(big & wider, whole).otherwise(F.col(f"{s}_iv"))))
+    return r
 
 
 def _candidates(rules: DataFrame, q: DataFrame, sides: list[str]) -> DataFrame:
-    """(question, rule) rows where the rule's named sides hold the asked addresses, found through the block index."""
-    post = rules
-    for s in sides:
-        post = _posted(post, s)
-    post = post.withColumn("pat", F.concat_ws("|", *[F.col(f"{s}_b.m") for s in sides]))
+    """(question, rule) rows where the rule's named sides hold the asked addresses, found through the block index.
+
+    A question looks up only the index modes its device has: '*' (any), 'bN' (its own enclosing block of N digits),
+    '=' (the same text) and '+' (sides posted whole).
+    """
+    post = _posted(rules, sides).withColumn("pat", F.concat_ws("|", *[F.col(f"{s}_v.m") for s in sides]))
     pats = post.groupBy("device_id").agg(F.collect_set("pat").alias("pats"))
     p = q.join(pats, "device_id").withColumn("pat", F.explode("pats")).drop("pats")
-    names = {"src": "source", "dst": "destination"}
     for i, s in enumerate(sides):
-        asked = F.coalesce(names[s], F.lit("any"))
-        p = p.withColumn(f"{s}_k", _probe_key(F.split_part("pat", F.lit("|"), F.lit(i + 1)), asked, _blocks(asked))).where(f"{s}_k is not null")
-    post = post.select("*", *[F.col(f"{s}_b.k").alias(f"{s}_k") for s in sides])
+        m, c = f"split_part(pat, '|', {i + 1})", f"{s}_q"
+        p = p.withColumn(f"{s}_k", F.expr(f"""CASE WHEN {m} IN ('*', '+') THEN {m} WHEN {m} = '=' THEN if({c}.any, NULL, {c}.t)
+            WHEN {c}.m LIKE 'b%' AND cast(substr({m}, 2) AS int) <= length({c}.k) THEN substr({c}.k, 1, cast(substr({m}, 2) AS int)) END""")).where(f"{s}_k is not null")
+    post = post.select("*", *[F.col(f"{s}_v.k").alias(f"{s}_k") for s in sides])
     j = p.join(post, ["device_id", "pat", *[f"{s}_k" for s in sides]])
-    return j.where(reduce(lambda a, b: a & b, [_side_true(s, names[s]) for s in sides]))
+    for s in sides:
+        one, whole = net.covers(f"{s}_v", f"{s}_q"), net.covers("v", f"{s}_q")
+        j = j.where(F.expr(f"if({s}_v.m = '+', exists({s}_iv, v -> {whole}), {one})"))
+    return j
 
 
 def _zone_ok(rule_zones: Column, want: Column) -> Column:
@@ -460,43 +449,42 @@ def reach(queries: DataFrame, resolved: DataFrame, policies: DataFrame) -> DataF
     on = resolved.where("enabled").withColumn("may_skip", (F.size("src_bad") + F.size("dst_bad") + F.size("svc_bad")) > 0)
     on = on.withColumn("program", F.nullif(F.col("program"), F.lit("")))
     cols = ["device_id", "id", "name", "ord", "action", "src", "dst", "svc", "src_bad", "dst_bad", "svc_bad", "source_zones", "destination_zones", "program"]
-    r = on.select(*cols)
-    ask = ["device_id", "source", "destination", "port", "protocol", "source_zone", "destination_zone"]
-    dq = q.select(*ask).distinct().withColumn("qk", F.xxhash64(*ask))
+    r = on.select(*cols, net.intervals("src").alias("src_iv"), net.intervals("dst").alias("dst_iv"))
+    q = q.withColumn("pk", F.coalesce("port", F.lit(-1)))
+    K = ["device_id", "source", "destination", "pk", "protocol", "source_zone", "destination_zone"]
+    dq = q.select(*K).distinct().withColumn("port", F.when(F.col("pk") >= 0, F.col("pk")))
+    dq = dq.withColumn("src_q", net.interval("source")).withColumn("dst_q", net.interval("destination"))
     open_to = _zone_ok(F.col("source_zones"), F.col("source_zone")) & _zone_ok(F.col("destination_zones"), F.col("destination_zone"))
     prog_ok = F.col("program").isNull() | F.col("port").isNull()
     svc = F.exists("svc", lambda v: net.svc_matches(v, F.col("protocol"), F.col("port")) | net.is_any(v))
     hit = _candidates(r.where(F.size("svc_bad") == 0), dq, ["src", "dst"]).where(open_to & prog_ok & svc)
-    first = hit.groupBy("qk").agg(F.min_by(F.struct("ord", "id", rule_name().alias("nm"), "action", "source_zones", "destination_zones"), F.struct("ord", "id")).alias("d"))
+    first = hit.groupBy(*K).agg(F.min_by(F.struct("ord", "id", rule_name().alias("nm"), "action", "source_zones", "destination_zones"), F.struct("ord", "id")).alias("d"))
     # unreadable sides the asked address matches anyway are readable for this question
     part = r.where((F.size("svc_bad") == 0) & ((F.size("src_bad") + F.size("dst_bad")) > 0))
     saved = []
     for cond, sides in (("size(src_bad) > 0 and size(dst_bad) > 0", ["src", "dst"]), ("size(src_bad) > 0 and size(dst_bad) = 0", ["src"]),
                         ("size(src_bad) = 0 and size(dst_bad) > 0", ["dst"])):
-        saved.append(_candidates(part.where(cond), dq, sides).where(open_to & prog_ok).select("qk", "ord", "id").distinct())
-    saved = reduce(DataFrame.unionByName, saved).join(first.select("qk", "d"), "qk", "left").where(
-        "d is null or ord < d.ord or (ord = d.ord and id < d.id)").groupBy("qk").agg(F.count(F.lit(1)).alias("saved"))
-    pos, tot = _positions(on, dq.select("device_id", "source_zone", "destination_zone").distinct(), policies.where("unordered").select("device_id"))
+        saved.append(_candidates(part.where(cond), dq, sides).where(open_to & prog_ok).select(*K, "ord", "id").distinct())
+    saved = reduce(DataFrame.unionByName, saved).join(first.select(*K, "d"), K, "left").where(
+        "d is null or ord < d.ord or (ord = d.ord and id < d.id)").groupBy(*K).agg(F.count(F.lit(1)).alias("saved"))
     zp = ["device_id", "source_zone", "destination_zone"]
-    a = (dq.join(first, "qk", "left").withColumn("ord", F.col("d.ord")).withColumn("id", F.col("d.id"))
-         .join(pos, [*zp, "ord", "id"], "left").join(tot, zp, "left").join(saved, "qk", "left")
-         .join(policies.select("device_id", "default_action", "default_action_observed"), "device_id", "left"))
+    pos, tot = _positions(on, dq.select(*zp).distinct(), policies.where("unordered").select("device_id"))
+    own = on.select("device_id", "id", F.col("may_skip").cast("int").alias("own"))
+    a = (q.join(first, K, "left").withColumn("ord", F.col("d.ord")).withColumn("id", F.col("d.id"))
+         .join(pos, [*zp, "ord", "id"], "left").join(tot, zp, "left").join(saved, K, "left")
+         .join(policies.select("device_id", "default_action", "default_action_observed"), "device_id", "left").join(own, ["device_id", "id"], "left"))
     decided = F.col("d").isNotNull()
     stated = F.coalesce(F.col("default_action_observed") & (F.col("default_action") != ""), F.lit(False))
-    skip_all = F.when(F.col("port").isNull(), F.coalesce("n0", "tn0")).otherwise(F.coalesce("n1", "tn1"))
-    dskip = F.when(decided, F.lit(0)).otherwise(F.lit(0))
-    # the deciding rule is readable for this question even when one of its names is not
-    own = on.select("device_id", "id", (F.col("may_skip")).cast("int").alias("own"))
-    a = a.join(own, ["device_id", "id"], "left")
-    a = a.select("qk", *ask, F.when(decided, allows(F.col("d.action"))).when(stated, allows(F.col("default_action"))).alias("permitted"),
-                 F.when(decided, F.col("d.nm")).when(stated, "default policy").otherwise("").alias("decided_by"),
-                 F.when(decided, F.col("d.action")).when(stated, F.col("default_action")).otherwise("").alias("action"),
-                 F.coalesce("n", "tn", F.lit(0)).alias("evaluated"),
-                 (F.coalesce(skip_all, F.lit(0)) - F.coalesce("saved", F.lit(0)) - F.coalesce("own", F.lit(0)) + dskip).alias("unevaluable"),
-                 F.coalesce(decided & (((F.size("d.source_zones") > 0) & (F.col("source_zone") == ""))
-                                       | ((F.size("d.destination_zones") > 0) & (F.col("destination_zone") == ""))), F.lit(False)).alias("zone_assumed"))
-    same = reduce(lambda x, y: x & y, [q[c].eqNullSafe(a[c]) for c in ask])
-    return q.join(a, same).select("query_id", *[q[c] for c in ask], "permitted", "decided_by", "action", "evaluated", "unevaluable", "zone_assumed")
+    skipped = F.when(F.col("port").isNull(), F.coalesce("n0", "tn0")).otherwise(F.coalesce("n1", "tn1"))
+    # the deciding rule is counted in the running total and is readable for this question
+    return a.select("query_id", "device_id", "source", "destination", "port", "protocol", "source_zone", "destination_zone",
+                    F.when(decided, allows(F.col("d.action"))).when(stated, allows(F.col("default_action"))).alias("permitted"),
+                    F.when(decided, F.col("d.nm")).when(stated, "default policy").otherwise("").alias("decided_by"),
+                    F.when(decided, F.col("d.action")).when(stated, F.col("default_action")).otherwise("").alias("action"),
+                    F.coalesce("n", "tn", F.lit(0)).alias("evaluated"),
+                    (F.coalesce(skipped, F.lit(0)) - F.coalesce("saved", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("unevaluable"),
+                    F.coalesce(decided & (((F.size("d.source_zones") > 0) & (F.col("source_zone") == ""))
+                                          | ((F.size("d.destination_zones") > 0) & (F.col("destination_zone") == ""))), F.lit(False)).alias("zone_assumed"))
 
 
 # The questions worth asking of any firewall (tcp, from the outside zone).
