@@ -177,7 +177,7 @@ def iptables_rules(lines: DataFrame) -> dict[str, DataFrame]:
     r = lines.where(t.rlike(r"^-A\s+\S+\s+.*$")).withColumn("chain", F.regexp_extract(t, r"^-A\s+(\S+)", 1))
     r = r.withColumn("n", F.row_number().over(W.partitionBy("device_id").orderBy("line")) - 1)
     inb = F.upper("chain").isin("INPUT", "FORWARD")
-    val = lambda c: F.when(F.lower(c).isin("", "any", "*", "0.0.0.0", "::"), F.array(F.lit("any"))).otherwise(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    val = lambda c: F.when(F.lower(c).isin("", "any", "*", "0.0.0.0", "::"), F.array(F.lit("any"))).otherwise(F.filter(F.transform(F.split(c, ","), lambda y: F.trim(y)), lambda x: x != ""))
     port = F.when(inb, opt("--dport")).otherwise(opt("--sport"))
     proto = F.lower(opt("-p"))
     svc = (F.when(proto.isin("", "any", "all"), F.when(port == "", F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("tcp/"), port))))
