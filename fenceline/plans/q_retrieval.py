@@ -30,12 +30,12 @@ def bm25(spark, sf):
     return Q._top(s.withColumn("key", F.round("bm25", 9)), "query_id", "key", 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
-WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^0-9a-z_]+'), x -> length(x) >= 2)"
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^0-9a-z_]+'), lambda x: length(x) >= 2)"
 
 
 @query("tfidf_cosine", f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), q AS (SELECT item_id AS query_id, {WORDS} AS w FROM benchmark),
- g AS (SELECT doc_id, unnest(w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> concat(w[i], ' ', w[i + 1])) ELSE [] END) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
- qg AS (SELECT query_id, unnest(w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), i -> concat(w[i], ' ', w[i + 1])) ELSE [] END) AS term FROM q), qf AS (SELECT query_id, term, count(*) AS tf FROM qg GROUP BY 1, 2),
+ g AS (SELECT doc_id, unnest(w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE [] END) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+ qg AS (SELECT query_id, unnest(w || CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE [] END) AS term FROM q), qf AS (SELECT query_id, term, count(*) AS tf FROM qg GROUP BY 1, 2),
  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM tf JOIN idf USING (term) GROUP BY 1),
  qn AS (SELECT query_id, sqrt(sum((tf * idf) * (tf * idf))) AS norm FROM qf JOIN idf USING (term) GROUP BY 1), dot AS (SELECT query_id, doc_id, sum(qf.tf * tf.tf * idf * idf) AS s FROM qf JOIN tf USING (term) JOIN idf USING (term) GROUP BY 1, 2)
  SELECT query_id, doc_id, round(s / (dn.norm * qn.norm), 6) AS cosine FROM dot JOIN dn USING (doc_id) JOIN qn USING (query_id) WHERE s / (dn.norm * qn.norm) > 0.3""")
@@ -44,8 +44,8 @@ def tfidf_cosine(spark, sf):
     return Q.tfidf_scores(_bench(spark, sf), _docs(spark, sf), toks).where("cosine > 0.3").select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
-DENSE = """v AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS double)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, x -> x / (sqrt(list_sum(list_transform(e, y -> y * y))) + 1e-9)) AS e FROM v),
- s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * d.e[i])) AS sim FROM u q, u d WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)"""
+DENSE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-9)) AS e FROM v),
+ s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS sim FROM u q, u d WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)"""
 
 
 def _dense(spark, sf, k=25):
