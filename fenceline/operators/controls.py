@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.compare import PREPARED, as_items, compare, is_member, judge, prepare, same_value
+from ..session import cut_lineage
 from ..types import (ALLOW_WORDS, DECIDED, RESULT_STATES, SEVERITY_WEIGHT, TVAL, TVAL_DDL, WORST_RANK, bounded, lookup,
                      tval_py)
 
@@ -409,6 +410,8 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
     """
     ctl = F.broadcast(bounded(controls.select("control_id", F.col("field").alias("cfield"), F.col("operator").alias("cop"),
                                               F.col("expected").alias("cexp")), MAX_CONTROLS, "controls"))
+    # both sides of the comparison read the findings; they are written once instead of being worked out again
+    findings = cut_lineage(findings.select("device_id", "control_id", "state"))
     q = (fixes.select("device_id", "control_id").distinct().join(ctl, "control_id", "left")
          .join(findings.select("device_id", "control_id", F.col("state").alias("before")), ["device_id", "control_id"], "left"))
     derived = F.lit(False)
@@ -417,6 +420,7 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
     q = q.withColumn("why", F.when(F.col("cfield").isNull() | F.col("before").isNull(), "no such control")
                      .when(~F.col("before").isin("FAIL", "PARTIAL"), "not a failure").when(derived, "computed from policy")
                      .when(F.col("cop").isin("not_equals", "not_in", "matches"), "no single compliant value"))
+    q = cut_lineage(q)
     ok = q.where("why is null").select("device_id", F.col("cfield").alias("field"), "cop", "cexp", "control_id")
     now = latest(observations)
     if disabled is not None:
@@ -440,6 +444,7 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
         F.lit("OBSERVED").alias("state"),
         compliant_value(F.col("f.cop"), F.col("f.cexp"), F.lit(None).cast(TVAL_DDL)).alias("value"),
         F.lit(1.0).alias("confidence"), sim.alias("evidence"))
+    fixed = cut_lineage(fixed)
     after = evaluate(devices, controls, fixed.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(fresh), **na)
     b = findings.select("device_id", "control_id", F.col("state").alias("before"))
     changes = (after.select("device_id", "control_id", F.col("state").alias("after")).join(b, ["device_id", "control_id"], "full")
