@@ -76,8 +76,11 @@ def _members(v: Column) -> Column:
             .when(v["kind"] == "str", F.array(v["s"])).otherwise(F.array().cast("array<string>")))
 
 
-EV = F.struct(F.lit(None).cast("string").alias("file"), F.col("line").cast("int").alias("line"), F.col("raw").alias("raw"), F.lit(None).cast("string").alias("record_id"))
-LISTY = F.col("collect") | (F.col("as_type") == "list")
+def evidence() -> Column:
+    return F.struct(F.lit(None).cast("string").alias("file"), F.col("line").cast("int").alias("line"), F.col("raw").alias("raw"), F.lit(None).cast("string").alias("record_id"))
+
+def listy() -> Column:
+    return F.col("collect") | (F.col("as_type") == "list")
 
 
 def _fold(hits: DataFrame) -> DataFrame:
@@ -98,8 +101,8 @@ def line_hits(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     top = l.join(_maps(mappings, "regex is not null and parent is null and const is null").drop("parent"), "platform").where(F.expr("rlike(text, regex)")).withColumn("scope", F.lit(None).cast("string"))
     kid = (l.where("parent is not null").withColumnRenamed("parent", "ptext").join(_maps(mappings, "regex is not null and parent is not null"), "platform")
            .where(F.expr("rlike(ptext, parent) and rlike(text, regex)")).withColumn("scope", F.trim("ptext")))
-    cols = ["device_id", "mord", "field", "scope", "line", "at", F.col("text").alias("raw"), line_value(F.col("text")).alias("v"), LISTY.alias("listy"), F.lit(False).alias("empty")]
-    return top.select(*cols).unionByName(kid.select(*cols)).withColumn("ev", EV)
+    cols = ["device_id", "mord", "field", "scope", "line", "at", F.col("text").alias("raw"), line_value(F.col("text")).alias("v"), listy().alias("listy"), F.lit(False).alias("empty")]
+    return top.select(*cols).unionByName(kid.select(*cols)).withColumn("ev", evidence())
 
 
 def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
     cols = ["device_id", "mord", "field", "scope", "line", "at", "raw", val.alias("v"), (F.col("as_type") == "list").alias("listy"), blank.alias("empty")]
     none = F.lit(None).cast("string")
     out = exact.withColumn("scope", none).select(*cols).unionByName(suffix.withColumn("scope", none).select(*cols)).unionByName(g.withColumn("scope", F.coalesce(sid, F.col("path"))).select(*cols))
-    return out.withColumn("ev", EV)
+    return out.withColumn("ev", evidence())
 
 
 def apply_mappings(devices: DataFrame, mappings: DataFrame, lines: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:

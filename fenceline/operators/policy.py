@@ -18,7 +18,9 @@ from ..functions.text import looks_like_literal
 from ..session import cut_lineage
 from ..types import ALLOW_WORDS
 
-NOSTR = F.array().cast("array<string>")
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
 SIDES = [("src", "source"), ("dst", "destination"), ("svc", "services")]
 
 
@@ -60,7 +62,7 @@ def resolve_objects(objects: DataFrame, members: DataFrame, names: DataFrame | N
          .join(parents, ["device_id", "name"], "left"))
     found, hm = F.coalesce("found", F.lit(False)), F.coalesce("has_members", F.lit(False))
     n = n.withColumn("hm", found & hm).withColumn("state", leaf_resolution(F.col("name"), found, F.col("values"), F.col("attrs"), hm))
-    vals = (F.when(F.col("state") != "RESOLVED", NOSTR).when(F.lower("name").isin(net.ANY_NAMES), F.array(F.lit("0.0.0.0/0")))
+    vals = (F.when(F.col("state") != "RESOLVED", no_strings()).when(F.lower("name").isin(net.ANY_NAMES), F.array(F.lit("0.0.0.0/0")))
             .when(found, F.col("values")).otherwise(F.array("name")))
     done = cut_lineage(n.where("state is not null").select("device_id", "name", "state", vals.alias("values"), F.array("name").alias("path")))
     groups = n.where("state is null").select("device_id", "name")
@@ -78,12 +80,12 @@ def resolve_objects(objects: DataFrame, members: DataFrame, names: DataFrame | N
             F.collect_list(F.when(F.col("state").isNotNull(), F.struct("pos", "child", "v"))).alias("kids"))
         agg = agg.where("open is null or badpos < open")
         kids = F.array_sort("kids")
-        flat = F.array_distinct(F.flatten(F.transform(kids, lambda k: F.coalesce(k["v"], NOSTR))))
+        flat = F.array_distinct(F.flatten(F.transform(kids, lambda k: F.coalesce(k["v"], no_strings()))))
         st = (F.when(F.col("badpos").isNotNull(), F.when(F.col("b.state") == "CYCLIC", "CYCLIC").otherwise(F.col("b.state")))
               .when(F.size(flat) == 0, "UNRESOLVED").otherwise("RESOLVED"))
         new = cut_lineage(agg.select(
             "device_id", "name", st.alias("state"),
-            F.when(F.col("badpos").isNotNull(), NOSTR).otherwise(flat).alias("values"),
+            F.when(F.col("badpos").isNotNull(), no_strings()).otherwise(flat).alias("values"),
             F.when(F.col("badpos").isNotNull(), F.concat(F.array("name"), "b.cp"))
             .otherwise(F.concat(F.array("name"), F.transform(kids, lambda k: k["child"]))).alias("path")))
         if new.isEmpty():
@@ -106,7 +108,7 @@ def resolve_objects(objects: DataFrame, members: DataFrame, names: DataFrame | N
                            .select(walk["device_id"], walk["name"], F.concat("path", F.array("next")).alias("path")))
         if walk.isEmpty():
             break
-    cyc = reduce(DataFrame.unionByName, closed).select("device_id", "name", F.lit("CYCLIC").alias("state"), NOSTR.alias("values"), "path")
+    cyc = reduce(DataFrame.unionByName, closed).select("device_id", "name", F.lit("CYCLIC").alias("state"), no_strings().alias("values"), "path")
     return known.unionByName(cyc)
 
 
@@ -121,12 +123,12 @@ def resolve_rules(rules: DataFrame, resolutions: DataFrame) -> DataFrame:
     r = refs.join(resolutions.select("device_id", "name", "state", "values"), ["device_id", "name"], "left")
     ok = F.col("state") == "RESOLVED"
     per = r.groupBy("device_id", "id", "side").agg(
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(ok, F.col("values")).otherwise(NOSTR).alias("v")))), lambda x: x["v"]))).alias("v"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(ok, F.col("values")).otherwise(no_strings()).alias("v")))), lambda x: x["v"]))).alias("v"),
         F.transform(F.array_sort(F.collect_list(F.when(ok, F.lit(None)).otherwise(F.struct("p", "name")))), lambda x: x["name"]).alias("bad"))
     wide = per.groupBy("device_id", "id").pivot("side", [k for k, _ in SIDES]).agg(F.first(F.struct("v", "bad")))
     out = rules.join(wide, ["device_id", "id"], "left")
     for k, _ in SIDES:
-        out = (out.withColumn(f"{k}_bad", F.coalesce(F.col(f"{k}.bad"), NOSTR)).withColumn(k, F.coalesce(F.col(f"{k}.v"), NOSTR)))
+        out = (out.withColumn(f"{k}_bad", F.coalesce(F.col(f"{k}.bad"), no_strings())).withColumn(k, F.coalesce(F.col(f"{k}.v"), no_strings())))
     return out
 
 
@@ -243,7 +245,7 @@ def policy_observations(resolved: DataFrame, policies: DataFrame, zones: DataFra
         hits = e.where("status = 'hit'").groupBy("device_id").agg(F.array_sort(F.collect_list(text)).alias("h"))
         parts.append(s.join(hits, "device_id", "left").select(
             "device_id", F.lit(field).alias("field"), F.lit(None).cast("string").alias("scope"), F.lit(0).cast("long").alias("ordinal"),
-            "state", F.when(F.col("state") != "UNPARSED", tv_list(F.coalesce("h", NOSTR))).alias("value"), none.alias("evidence")))
+            "state", F.when(F.col("state") != "UNPARSED", tv_list(F.coalesce("h", no_strings()))).alias("value"), none.alias("evidence")))
     return reduce(DataFrame.unionByName, parts).withColumn("source", F.lit("parser")).withColumn("confidence", F.lit(1.0))
 
 

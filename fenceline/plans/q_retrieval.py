@@ -175,12 +175,14 @@ def leave_one_vendor_out(spark, sf):
     return Q.leave_one_out(V.table(spark, sf, "embeddings"), "label").groupBy("held_out").agg(F.count(F.lit(1)).alias("train"))
 
 
-@query("verify_chain")
+@query("verify_chain", """WITH r AS (SELECT o_custkey % 50 AS log_id, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS rn FROM orders)
+ SELECT log_id, min(seq) FILTER (rn = 2) AS first_broken, count(*) AS records, count(*) < 2 AS intact FROM r GROUP BY 1""")
 def verify_chain(spark, sf):
     o = V.table(spark, sf, "orders")
     from pyspark.sql import Window
     a = o.select((F.col("o_custkey") % 50).alias("log_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("field"), F.concat(F.lit("line "), F.col("o_orderkey").cast("string")).alias("line"), F.lit("p").alias("platform"), F.lit("v").alias("vendor"),
                  F.col("o_orderstatus").alias("value"), F.lit("me").alias("approved_by"), F.lit("2024").alias("approved_at"))
+    # every record is hashed as if it were the first, so each log breaks at its second record
     seed = a.withColumn("prev_hash", F.lit("")).withColumn("record_hash", Q.record_hash())
     return Q.verify_chain(seed.withColumn("prev_hash", F.coalesce(F.lag("record_hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(""))))
 

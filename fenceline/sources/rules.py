@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.net import net_of
 from ..functions.text import looks_like_literal
 
-NOSTR = F.array().cast("array<string>")
-NOATTR = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def no_attrs() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
 RULE = ["device_id", "id", "name", "ord", "enabled", "action", "source", "destination", "services", "source_zones", "destination_zones", "logging", "hit_count", "program", "evidence"]
 # Zone names that face outside.
 OUTSIDE = ["untrust", "untrusted", "internet", "wan", "outside", "public", "external"]
@@ -36,15 +41,15 @@ def _finish(rules: DataFrame, objects: DataFrame, members: DataFrame | None, pol
 def _named_protocols(rules: DataFrame) -> DataFrame:
     """A protocol without ports (icmp, esp) is a known service, not a missing name."""
     s = rules.select("device_id", F.explode("services").alias("name")).where(~F.col("name").contains("/") & (F.lower("name") != "any")).distinct()
-    return s.select("device_id", "name", F.lit("service").alias("kind"), F.array("name").alias("values"), NOATTR.alias("attrs"))
+    return s.select("device_id", "name", F.lit("service").alias("kind"), F.array("name").alias("values"), no_attrs().alias("attrs"))
 
 
 def _policy(devices: DataFrame, action: str, observed: bool, unordered: bool, untrusted: DataFrame | None = None) -> DataFrame:
     p = devices.select("device_id", F.lit(action).alias("default_action"), F.lit(observed).alias("default_action_observed"), F.lit(unordered).alias("unordered"))
     if untrusted is None:
-        return p.withColumn("untrusted_zones", NOSTR)
+        return p.withColumn("untrusted_zones", no_strings())
     u = untrusted.groupBy("device_id").agg(F.array_sort(F.collect_set("zone")).alias("untrusted_zones"))
-    return p.join(u, "device_id", "left").withColumn("untrusted_zones", F.coalesce("untrusted_zones", NOSTR))
+    return p.join(u, "device_id", "left").withColumn("untrusted_zones", F.coalesce("untrusted_zones", no_strings()))
 
 
 # ------------------------------------------------------------------ cloud
@@ -76,10 +81,10 @@ def aws_rules(files: DataFrame) -> dict[str, DataFrame]:
     rules = r.select("device_id", F.concat("gid", F.lit(":"), "key", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("id"),
                      F.concat("gname", F.when(inb, " ingress ").otherwise(" egress "), F.array_join("services", "/")).alias("name"), "ord", F.lit(True).alias("enabled"), F.lit("allow").alias("action"),
                      F.when(inb, F.col("far")).otherwise(own).alias("source"), F.when(inb, own).otherwise(F.col("far")).alias("destination"), "services",
-                     F.when(inb, NOSTR).otherwise(own).alias("source_zones"), F.when(inb, own).otherwise(NOSTR).alias("destination_zones"))
-    zones = g.select("device_id", F.col("gid").alias("name"), F.lit("zone").alias("kind"), F.array("gid").alias("values"), NOATTR.alias("attrs")).dropDuplicates(["device_id", "name"])
+                     F.when(inb, no_strings()).otherwise(own).alias("source_zones"), F.when(inb, own).otherwise(no_strings()).alias("destination_zones"))
+    zones = g.select("device_id", F.col("gid").alias("name"), F.lit("zone").alias("kind"), F.array("gid").alias("values"), no_attrs().alias("attrs")).dropDuplicates(["device_id", "name"])
     ref = (r.select("device_id", F.explode("refs").alias("name")).distinct().join(zones.select("device_id", "name"), ["device_id", "name"], "left_anti")
-           .select("device_id", "name", F.lit("address_group").alias("kind"), NOSTR.alias("values"), F.create_map(F.lit("members_unknown"), F.lit("true")).alias("attrs")))
+           .select("device_id", "name", F.lit("address_group").alias("kind"), no_strings().alias("values"), F.create_map(F.lit("members_unknown"), F.lit("true")).alias("attrs")))
     u = g.where(F.lower(name) == "default").select("device_id", F.col("gid").alias("zone"))
     return _finish(rules, zones.unionByName(ref).unionByName(_named_protocols(rules)), None, _policy(files, "deny", True, True, u))
 
@@ -104,11 +109,11 @@ def azure_rules(files: DataFrame) -> dict[str, DataFrame]:
                  "destinationAddressPrefix", "destinationAddressPrefixes", "sourceApplicationSecurityGroups", "destinationApplicationSecurityGroups", "destinationPortRange", "destinationPortRanges")])
 
     def side(s):
-        vals = F.filter(F.concat(F.array(F.col(f"{s}AddressPrefix")), F.coalesce(f"{s}AddressPrefixes", NOSTR)), lambda v: v.isNotNull() & (F.trim(v) != ""))
+        vals = F.filter(F.concat(F.array(F.col(f"{s}AddressPrefix")), F.coalesce(f"{s}AddressPrefixes", no_strings())), lambda v: v.isNotNull() & (F.trim(v) != ""))
         asg = F.transform(F.coalesce(f"{s}ApplicationSecurityGroups", F.array().cast("array<struct<id:string>>")), lambda a: F.element_at(F.split(a["id"], "/"), -1))
         return F.concat(F.transform(vals, lambda v: F.when(F.trim(v) == "*", "any").otherwise(F.trim(v))), asg)
 
-    ports = F.filter(F.concat(F.array("destinationPortRange"), F.coalesce("destinationPortRanges", NOSTR)), lambda v: v.isNotNull() & (F.trim(v) != ""))
+    ports = F.filter(F.concat(F.array("destinationPortRange"), F.coalesce("destinationPortRanges", no_strings())), lambda v: v.isNotNull() & (F.trim(v) != ""))
     pr = F.lower(F.coalesce("protocol", F.lit("*")))
     some = F.when(F.size("ports") > 0, F.col("ports")).otherwise(F.array(F.lit("*")))
     span = lambda q: F.transform(some, lambda v: F.concat(F.lit(q + "/"), F.when(v == "*", "0-65535").otherwise(v)))
@@ -121,16 +126,16 @@ def azure_rules(files: DataFrame) -> dict[str, DataFrame]:
     rules = x.select("device_id", F.concat("nsg", F.lit(":"), F.coalesce("rn", F.concat(F.lit("rule-"), F.col("ord").cast("string")))).alias("id"),
                      F.concat("nsg", F.lit("/"), F.coalesce("rn", F.lit("rule")), F.lit(" (priority "), F.coalesce(F.col("priority").cast("string"), F.lit("None")), F.lit(")")).alias("name"), "ord", F.lit(True).alias("enabled"),
                      F.when(F.lower("access") == "allow", "allow").otherwise("deny").alias("action"), "source", "destination", "services",
-                     F.when(inb, NOSTR).otherwise(F.array("nsg")).alias("source_zones"), F.when(inb, F.array("nsg")).otherwise(NOSTR).alias("destination_zones"))
-    zones = n.select("device_id", F.col("nsg").alias("name"), F.lit("zone").alias("kind"), F.array("nsg").alias("values"), NOATTR.alias("attrs")).dropDuplicates(["device_id", "name"])
+                     F.when(inb, no_strings()).otherwise(F.array("nsg")).alias("source_zones"), F.when(inb, F.array("nsg")).otherwise(no_strings()).alias("destination_zones"))
+    zones = n.select("device_id", F.col("nsg").alias("name"), F.lit("zone").alias("kind"), F.array("nsg").alias("values"), no_attrs().alias("attrs")).dropDuplicates(["device_id", "name"])
     asgs = x.select("device_id", F.explode(F.concat(*[F.transform(F.coalesce(f"{s}ApplicationSecurityGroups", F.array().cast("array<struct<id:string>>")), lambda a: F.element_at(F.split(a["id"], "/"), -1)) for s in ("source", "destination")])).alias("name")).distinct()
     asgs = asgs.withColumn("asg", F.lit(True))
     names = rules.select("device_id", F.explode(F.concat("source", "destination")).alias("name")).distinct().where((F.col("name") != "any") & ~looks_like_literal(F.col("name")))
     tags = names.join(asgs, ["device_id", "name"], "left").join(zones.select("device_id", "name"), ["device_id", "name"], "left_anti")
     low = F.lower("name")
     tags = tags.select("device_id", "name", F.when(low == "internet", "address").otherwise("address_group").alias("kind"),
-                       F.when(F.col("asg"), F.array(F.concat(F.lit("asg:"), "name"))).when(low == "internet", F.array(F.lit("0.0.0.0/0"))).when(low.isin(AZ_INTERNAL), F.array(F.concat(F.lit("tag:"), "name"))).otherwise(NOSTR).alias("values"),
-                       F.when(F.col("asg").isNull() & (low != "internet") & ~low.isin(AZ_INTERNAL), F.create_map(F.lit("members_unknown"), F.lit("true"))).otherwise(NOATTR).alias("attrs"))
+                       F.when(F.col("asg"), F.array(F.concat(F.lit("asg:"), "name"))).when(low == "internet", F.array(F.lit("0.0.0.0/0"))).when(low.isin(AZ_INTERNAL), F.array(F.concat(F.lit("tag:"), "name"))).otherwise(no_strings()).alias("values"),
+                       F.when(F.col("asg").isNull() & (low != "internet") & ~low.isin(AZ_INTERNAL), F.create_map(F.lit("members_unknown"), F.lit("true"))).otherwise(no_attrs()).alias("attrs"))
     return _finish(rules, zones.unionByName(tags).unionByName(_named_protocols(rules)), None, _policy(files, "deny", True, False))
 
 
@@ -147,11 +152,11 @@ def gcp_rules(files: DataFrame) -> dict[str, DataFrame]:
     proto = lambda a: F.lower(F.coalesce(a["IPProtocol"], F.lit("")))
     svc = F.flatten(F.transform(e, lambda a: F.when(proto(a).isin("tcp", "udp", "sctp"), F.when(F.coalesce(F.size(a["ports"]), F.lit(0)) <= 0, F.array(F.concat(proto(a), F.lit("/0-65535")))).otherwise(
         F.transform(a["ports"], lambda p: F.concat(proto(a), F.lit("/"), p)))).otherwise(F.array(proto(a)))))
-    svc = F.when(F.exists(e, lambda a: proto(a).isin("all", "")), F.array(F.lit("any"))).otherwise(F.coalesce(svc, NOSTR))
-    mark = lambda c, t: F.transform(F.coalesce(c, NOSTR), lambda v: F.concat(F.lit(t), v))
+    svc = F.when(F.exists(e, lambda a: proto(a).isin("all", "")), F.array(F.lit("any"))).otherwise(F.coalesce(svc, no_strings()))
+    mark = lambda c, t: F.transform(F.coalesce(c, no_strings()), lambda v: F.concat(F.lit(t), v))
     x = x.withColumn("net", F.coalesce(F.nullif(F.regexp_extract("network", r"([^/]+)/*$", 1), F.lit("")), F.lit("network"))).withColumn("services", svc)
     tgt = F.concat(mark("targetTags", "tag:"), mark("targetServiceAccounts", "sa:"))
-    src = F.concat(F.coalesce("sourceRanges", NOSTR), mark("sourceTags", "tag:"), mark("sourceServiceAccounts", "sa:"))
+    src = F.concat(F.coalesce("sourceRanges", no_strings()), mark("sourceTags", "tag:"), mark("sourceServiceAccounts", "sa:"))
     x = x.withColumn("local", F.when(F.size(tgt) > 0, tgt).otherwise(F.array("net"))).withColumn("far", F.when(F.size(src) > 0, src).otherwise(F.array(F.lit("unstated-source"))))
     inb = F.upper(F.coalesce("direction", F.lit("INGRESS"))) == "INGRESS"
     out = F.when(F.coalesce(F.size("destinationRanges"), F.lit(0)) > 0, F.col("destinationRanges")).otherwise(F.array(F.lit("any")))
@@ -159,12 +164,12 @@ def gcp_rules(files: DataFrame) -> dict[str, DataFrame]:
     nm = F.coalesce("name", F.concat(F.lit("rule-"), F.col("i").cast("string")))
     rules = x.select("device_id", F.concat("net", F.lit(":"), nm).alias("id"), F.concat(nm, F.lit(" (priority "), F.coalesce("priority", F.lit(1000)).cast("string"), F.lit(")")).alias("name"), pos.alias("ord"),
                      (~F.coalesce("disabled", F.lit(False))).alias("enabled"), F.when(deny, "deny").otherwise("allow").alias("action"), F.when(inb, F.col("far")).otherwise(F.col("local")).alias("source"),
-                     F.when(inb, F.col("local")).otherwise(out).alias("destination"), "services", F.when(inb, NOSTR).otherwise(F.array("net")).alias("source_zones"), F.when(inb, F.array("net")).otherwise(NOSTR).alias("destination_zones"),
+                     F.when(inb, F.col("local")).otherwise(out).alias("destination"), "services", F.when(inb, no_strings()).otherwise(F.array("net")).alias("source_zones"), F.when(inb, F.array("net")).otherwise(no_strings()).alias("destination_zones"),
                      F.col("logConfig.enable").alias("logging"))
-    zones = x.select("device_id", F.col("net").alias("name"), F.lit("zone").alias("kind"), F.array("net").alias("values"), NOATTR.alias("attrs")).dropDuplicates(["device_id", "name"])
+    zones = x.select("device_id", F.col("net").alias("name"), F.lit("zone").alias("kind"), F.array("net").alias("values"), no_attrs().alias("attrs")).dropDuplicates(["device_id", "name"])
     ids = rules.select("device_id", F.explode(F.concat("source", "destination")).alias("name")).distinct().where(F.col("name").rlike("^(tag|sa):") | (F.col("name") == "unstated-source"))
     known = F.col("name") != "unstated-source"
-    ids = ids.select("device_id", "name", F.lit("address_group").alias("kind"), F.when(known, F.array("name")).otherwise(NOSTR).alias("values"), F.when(known, NOATTR).otherwise(F.create_map(F.lit("members_unknown"), F.lit("true"))).alias("attrs"))
+    ids = ids.select("device_id", "name", F.lit("address_group").alias("kind"), F.when(known, F.array("name")).otherwise(no_strings()).alias("values"), F.when(known, no_attrs()).otherwise(F.create_map(F.lit("members_unknown"), F.lit("true"))).alias("attrs"))
     return _finish(rules, zones.unionByName(ids).unionByName(_named_protocols(rules)), None, _policy(files, "deny", False, False))
 
 
@@ -184,12 +189,12 @@ def iptables_rules(lines: DataFrame) -> dict[str, DataFrame]:
            .when(~proto.isin("tcp", "udp", "icmp", "icmpv4", "icmpv6"), F.array(F.concat(F.lit("proto:"), proto))).when(port == "", F.array(F.concat(proto, F.lit("/1-65535")))).otherwise(F.array(F.concat(proto, F.lit("/"), port))))
     rules = r.select("device_id", F.concat("chain", F.lit("#"), F.col("n").cast("string")).alias("id"), F.substring(t, 1, 120).alias("name"), F.lit(0).alias("ord"), F.lit(True).alias("enabled"),
                      F.when(F.lower(opt("-j")).isin("allow", "accept"), "allow").otherwise("deny").alias("action"), val(opt("-s")).alias("source"), val(opt("-d")).alias("destination"), svc.alias("services"),
-                     F.when(inb, F.array("chain")).otherwise(NOSTR).alias("source_zones"), F.when(inb, NOSTR).otherwise(F.array("chain")).alias("destination_zones"), _ev(t, F.col("line")).alias("evidence"))
+                     F.when(inb, F.array("chain")).otherwise(no_strings()).alias("source_zones"), F.when(inb, no_strings()).otherwise(F.array("chain")).alias("destination_zones"), _ev(t, F.col("line")).alias("evidence"))
     c = lines.where(t.rlike(r"^:\S+\s+\S+")).select("device_id", F.regexp_extract(t, r"^:(\S+)\s+(\S+)", 1).alias("name"), F.lower(F.regexp_extract(t, r"^:(\S+)\s+(\S+)", 2)).alias("p"))
-    zones = c.select("device_id", "name", F.lit("zone").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    zones = c.select("device_id", "name", F.lit("zone").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     d = c.groupBy("device_id").agg(F.every(F.col("p").isin("block", "blockinbound")).alias("b"), F.bool_or(F.col("p") == "allow").alias("a"))
     pol = lines.select("device_id").distinct().join(d, "device_id", "left").select("device_id", F.when(F.col("a") & ~F.col("b"), "allow").otherwise("deny").alias("default_action"), F.coalesce(F.col("b") | F.col("a"), F.lit(False)).alias("default_action_observed"),
-                                                                                  F.lit(True).alias("unordered"), NOSTR.alias("untrusted_zones"))
+                                                                                  F.lit(True).alias("unordered"), no_strings().alias("untrusted_zones"))
     return _finish(rules, zones, None, pol)
 
 
@@ -209,21 +214,21 @@ def keyvalue_rules(values: DataFrame, group_type: str = "8") -> dict[str, DataFr
     """Policy tables spread over `name_N` keys. values(device_id, path, value): the last value of each key."""
     a = _indexed(values, ["addrObjId", "addrObjType", "addrObjIp1", "addrObjIp2", "addrObjZone"]).where("addrObjId != ''")
     v1, v2 = F.coalesce("addrObjIp1", F.lit("")), F.coalesce("addrObjIp2", F.lit(""))
-    av = F.when((F.coalesce("addrObjType", F.lit("")) == group_type) | v1.isin("", "0.0.0.0"), NOSTR).when(v2.isin("", "0.0.0.0") | (v1 == v2), F.array(v1)).otherwise(F.array(F.concat_ws("-", v1, v2)))
+    av = F.when((F.coalesce("addrObjType", F.lit("")) == group_type) | v1.isin("", "0.0.0.0"), no_strings()).when(v2.isin("", "0.0.0.0") | (v1 == v2), F.array(v1)).otherwise(F.array(F.concat_ws("-", v1, v2)))
     m = _indexed(values, ["addro_atomToGrp", "addro_grpToGrp"]).where("addro_atomToGrp != '' and addro_grpToGrp != ''")
     members = m.select("device_id", F.col("addro_grpToGrp").alias("parent"), F.col("addro_atomToGrp").alias("child"), F.col("idx").cast("bigint").alias("ordinal"))
-    addr = a.select("device_id", F.col("addrObjId").alias("name"), F.when(F.col("addrObjType") == group_type, "address_group").otherwise("address").alias("kind"), av.alias("values"), NOATTR.alias("attrs"), "idx")
-    grp = members.select("device_id", F.col("parent").alias("name")).distinct().select("device_id", "name", F.lit("address_group").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"), F.lit(0).alias("idx"))
+    addr = a.select("device_id", F.col("addrObjId").alias("name"), F.when(F.col("addrObjType") == group_type, "address_group").otherwise("address").alias("kind"), av.alias("values"), no_attrs().alias("attrs"), "idx")
+    grp = members.select("device_id", F.col("parent").alias("name")).distinct().select("device_id", "name", F.lit("address_group").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"), F.lit(0).alias("idx"))
     s = _indexed(values, ["svcObjId", "svcObjType", "svcObjPort1", "svcObjPort2", "svcObjIpType"]).where("svcObjId != ''")
     proto = reduce(lambda c, kv: c.when(F.col("svcObjIpType") == kv[0], kv[1]), KV_PROTO.items(), F.when(F.lit(False), ""))
     p1, p2 = F.coalesce("svcObjPort1", F.lit("")), F.coalesce("svcObjPort2", F.lit(""))
-    sv = F.when(p1.isin("", "0"), NOSTR).when((p2 == "") | (p1 == p2), F.array(F.concat_ws("/", "proto", p1))).otherwise(F.array(F.concat(F.col("proto"), F.lit("/"), p1, F.lit("-"), p2)))
+    sv = F.when(p1.isin("", "0"), no_strings()).when((p2 == "") | (p1 == p2), F.array(F.concat_ws("/", "proto", p1))).otherwise(F.array(F.concat(F.col("proto"), F.lit("/"), p1, F.lit("-"), p2)))
     s = s.withColumn("proto", proto)
     group = F.coalesce(F.col("svcObjType") == "2", F.lit(False))
-    svc = s.select("device_id", F.col("svcObjId").alias("name"), F.when(group, "service_group").otherwise("service").alias("kind"), F.when(group | F.col("proto").isNull(), NOSTR).otherwise(sv).alias("values"),
-                   F.when(group, F.create_map(F.lit("members_unknown"), F.lit("true"))).when(F.col("proto").isNull(), F.create_map(F.lit("protocol_unknown"), F.coalesce("svcObjIpType", F.lit("")))).otherwise(NOATTR).alias("attrs"), "idx")
+    svc = s.select("device_id", F.col("svcObjId").alias("name"), F.when(group, "service_group").otherwise("service").alias("kind"), F.when(group | F.col("proto").isNull(), no_strings()).otherwise(sv).alias("values"),
+                   F.when(group, F.create_map(F.lit("members_unknown"), F.lit("true"))).when(F.col("proto").isNull(), F.create_map(F.lit("protocol_unknown"), F.coalesce("svcObjIpType", F.lit("")))).otherwise(no_attrs()).alias("attrs"), "idx")
     z = _indexed(values, ["zoneObjId"]).where("zoneObjId != ''")
-    zones = z.select("device_id", F.col("zoneObjId").alias("name"), F.lit("zone").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"), "idx")
+    zones = z.select("device_id", F.col("zoneObjId").alias("name"), F.lit("zone").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"), "idx")
     # an address object keeps its name over a service or zone of the same name; membership makes it a group
     every = addr.withColumn("p", F.lit(0)).unionByName(grp.withColumn("p", F.lit(1))).unionByName(svc.withColumn("p", F.lit(2))).unionByName(zones.withColumn("p", F.lit(3)))
     o = every.groupBy("device_id", "name").agg(F.min_by(F.struct("kind", "values", "attrs"), F.struct("p", F.when(F.size("values") > 0, 0).otherwise(1), "idx")).alias("o"), F.bool_or(F.col("p") == 1).alias("isg"))
@@ -233,7 +238,7 @@ def keyvalue_rules(values: DataFrame, group_type: str = "8") -> dict[str, DataFr
         cols = ["Name", "Action", "Enabled", "Log", "SrcZone", "DstZone", "SrcNet", "DstNet", "DstSvc", "Priority", "HitCount"]
         p = _indexed(values, [f"policy{c}{suf}" for c in cols]).toDF("device_id", "idx", *cols).where("Name != ''")
         side = lambda c: F.when(F.coalesce(c, F.lit("")).isin("4294967295", "-1", ""), F.array(F.lit("any"))).otherwise(F.array(c))
-        zone = lambda c: F.when(F.coalesce(c, F.lit("")) == "", NOSTR).otherwise(F.array(c))
+        zone = lambda c: F.when(F.coalesce(c, F.lit("")) == "", no_strings()).otherwise(F.array(c))
         parts.append(p.select("device_id", F.concat(F.lit(f"policy{suf}_"), F.col("idx").cast("string")).alias("id"), F.concat("Name", F.lit(f" [{fam}#"), F.col("idx").cast("string"), F.lit("]")).alias("name"),
                               F.coalesce(F.nullif(F.col("Priority").try_cast("int"), F.lit(0)), F.col("idx")).alias("ord"), F.coalesce(F.col("Enabled") == "1", F.lit(False)).alias("enabled"), F.when(F.col("Action") == "2", "allow").otherwise("deny").alias("action"),
                               side("SrcNet").alias("source"), side("DstNet").alias("destination"), side("DstSvc").alias("services"), zone("SrcZone").alias("source_zones"), zone("DstZone").alias("destination_zones"),
@@ -270,7 +275,7 @@ def _with_predefined(rules: DataFrame, objects: DataFrame, members: DataFrame, t
 
 def _quoted(c: Column) -> Column:
     v = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(v == "", NOSTR).when(v.contains('"'), F.filter(F.regexp_extract_all(v, F.lit('"([^"]*)"'), F.lit(1)), lambda x: x != "")).otherwise(F.array(v))
+    return F.when(v == "", no_strings()).when(v.contains('"'), F.filter(F.regexp_extract_all(v, F.lit('"([^"]*)"'), F.lit(1)), lambda x: x != "")).otherwise(F.array(v))
 
 
 def fortios_rules(records: DataFrame) -> dict[str, DataFrame]:
@@ -287,25 +292,25 @@ def fortios_rules(records: DataFrame) -> dict[str, DataFrame]:
     ip, mask = F.when(F.col("subnet").contains("/"), F.split_part("subnet", F.lit("/"), F.lit(1))).otherwise(ip), F.when(F.col("subnet").contains("/"), F.split_part("subnet", F.lit("/"), F.lit(2))).otherwise(mask)
     n = net_of(ip, mask)
     dotted = F.concat_ws(".", *[F.shiftright(n["lo"], s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
-    cidr = F.when(n.isNotNull() & (F.col("subnet").contains(" ") | F.col("subnet").contains("/")), F.array(F.concat_ws("/", dotted, n["prefixlen"].cast("string")))).otherwise(NOSTR)
+    cidr = F.when(n.isNotNull() & (F.col("subnet").contains(" ") | F.col("subnet").contains("/")), F.array(F.concat_ws("/", dotted, n["prefixlen"].cast("string")))).otherwise(no_strings())
     av = (F.when((kind == "iprange") & F.col("start-ip").isNotNull(), F.array(F.concat_ws("-", "start-ip", F.coalesce("end-ip", "start-ip")))).when((kind == "fqdn") & F.col("fqdn").isNotNull(), F.array("fqdn"))
-          .when((kind == "wildcard") & F.col("wildcard").isNotNull(), F.array("wildcard")).when(F.col("subnet").isNotNull(), cidr).otherwise(NOSTR))
+          .when((kind == "wildcard") & F.col("wildcard").isNotNull(), F.array("wildcard")).when(F.col("subnet").isNotNull(), cidr).otherwise(no_strings()))
     addr = a.select("device_id", "name", F.lit("address").alias("kind"), av.alias("values"), F.create_map(F.lit("form"), kind).alias("attrs"))
 
     def group(section, k):
         g = table(section, ["member"]).where("member is not null")
-        return (g.select("device_id", "name", F.lit(k).alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs")), g.select("device_id", F.col("name").alias("parent"), F.posexplode(_quoted(F.col("member"))).alias("ordinal", "child")))
+        return (g.select("device_id", "name", F.lit(k).alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs")), g.select("device_id", F.col("name").alias("parent"), F.posexplode(_quoted(F.col("member"))).alias("ordinal", "child")))
 
     ag, agm = group("firewall addrgrp", "address_group")
     sg, sgm = group("firewall service group", "service_group")
     s = table("firewall service custom", ["tcp-portrange", "udp-portrange", "sctp-portrange", "protocol", "protocol-number"])
     rng = lambda p: F.transform(F.filter(F.split(F.coalesce(F.col(f"{p}-portrange"), F.lit("")), r"\s+"), lambda x: F.split_part(x, F.lit(":"), F.lit(1)) != ""), lambda x: F.concat(F.lit(p + "/"), F.split_part(x, F.lit(":"), F.lit(1))))
-    svc = s.select("device_id", "name", F.lit("service").alias("kind"), F.concat(rng("tcp"), rng("udp"), rng("sctp")).alias("values"), NOATTR.alias("attrs"))
+    svc = s.select("device_id", "name", F.lit("service").alias("kind"), F.concat(rng("tcp"), rng("udp"), rng("sctp")).alias("values"), no_attrs().alias("attrs"))
     z = table("system zone", ["interface"]).where("interface is not null")
     claim = z.select("device_id", F.col("name").alias("zone"), F.explode(_quoted(F.col("interface"))).alias("iface"))
-    zones = z.select("device_id", "name", F.lit("zone").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    zones = z.select("device_id", "name", F.lit("zone").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     i = table("system interface", ["role"])
-    ifs = i.select("device_id", "name", F.lit("interface").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    ifs = i.select("device_id", "name", F.lit("interface").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     out_if = i.where((F.lower("role") == "wan") | F.lower("name").isin(OUTSIDE)).join(claim.withColumnRenamed("iface", "name"), ["device_id", "name"], "left").select("device_id", F.coalesce("zone", "name").alias("zone"))
     untrusted = out_if.unionByName(z.where(F.lower("name").isin(OUTSIDE)).select("device_id", F.col("name").alias("zone")))
     leaves = ["name", "status", "action", "srcaddr", "dstaddr", "service", "srcintf", "dstintf", "logtraffic", "srcaddr-negate", "dstaddr-negate", "service-negate", "schedule"]
@@ -340,14 +345,14 @@ def junos_rules(records: DataFrame) -> dict[str, DataFrame]:
     a1 = got(book + r"address/([^/]+)$", "name").where("value != ''")
     a2 = got(book + r"address/([^/]+)/(dns-name|range-address|ip-prefix|wildcard-address)$", "name", "form")
     addr = a1.select("device_id", "name", "value", "ordinal").unionByName(a2.select("device_id", "name", "value", "ordinal")).groupBy("device_id", "name").agg(F.array(F.max_by("value", "ordinal")).alias("values"))
-    addr = addr.select("device_id", "name", F.lit("address").alias("kind"), "values", NOATTR.alias("attrs"))
+    addr = addr.select("device_id", "name", F.lit("address").alias("kind"), "values", no_attrs().alias("attrs"))
     sets = got(book + r"address-set/([^/]+)/(?:address|address-set)$", "name")
     apps = got(r"^applications/application/([^/]+)/(?:term/[^/]+/)?(?:custom-options/)?(protocol|destination-port|port)$", "name", "leaf")
     ap = apps.groupBy("device_id", "name").agg(F.max_by("value", F.when(F.col("leaf") == "protocol", F.col("ordinal"))).alias("proto"), F.max_by("value", F.when(F.col("leaf") != "protocol", F.col("ordinal"))).alias("port"))
-    app = ap.select("device_id", "name", F.lit("service").alias("kind"), F.when(F.coalesce("port", F.lit("")) != "", F.array(F.concat_ws("/", F.coalesce("proto", F.lit("tcp")), "port"))).otherwise(NOSTR).alias("values"), NOATTR.alias("attrs"))
+    app = ap.select("device_id", "name", F.lit("service").alias("kind"), F.when(F.coalesce("port", F.lit("")) != "", F.array(F.concat_ws("/", F.coalesce("proto", F.lit("tcp")), "port"))).otherwise(no_strings()).alias("values"), no_attrs().alias("attrs"))
     asets = got(r"^applications/application-set/([^/]+)/application$", "name")
     z = got(r"^security/zones/security-zone/([^/]+)/interfaces(?:/([^/]+))?$", "name", "i")
-    grp = lambda d, k: d.select("device_id", "name").distinct().select("device_id", "name", F.lit(k).alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    grp = lambda d, k: d.select("device_id", "name").distinct().select("device_id", "name", F.lit(k).alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     mem = lambda d, c=F.col("value"): d.where(c != "").groupBy("device_id", F.col("name").alias("parent"), c.alias("child")).agg(F.min("ordinal").alias("ordinal"))
     members = mem(sets).unionByName(mem(asets)).unionByName(mem(z, F.coalesce(F.nullif("i", F.lit("")), F.col("value"))))
     q = got(r"^security/policies/from-zone/([^/]+)/to-zone/([^/]+)/policy/([^/]+)/(.+)$", "sz", "dz", "name", "leaf")
@@ -379,15 +384,15 @@ def panos_rules(records: DataFrame) -> dict[str, DataFrame]:
         return r.where(p.rlike(rx)).select("device_id", "ordinal", "value", _unesc(F.regexp_extract(p, rx, 1)).alias("name"), F.regexp_extract(p, rx, 2).alias("leaf"))
 
     a = entry("address").where(F.col("leaf").isin("ip-netmask", "ip-range", "fqdn", "ip-wildcard")).groupBy("device_id", "name").agg(F.array(F.max_by("value", "ordinal")).alias("values"))
-    addr = a.select("device_id", "name", F.lit("address").alias("kind"), "values", NOATTR.alias("attrs"))
+    addr = a.select("device_id", "name", F.lit("address").alias("kind"), "values", no_attrs().alias("attrs"))
     ag, sg, z = entry("address-group"), entry("service-group"), entry("zone")
     dyn = ag.groupBy("device_id", "name").agg(F.bool_or(F.col("leaf").startswith("dynamic")).alias("dyn"))
-    agrp = dyn.select("device_id", "name", F.lit("address_group").alias("kind"), NOSTR.alias("values"), F.when(F.col("dyn"), F.create_map(F.lit("members_unknown"), F.lit("true"))).otherwise(NOATTR).alias("attrs"))
+    agrp = dyn.select("device_id", "name", F.lit("address_group").alias("kind"), no_strings().alias("values"), F.when(F.col("dyn"), F.create_map(F.lit("members_unknown"), F.lit("true"))).otherwise(no_attrs()).alias("attrs"))
     mem = lambda d, cond: d.where(cond).where("value != ''").groupBy("device_id", F.col("name").alias("parent"), F.col("value").alias("child")).agg(F.min("ordinal").alias("ordinal"))
     members = mem(ag, F.col("leaf").isin("member", "static/member")).unionByName(mem(sg, F.col("leaf").endswith("member"))).unionByName(mem(z, F.col("leaf").rlike(r"^network/(?:layer3|layer2|virtual-wire|tap)/member$")))
     s = entry("service").where(F.col("leaf").rlike(r"^protocol/(tcp|udp|sctp)/port$")).withColumn("v", F.explode(F.split("value", ","))).where("trim(v) != ''")
-    svc = s.groupBy("device_id", "name").agg(F.collect_set(F.concat(F.split_part("leaf", F.lit("/"), F.lit(2)), F.lit("/"), F.trim("v"))).alias("values")).select("device_id", "name", F.lit("service").alias("kind"), "values", NOATTR.alias("attrs"))
-    named = lambda d, k: d.select("device_id", "name").distinct().select("device_id", "name", F.lit(k).alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    svc = s.groupBy("device_id", "name").agg(F.collect_set(F.concat(F.split_part("leaf", F.lit("/"), F.lit(2)), F.lit("/"), F.trim("v"))).alias("values")).select("device_id", "name", F.lit("service").alias("kind"), "values", no_attrs().alias("attrs"))
+    named = lambda d, k: d.select("device_id", "name").distinct().select("device_id", "name", F.lit(k).alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     rx = r"^(.*?)/(rulebase|pre-rulebase|post-rulebase)/security/rules/entry\[([^\]]*)\]/(.+)$"
     q = r.where(p.rlike(rx)).select("device_id", "ordinal", "value", F.regexp_extract(p, rx, 1).alias("base"), F.regexp_extract(p, rx, 2).alias("book"), _unesc(F.regexp_extract(p, rx, 3)).alias("name"), F.regexp_extract(p, rx, 4).alias("leaf"))
     many = lambda leaf: F.transform(F.array_sort(F.collect_list(F.when(F.col("leaf") == leaf, F.struct("ordinal", "value")))), lambda x: x["value"])
@@ -421,15 +426,15 @@ def junos_xml_rules(records: DataFrame) -> dict[str, DataFrame]:
     g = q.groupBy("device_id", "pair", "rk").agg(F.min("ordinal").alias("at"), F.min_by("value", F.when(F.col("leaf") == "name", F.col("ordinal"))).alias("nm"), *[many(f"match/{x}").alias(x.replace("-", "_")) for x in ("source-address", "destination-address", "application")],
                                                  F.bool_or(F.col("leaf").rlike(r"^then/permit")).alias("permit"), F.bool_or(F.col("leaf").isin("then/log/session-close", "then/log/session-init")).alias("logged")).join(zp, ["device_id", "pair"], "left")
     dflt = lambda c: F.when(F.size(c) > 0, F.col(c)).otherwise(F.array(F.lit("any")))
-    zone = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(NOSTR)
+    zone = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(no_strings())
     nm = F.coalesce("nm", _unesc(F.col("rk")))
     rules = g.select("device_id", F.concat(F.coalesce("sz", F.lit("")), F.lit("->"), F.coalesce("dz", F.lit("")), F.lit(":"), nm).alias("id"), nm.alias("name"), F.row_number().over(W.partitionBy("device_id").orderBy("pat", "at")).alias("ord"), F.lit(True).alias("enabled"),
                      F.when(F.col("permit"), "allow").otherwise("deny").alias("action"), dflt("source_address").alias("source"), dflt("destination_address").alias("destination"), dflt("application").alias("services"),
                      zone("sz").alias("source_zones"), zone("dz").alias("destination_zones"), F.when(F.col("logged"), F.lit(True)).alias("logging"))
     ar = r"/address-book.*/address\[([^\]]*)\]/ip-prefix$"
-    a = r.where(p.rlike(ar)).groupBy("device_id", _unesc(F.regexp_extract(p, ar, 1)).alias("name")).agg(F.array(F.min_by("value", "ordinal")).alias("values")).select("device_id", "name", F.lit("address").alias("kind"), "values", NOATTR.alias("attrs"))
+    a = r.where(p.rlike(ar)).groupBy("device_id", _unesc(F.regexp_extract(p, ar, 1)).alias("name")).agg(F.array(F.min_by("value", "ordinal")).alias("values")).select("device_id", "name", F.lit("address").alias("kind"), "values", no_attrs().alias("attrs"))
     zn = z.select("device_id", F.col("value").alias("name")).where("name != ''").distinct()
-    zones = zn.select("device_id", "name", F.lit("zone").alias("kind"), NOSTR.alias("values"), NOATTR.alias("attrs"))
+    zones = zn.select("device_id", "name", F.lit("zone").alias("kind"), no_strings().alias("values"), no_attrs().alias("attrs"))
     d = r.where(p.rlike(base + r"/default-policy/(permit-all|deny-all)$")).groupBy("device_id").agg(F.bool_or(p.endswith("permit-all")).alias("permit"))
     pol = _policy(r.select("device_id").distinct(), "deny", False, False, zn.where(F.lower("name").isin(OUTSIDE)).select("device_id", F.col("name").alias("zone"))).join(d, "device_id", "left")
     pol = pol.withColumn("default_action", F.when(F.col("permit"), "allow").otherwise("deny")).withColumn("default_action_observed", F.col("permit").isNotNull())
