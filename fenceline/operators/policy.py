@@ -450,12 +450,13 @@ def reach(queries: DataFrame, resolved: DataFrame, policies: DataFrame) -> DataF
                        F.coalesce("destination_zone", F.lit("")).alias("destination_zone"))
     on = resolved.where("enabled").withColumn("may_skip", (F.size("src_bad") + F.size("dst_bad") + F.size("svc_bad")) > 0)
     on = on.withColumn("program", F.nullif(F.col("program"), F.lit("")))
-    cols = ["device_id", "id", "name", "ord", "action", "src", "dst", "svc", "src_bad", "dst_bad", "svc_bad", "source_zones", "destination_zones", "program"]
-    r = on.select(*cols, net.intervals("src").alias("src_iv"), net.intervals("dst").alias("dst_iv"))
+    cols = ["device_id", "id", "name", "ord", "action", "src", "dst", "svc", "src_bad", "dst_bad", "svc_bad", "source_zones", "destination_zones", "program", "may_skip"]
+    # rules and questions feed several branches; they are written once instead of being worked out for each
+    r = on = cut_lineage(on.select(*cols, net.intervals("src").alias("src_iv"), net.intervals("dst").alias("dst_iv")))
     q = q.withColumn("pk", F.coalesce("port", F.lit(-1)))
     K = ["device_id", "source", "destination", "pk", "protocol", "source_zone", "destination_zone"]
     dq = q.select(*K).distinct().withColumn("port", F.when(F.col("pk") >= 0, F.col("pk")))
-    dq = dq.withColumn("src_q", net.interval("source")).withColumn("dst_q", net.interval("destination"))
+    dq = cut_lineage(dq.withColumn("src_q", net.interval("source")).withColumn("dst_q", net.interval("destination")))
     open_to = _zone_ok(F.col("source_zones"), F.col("source_zone")) & _zone_ok(F.col("destination_zones"), F.col("destination_zone"))
     prog_ok = F.col("program").isNull() | F.col("port").isNull()
     svc = F.exists("svc", lambda v: net.svc_matches(v, F.col("protocol"), F.col("port")) | net.is_any(v))

@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from fenceline.operators import policy as G
+from fenceline.session import cut_lineage
 from fenceline.sources import files as S, rules as B
 
 
@@ -12,6 +13,8 @@ def files(spark, content, dev="d"):
 
 
 def resolved(t):
+    for k in list(t):
+        t[k] = cut_lineage(t[k])
     return G.resolve_rules(t["rules"], G.resolve_objects(t["objects"], t["members"], G.rule_names(t["rules"])))
 
 
