@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.net import net_of
 from ..functions.text import looks_like_literal
+from ..session import cut_lineage
 
 def no_strings() -> Column:
     return F.array().cast("array<string>")
@@ -280,6 +281,7 @@ def _quoted(c: Column) -> Column:
 
 def fortios_rules(records: DataFrame) -> dict[str, DataFrame]:
     """Block-form policies: document order, absent status is enabled, absent action is deny, negation and schedules undecidable."""
+    records = cut_lineage(records)  # every table below reads them
     def table(section, leaves):
         rx = rf"^{section}/([^/]+)/(.+)$"
         r = records.where(F.col("path").rlike(rx)).select("device_id", F.regexp_extract("path", rx, 1).alias("name"), F.regexp_extract("path", rx, 2).alias("leaf"), "value", "ordinal")
@@ -336,6 +338,7 @@ def fortios_rules(records: DataFrame) -> dict[str, DataFrame]:
 
 def junos_rules(records: DataFrame) -> dict[str, DataFrame]:
     """Zone-pair policies of brace or set-line records, in the order first written."""
+    records = cut_lineage(records)  # every table below reads them
     r, p = records, F.col("path")
 
     def got(rx, *groups):
@@ -377,6 +380,7 @@ def _unesc(c: Column) -> Column:
 
 def panos_rules(records: DataFrame) -> dict[str, DataFrame]:
     """XML rulebases: pre, local and post in that order; what App-ID, negation or default ports decide is undecidable here."""
+    records = cut_lineage(records)  # every table below reads them
     r, p = records, F.col("path")
 
     def entry(section):
@@ -415,6 +419,7 @@ def panos_rules(records: DataFrame) -> dict[str, DataFrame]:
 
 def junos_xml_rules(records: DataFrame) -> dict[str, DataFrame]:
     """Zone-pair policies of an XML export, keyed by pair and rule, in document order."""
+    records = cut_lineage(records)  # every table below reads them
     r, p = records, F.col("path")
     base = r"configuration/security/policies"
     rx = base + r"/policy\[([^\]]*)\]/policy\[([^\]]*)\]/(.+)$"
