@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from .language import op1_language
 from .quality import op2_quality
+from .tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op10_token_counts)}
 ORACLE: dict[str, str] = {}
