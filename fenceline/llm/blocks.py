@@ -56,14 +56,16 @@ def _block(parts: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     return tokens, np.append(first, len(hs)).astype(np.int32), row[order], n[order]
 
 
-def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable | None = None, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable | None = None, lower: bool = False, block_bytes: int = BLOCK_BYTES,
+             mark: Column | None = None, end: str | None = None) -> DataFrame:
     """Postings of the tokens of whole texts. A block's row with a null token lists its documents in `rows`, with `info` of each.
 
     spans(bytes, text starts) gives each token's start, end and text (default: words of other than ASCII white space). `rows` are
     numbers that tell the rows of docs apart, equal rows too; they depend on how the input is split and are good for one plan only.
+    The lowest bit of a row's number is its `mark`. `end` is a token that every text, an empty one too, holds once besides its own.
     """
     find = spans or words.word_spans
-    src = docs.select(text.alias("__text"), F.struct(*info).alias("__info"))
+    src = docs.select(text.alias("__text"), F.struct(*info).alias("__info"), F.coalesce(mark if mark is not None else F.lit(False), F.lit(False)).alias("__mark"))
     kind = src.schema["__info"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +73,9 @@ def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable
         seen = 0
         for batch in batches:
             offsets, data = words.text_bytes(batch.column(0))
+            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in words.chunks(offsets, block_bytes):
-                ids = np.arange(j - i, dtype=np.int64) + ((task << 40) + seen)
+                ids = (np.arange(j - i, dtype=np.int64) + ((task << 40) + seen)) * 2 + marks[i:j]
                 seen += j - i
                 parts = []
                 for k, m in words.chunks(offsets[i : j + 1]):
@@ -87,6 +90,8 @@ def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable
                 holder = pa.array(ids)
                 details = batch.column(1).slice(i, j - i)
                 yield _batch(pa.nulls(1, pa.string()), np.array([0, j - i], np.int32), holder, pa.nulls(j - i, pa.int32()), details)
+                if end is not None:
+                    yield _batch(pa.array([end]), np.array([0, j - i], np.int32), holder, pa.array(np.ones(j - i, np.int32)), None, details.type)
                 if parts:
                     tokens, cuts, rows, n = _block(parts)
                     for a in range(0, len(tokens), 50_000):
