@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from .language import op1_language
 from .mixing import op4_mixing
+from .near import op8_near_duplicates
 from .ppm import op9_lm_score
 from .quality import op2_quality
 from .secrets import op7_secrets
 from .tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op4_mixing, op7_secrets, op9_lm_score, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op4_mixing, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts)}
 ORACLE: dict[str, str] = {}
