@@ -1,6 +1,7 @@
 """The queries of these operators by name, and SQL twins where SQL can express them."""
 from __future__ import annotations
 
+from .ann import op5_neighbours
 from .language import op1_language
 from .mixing import op4_mixing
 from .near import op8_near_duplicates
@@ -10,5 +11,5 @@ from .quality import op2_quality
 from .secrets import op7_secrets
 from .tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_packing, op4_mixing, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_packing, op4_mixing, op5_neighbours, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts)}
 ORACLE: dict[str, str] = {}
