@@ -1,18 +1,21 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token and joined to the documents' pre-token frequencies.
 
 In the vocabulary used here no piece continues past a space that follows another character, so a text falls into pre-tokens that begin
-at each run of spaces and are merged on their own.
+at each run of spaces and are merged on their own. Distinct pre-tokens are those of a block of whole texts, and the join of their counts
+to the frequencies (document, pre-token, times) stays within the block, so nothing is shuffled.
 """
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .blocks import by_document, postings
+from . import words
+from .blocks import gather
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+BLOCK_BYTES = 4 << 20
 _loaded: dict = {}
 
 
@@ -50,7 +53,20 @@ def count_pieces(tokens: list[str], path: str) -> list[int]:
     return [len(ids) if t != " " else 1 for t, ids in zip(tokens, got)]
 
 
-def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, limit: int = LIMIT) -> DataFrame:
+def block_counts(c: np.ndarray, doc_starts: np.ndarray, path: str) -> np.ndarray:
+    """Tokens of each text of a block."""
+    if not len(c):
+        return np.zeros(len(doc_starts), np.int64)
+    starts, ends, row = pre_tokens(c, doc_starts)
+    _, first, which = np.unique(words.hashed(c, starts, ends), return_index=True, return_inverse=True)
+    offsets, text = gather(c, starts[first], ends[first])
+    distinct = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text)).to_pylist()
+    pieces = np.array(count_pieces(distinct, path), np.int64)
+    pair, times = np.unique(row * len(first) + which, return_counts=True)  # (document, pre-token) and how often
+    return np.bincount(pair // len(first), times * pieces[pair % len(first)], minlength=len(doc_starts)).astype(np.int64)
+
+
+def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: key, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     Null and empty texts have 0 bytes and 0 tokens. Texts are counted whole at any length. Null keys and repeated rows are rows of
@@ -59,17 +75,16 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     path = path or model_path()
     t = F.col(text)
     spaced = F.when(F.length(t) > 0, F.concat(F.lit(" "), F.replace(t, F.lit("▁"), F.lit(" "))))
-    info = [F.col(key).alias("key"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("n_bytes")]
-    post = postings(docs, spaced, info, pre_tokens)
+    src = docs.select(key, F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("n_bytes"), spaced.alias("__text"))
+    schema = src.select(key, "n_bytes").schema.add("n_tokens", "long")
 
-    @F.pandas_udf("int")
-    def pieces(tokens: pd.Series) -> pd.Series:
-        return pd.Series(count_pieces(list(tokens), path), dtype="int32")
+    def run(batches):
+        for batch in batches:
+            offsets, data = words.text_bytes(batch.column(2))
+            sums = [block_counts(data[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], path) for i, j in words.chunks(offsets, block_bytes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *sums]))], names=schema.names)
 
-    counted = post.where("token is not null").select("token").distinct().withColumn("pieces", pieces("token"))
-    joined = post.join(counted, "token", "left")
-    out = by_document(joined, ["key", "n_bytes"], n_tokens="pieces")
-    return out.select(F.col("key").alias(key), "n_bytes", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_tokens") > limit).alias("over_limit"))
+    return src.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
