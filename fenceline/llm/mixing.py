@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .store import written
+from .store import plain, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Documents of a block, the unit that is permuted; exponents tried at once and rounds, each of which narrows the bracket so many times.
@@ -102,9 +102,11 @@ def mix(docs: DataFrame, target: Target, source: str = "source", text: str = "te
     from sums per block and running sums within one. __place (0 to 1) orders the mixture. A null source is a source of its own; rows
     without words are read in whole epochs like others; equal rows are rows of their own; an empty table gives an empty one.
     """
-    n = size if size is not None else F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD))
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    sized = docs.select("*", n.cast("long").alias("__n"), name.alias("__s"))
+    rows, names = plain(docs if size is None else docs.withColumn("__size", size))
+    n = F.col(names["__size"]) if size is not None else F.regexp_count(F.coalesce(F.col(names[text]), F.lit("")), F.lit(WORD))
+    name = F.coalesce(F.concat(F.lit("="), F.col(names[source]).cast("string")), F.lit(""))
+    key = names[key]
+    sized = rows.select("*", n.cast("long").alias("__n"), name.alias("__s"))
     per = weights(totals(sized), target).select("__s", F.col("weight").alias("__weight"), F.col("exponent").alias("__exponent"), "tokens", "docs", "goal", "epochs", "left")
     block = F.conv(F.substring(hashed(F.lit(seed), F.col(key)), 1, 8), 16, 10).cast("long") % F.ceil(F.col("docs") / block_docs)
     dealt = sized.join(per, "__s").withColumn("__block", block)
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, target: Target, source: str = "source", text: str = "te
     rows = rows.withColumn("__end", F.col("start") + F.sum("__n").over(within))
     rows = rows.where((F.col("__epoch") < F.col("epochs")) | (F.col("__end") <= F.col("left")))
     place = F.when(F.col("goal") > 0, (F.col("__epoch") * F.col("tokens") + F.col("__end") - F.col("__n")) / F.col("goal")).otherwise(0.0)
-    return rows.select(*docs.columns, "__epoch", "__n", "__weight", "__exponent", place.alias("__place"))
+    return rows.select(*[F.col(names[c]).alias(c) for c in docs.columns], "__epoch", "__n", "__weight", "__exponent", place.alias("__place"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

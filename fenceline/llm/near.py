@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import words
 from .graph import components
-from .store import written
+from .store import plain, written
 
 SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 256
 BLOCK = 4096
@@ -210,9 +210,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     Equal rows are linked; exactly one row of a component is __first. Whole texts are read. Columns keep their names and values.
     """
     floor = percent / 100 - SLACK
-    plain = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
-    t, k = f"__c{docs.columns.index(text)}", f"__c{docs.columns.index(key)}"
-    rows = written(signed(plain, t, width), "signed")
+    renamed, names = plain(docs)
+    t, k = names[text], names[key]
+    rows = written(signed(renamed, t, width), "signed")
     one = F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key"), F.col("__rid").alias("rid")))
     classes = written(rows.where("__n > 0").groupBy("__node").agg(one.alias("first"), F.max(F.struct("__bands", "__sketch")).alias("s")).select("__node", "first", "s.__bands", "s.__sketch"), "classes")
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     named = written(owner.select("__node", "__root").join(least, "__root").select("__node", F.col("top.key").alias("__component"), F.col("top.rid").alias("__top")), "named")
     out = rows.drop("__bands", "__sketch").join(named, "__node", "left")
     alone = F.col("__n") == 0
-    out = out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("__n").alias("__n_shingles"), F.when(alone, F.col(k)).otherwise(F.col("__component")).alias("__component"),
+    out = out.select(*[F.col(names[c]).alias(c) for c in docs.columns], F.col("__n").alias("__n_shingles"), F.when(alone, F.col(k)).otherwise(F.col("__component")).alias("__component"),
                      (alone | (F.col("__top") == F.col("__rid"))).alias("__first"))
     return out
 

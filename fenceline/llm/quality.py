@@ -10,6 +10,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .store import plain
+
 #: floor(log2(bytes)) -> (least, most) ratio of ordinary prose at level 3. Shorter texts say too little and are not judged.
 BANDS = {
     6: (0.70, 1.20),
@@ -114,8 +116,8 @@ def assess(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that assess() keeps, with all their columns under their own names, whatever these are."""
-    plain = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
-    return assess(plain, f"__{docs.columns.index(text)}", tuple(plain.columns)).where("kept").select(*plain.columns).toDF(*docs.columns)
+    rows, names = plain(docs)
+    return assess(rows, names[text], tuple(rows.columns)).where("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .store import plain
+
 #: Fixed forms: kind -> (pattern, group that is measured, least length of it). Leftmost matches that do not overlap.
 FORMS = {
     "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -88,9 +90,10 @@ def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "span
     Random strings that overlap a fixed form are left to it. A null or empty text has no spans. Every row is scanned on its own, so
     repeated rows and texts of any length are too. `out` replaces a column of that name.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    rows, names = plain(docs)
+    t = F.coalesce(F.col(names[text]), F.lit(""))
     fixed = F.concat(*[matches(t, p, k, g, n) for k, (p, g, n) in enumerate(FORMS.values())])
-    spans = docs.withColumn("__fixed", fixed).withColumn("__runs", matches(t, CANDIDATE, len(FORMS))).withColumn("__ratio", model.scalar())
+    spans = rows.withColumn("__fixed", fixed).withColumn("__runs", matches(t, CANDIDATE, len(FORMS))).withColumn("__ratio", model.scalar())
 
     def odd(s: Column) -> Column:
         c = F.substr(t, s["start"] + 1, s["end"] - s["start"])
@@ -98,7 +101,7 @@ def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "span
         score = likelihood_ratio(c, F.col("__ratio"))
         return free & (score > F.greatest(F.lit(min_ratio), (F.char_length(c) - 1) * F.lit(min_mean)))
 
-    return spans.withColumn(out, F.array_sort(F.concat("__fixed", F.filter("__runs", odd)))).drop("__fixed", "__runs", "__ratio")
+    return spans.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != out], F.array_sort(F.concat("__fixed", F.filter("__runs", odd))).alias(out))
 
 
 def listed(spans: Column) -> Column:
@@ -109,7 +112,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """docs with every secret replaced by `<secret>`; spans that overlap are replaced as one. `chars`, if there, follows the text."""
-    found = find(docs, model, text, "__spans")
+    rows, names = plain(docs)
+    found = find(rows, model, names[text], "__spans")
     none = F.array().cast("array<struct<start: int, end: int>>")
 
     def join(acc: Column, s: Column) -> Column:
@@ -119,15 +123,16 @@ def redact(docs: DataFrame, model: DataFrame, text: str = "text", chars: str = "
         return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, own))
 
     merged = found.withColumn("__merged", F.aggregate("__spans", none, join))
-    t = F.col(text)
+    t = F.col(names[text])
     past = lambda i: F.coalesce(F.get("__merged", i - 1)["end"], F.lit(0))
     before = F.transform("__merged", lambda s, i: F.substr(t, past(i) + 1, s["start"] - past(i)))
     rest = F.substr(t, F.try_element_at("__merged", F.lit(-1))["end"] + 1, F.char_length(t))
     clean = F.when(F.size("__merged") > 0, F.concat(F.array_join(F.transform(before, lambda b: F.concat(b, F.lit(REDACTED))), ""), rest)).otherwise(t)
-    out = merged.withColumn(text, clean)
-    if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.size("__merged") > 0, F.char_length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    return out.select(*docs.columns)
+    out = merged.withColumn("__clean", clean)
+    if chars in names:
+        length = F.char_length("__clean").cast(docs.schema[chars].dataType)
+        out = out.withColumn(names[chars], F.when((F.size("__merged") > 0) & F.col(names[chars]).isNotNull(), length).otherwise(F.col(names[chars])))
+    return out.withColumn(names[text], F.col("__clean")).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
