@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.compare import PREPARED, as_items, compare, is_member, judge, prepare, same_value
 from ..session import cut_lineage
-from ..types import (ALLOW_WORDS, DECIDED, RESULT_STATES, SEVERITY_WEIGHT, TVAL, TVAL_DDL, WORST_RANK, bounded, lookup,
+from ..types import (ALLOW_WORDS, DECIDED, RESULT_STATES, SEVERITY_WEIGHT, TVAL, TVAL_DDL, WORST_RANK, bounded, small_side, lookup,
                      tval_py)
 
 MAX_CONTROLS = 5000
@@ -90,7 +90,7 @@ def latest(observations: DataFrame) -> DataFrame:
 
 def scoped_worst(observations: DataFrame, controls: DataFrame) -> DataFrame:
     """Worst state over the scoped instances of a control's field, first in order on a tie."""
-    ctl = F.broadcast(bounded(controls.select("control_id", "field", "operator", "expected"), MAX_CONTROLS, "controls"))
+    ctl = small_side(controls.select("control_id", "field", "operator", "expected"), MAX_CONTROLS)
     s = observations.where("scope is not null").join(ctl, "field")
     s = judge(s, "operator", "value", "expected", "judged")
     judged = F.col("judged")
@@ -118,7 +118,7 @@ def evaluate(devices: DataFrame, controls: DataFrame, observations: DataFrame,
     devices(device_id, platform), observations(device_id, field, scope, ordinal, state, value, confidence,
     evidence), na_fields(platform, field, reason), na_domains(platform, domain, reason).
     """
-    fields = F.broadcast(bounded(_read_fields(controls), 4 * MAX_CONTROLS, "control fields"))
+    fields = small_side(_read_fields(controls), 4 * MAX_CONTROLS)
     obs = latest(observations.join(fields, "field", "left_semi"))
     plain = (obs.where("scope is null").groupBy("device_id")
              .agg(F.map_from_entries(F.collect_list(F.struct(
@@ -339,7 +339,7 @@ def remediation_plan(risks: DataFrame, controls: DataFrame, observations: DataFr
             .where((F.col("value.kind") == "bool") & F.col("value.b"))
             .groupBy("device_id").agg(F.collect_set("field").alias("live")))
     spec = F.coalesce(F.element_at("remediation", F.coalesce("platform", F.lit(""))), F.element_at("remediation", F.lit("default")))
-    ctl = F.broadcast(bounded(controls.select("control_id", "remediation"), MAX_CONTROLS, "controls"))
+    ctl = small_side(controls.select("control_id", "remediation"), MAX_CONTROLS)
     r = risks.join(ctl, "control_id", "left").withColumn("spec", spec).join(live, "device_id", "left")
     impact = F.coalesce(F.col("spec.management_impact"), F.lit("none"))
     cuts = lookup(impact, IMPACT_FIELD)
@@ -367,7 +367,7 @@ def version_notes(devices: DataFrame, packs: DataFrame) -> DataFrame:
     """Device release against the releases its pack was verified on."""
     from ..functions.version import release_key, version_covers
     p = packs.select("platform", "verified_versions")
-    d = devices.join(F.broadcast(bounded(p, 100000, "packs")), "platform").where(F.size("verified_versions") > 0)
+    d = devices.join(small_side(p, 100000), "platform").where(F.size("verified_versions") > 0)
     res = F.transform("verified_versions", lambda v: version_covers(v, F.col("version")))
     unstated = F.coalesce(F.col("version"), F.lit("")) == ""
     note = (F.when(unstated, "not_stated").when(F.exists(res, lambda x: F.coalesce(x, F.lit(False))), F.lit(None))
@@ -408,8 +408,8 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
 
     Returns (findings after, changes, rejected). disabled rules drop their per-rule settings.
     """
-    ctl = F.broadcast(bounded(controls.select("control_id", F.col("field").alias("cfield"), F.col("operator").alias("cop"),
-                                              F.col("expected").alias("cexp")), MAX_CONTROLS, "controls"))
+    ctl = small_side(controls.select("control_id", F.col("field").alias("cfield"), F.col("operator").alias("cop"),
+                                              F.col("expected").alias("cexp")), MAX_CONTROLS)
     # both sides of the comparison read the findings; they are written once instead of being worked out again
     findings = cut_lineage(findings.select("device_id", "control_id", "state"))
     q = (fixes.select("device_id", "control_id").distinct().join(ctl, "control_id", "left")

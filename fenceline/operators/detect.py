@@ -25,6 +25,7 @@ DETECTORS = [
     ("any_any_permit", "critical", "firewall.rules.action", r"(?i)(any\s+any|0\.0\.0\.0/0|0\.0\.0\.0\s+0\.0\.0\.0|::/0)", r"(?i)\b(permit|allow|accept|pass|action)\b", None),
     ("ftp_enabled", "medium", "services.unused_enabled", r"(?i)(?<![a-z-])(ftp|tftp)(?![a-z-])", r"(?i)\b(server|enable|service|mode)\b", r"(?i)\b(passive|client|timeout|inspect)\b"),
 ]
+# How specific a detector is; what it is trusted, and a report's limit.
 SPECIFICITY = {"default_snmp_community": 0, "weak_crypto": 1, "cleartext_credential": 2}
 CONFIDENCE = 0.8
 CAP = 25
@@ -59,9 +60,9 @@ def hits_on_line(text: Column, detectors=DETECTORS) -> Column:
     return F.filter(F.array(*out), lambda h: h.isNotNull())
 
 
-def detect(lines: DataFrame, detectors=DETECTORS, cap: int | None = CAP) -> DataFrame:
-    """lines(device_id, line, text) -> one row per detection. cap is the reporting limit per detector and file
-    (credentials have none); None lifts it."""
+def detect(lines: DataFrame, detectors=DETECTORS, cap: int | None = None) -> DataFrame:
+    """lines(device_id, line, text) -> one row per detection. All are returned; cap is a report's limit per
+    detector and file (credentials have none)."""
     d = (significant(lines).withColumn("h", F.explode(hits_on_line(F.col("text"), detectors))).select("device_id", "line", "text", "h.*").withColumn("confidence", F.lit(CONFIDENCE)))
     if cap is None:
         return d

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.compare import judge
 from ..functions.text import base_control
-from ..types import DECIDED, bounded
+from ..types import DECIDED, small_side
 
 # Framework keys, and platform names as the profile table spells them.
 FRAMEWORKS = ["cis", "nist_800_53", "stig", "iso_27001"]
@@ -64,7 +64,7 @@ def framework_state(labelled: DataFrame, profiles: DataFrame) -> DataFrame:
     key = F.col("platform")
     for k, v in PLATFORM_KEY.items():
         key = F.when(F.col("platform") == k, v).otherwise(key)
-    p = F.broadcast(bounded(profiles.select("framework", "control_id", F.col("platform").alias("pkey"), F.col("expected").alias("own")), 100000, "profiles"))
+    p = small_side(profiles.select("framework", "control_id", F.col("platform").alias("pkey"), F.col("expected").alias("own")), 100000)
     j = labelled.withColumn("pkey", key).join(p, ["framework", "control_id", "pkey"], "left")
     j = judge(j, "operator", "observed", "own", "judged")
     judged = F.when(F.col("state").isin(DECIDED) & F.col("own").isNotNull(), F.col("judged")).otherwise(F.col("state"))

@@ -12,50 +12,56 @@ KV = r'(\w+)=("([^"]*)"|\S+)'
 ASA = r"%ASA-\d-(\d+):"
 
 
-def event_columns(line: Column, year: int) -> Column:
-    """L1: one struct per line, usable on a batch or a stream. NULL where the line is not an event."""
-    keys = F.regexp_extract_all(line, F.lit(KV), F.lit(1))
-    quoted = F.regexp_extract_all(line, F.lit(KV), F.lit(3))
-    plain = F.regexp_extract_all(line, F.lit(KV), F.lit(2))
-    vals = F.zip_with(quoted, plain, lambda q, p: F.regexp_replace(F.when(q != "", q).otherwise(p), r'^"+|"+$', ""))
-    pairs = F.arrays_zip(keys.alias("k"), vals.alias("v"))
+def with_event(lines: DataFrame, year: int, text: str = "value") -> DataFrame:
+    """L1: lines with `e`, one struct per line, batch or stream; NULL where the line is not an event.
+
+    The key=value pairs of a line are extracted once, to two arrays in reverse order; a spelling's last value is a lookup in them.
+    """
+    line = F.col(text)
+    pairs = F.reverse(F.regexp_extract_all(line, F.lit(KV), F.lit(0)))
+    d = lines.withColumn("__kv", pairs)
+    d = d.withColumn("__k", F.transform("__kv", lambda p: F.substring_index(p, "=", 1)))
+    d = d.withColumn("__v", F.transform("__kv", lambda p: F.regexp_replace(p, r'^\w+="*|"+$', "")))
 
     def get(names) -> Column:
         """The last value given for a spelling; the first non-empty spelling wins."""
-        one = [F.nullif(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])), -1), F.lit("")) for n in names]
-        return F.coalesce(*one, F.lit(""))
+        return F.coalesce(*[F.nullif(F.get("__v", F.array_position("__k", n).cast("int") - 1), F.lit("")) for n in names], F.lit(""))
 
-    word = None
-    for w, a in ACTION_WORDS:
-        hit = line.rlike(rf"(?i)\b{w}\b")
-        word = F.when(hit, a) if word is None else word.when(hit, a)
+    said = F.regexp_extract_all(F.lower(line), F.lit(r"\b(" + "|".join(w for w, _ in ACTION_WORDS) + r")\b"), F.lit(1))
+    d = d.withColumns({f"__{k}": get(v) for k, v in {**ALIASES, "action": ["action"]}.items()})
+    d = d.withColumn("__said", F.when(F.col("__action") == "", said))
+    word = F.coalesce(*[F.when(F.array_contains("__said", w), a) for w, a in ACTION_WORDS], F.lit(""))
     iso = F.nullif(F.regexp_extract(line, r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1), F.lit(""))
     sys = F.nullif(F.regexp_extract(line, r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})", 1), F.lit(""))
     sys_ts = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(sys, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    ts = F.coalesce(F.try_to_timestamp(F.regexp_replace(iso, "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")), sys_ts)
-    f = {k: get(v) for k, v in ALIASES.items()}
-    explicit = get(["action"])
-    ok = (f["rule_id"] != "") | (f["src"] != "") | (f["dst"] != "") | line.rlike(ASA)
-    return F.when(F.coalesce(ok & (F.trim(line) != ""), F.lit(False)), F.struct(
-        ts.alias("ts"), f["rule_id"].alias("rule_id"), F.when(explicit != "", explicit).otherwise(F.coalesce(word, F.lit(""))).alias("action"),
-        f["src"].alias("src"), f["dst"].alias("dst"), f["port"].alias("port"), f["protocol"].alias("protocol"), F.substring(F.trim(line), 1, 300).alias("raw")))
+    ts = F.coalesce(F.try_to_timestamp(F.replace(iso, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")), sys_ts)
+    ok = (F.col("__rule_id") != "") | (F.col("__src") != "") | (F.col("__dst") != "") | line.rlike(ASA)
+    e = F.when(F.coalesce(ok & (F.trim(line) != ""), F.lit(False)), F.struct(
+        ts.alias("ts"), F.col("__rule_id").alias("rule_id"), F.when(F.col("__action") != "", F.col("__action")).otherwise(word).alias("action"),
+        *[F.col(f"__{k}").alias(k) for k in ("src", "dst", "port", "protocol")], F.trim(line).alias("raw")))
+    return d.select(*lines.columns, e.alias("e"))
 
 
 def parse_logs(lines: DataFrame, year: int, text: str = "value") -> DataFrame:
     """L1: every line with its event; parsed is FALSE for a non-blank line that is no event."""
-    e = lines.withColumn("e", event_columns(F.col(text), year)).where(F.trim(F.col(text)) != "")
+    e = with_event(lines.where(F.trim(F.col(text)) != ""), year, text)
     return e.withColumn("parsed", F.col("e").isNotNull()).select(*[c for c in lines.columns if c != text], "parsed", "e.*")
 
 
 def summarise_logs(events: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """L2: (totals, per-rule activity)."""
     by = by or []
-    tot = events.groupBy(*by).agg(
-        F.count_if("parsed").alias("events"), F.count_if(~F.col("parsed")).alias("unparsed"), F.count_if(F.col("parsed") & F.col("ts").isNull()).alias("undated"),
-        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct(F.when(F.col("rule_id") != "", F.col("rule_id"))).alias("rules_seen"))
+    # both results come from one aggregate per rule id, which the plan computes once
+    rule = F.when(F.col("parsed"), F.coalesce("rule_id", F.lit("")))
+    per = events.groupBy(*by, rule.alias("rule_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("parsed") & F.col("ts").isNull()).alias("undated"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    known = F.col("rule_id").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    tot = per.groupBy(*by).agg(
+        total(F.when(known, F.col("n"))).alias("events"), total(F.when(~known, F.col("n"))).alias("unparsed"), total("undated").alias("undated"),
+        F.min("first_seen").alias("first"), F.max("last_seen").alias("last"), F.count_if(F.col("rule_id") != "").alias("rules_seen"))
     tot = tot.withColumn("window_days", F.round((F.unix_micros("last") - F.unix_micros("first")) / 86400000000.0, 1))
-    per = events.where("parsed and rule_id != ''").groupBy(*by, "rule_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
-    return tot, per
+    return tot, per.where("rule_id != ''").select(*by, "rule_id", "n", "last_seen")
 
 
 def corroborate(rules: DataFrame, totals: DataFrame, per_rule: DataFrame, quiet_days: int = 90) -> DataFrame:

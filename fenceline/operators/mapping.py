@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.text import unscope
 from ..functions.values import normalise
-from ..types import TVAL, TVAL_DDL, bounded, num_text, tval_py, tv_bool, tv_list, tv_num, tv_str
+from ..types import TVAL, TVAL_DDL, small_side, num_text, tval_py, tv_bool, tv_list, tv_num, tv_str
 
 MAX_MAPPINGS = 200000
 MAPPING = T.StructType([
@@ -48,7 +48,7 @@ def mappings_df(spark: SparkSession, rows: list[dict], field_types: dict[str, st
 
 
 def _maps(mappings: DataFrame, cond: str) -> DataFrame:
-    return F.broadcast(bounded(mappings.where(cond).withColumnRenamed("ordinal", "mord"), MAX_MAPPINGS, "mappings"))
+    return small_side(mappings.where(cond).withColumnRenamed("ordinal", "mord"), MAX_MAPPINGS)
 
 
 def _scaled(v: Column) -> Column:
@@ -261,13 +261,17 @@ def keyed_snmp_version(records: DataFrame) -> DataFrame:
     return p.select("device_id", v.alias("value")).where("value is not null")
 
 
+# Parts of an algorithm name that make it weak.
+WEAK_PARTS = ["sha1", "-cbc", "3des", "arcfour", "md5", "group1-", "diffie-hellman-group1"]
+
+
 def keyed_weak_ssh(records: DataFrame, path: str = "sshCipherControlConfig") -> DataFrame:
     """M8: enabled weak algorithms of a JSON policy of sections, each a list of {algorithm: 0 or 1}."""
     doc = F.from_json("value", "map<string,array<map<string,string>>>")
     r = records.where(F.col("path") == path).groupBy("device_id").agg(F.max_by("value", "ordinal").alias("value")).withColumn("d", doc)
     x = r.select("device_id", F.explode("d").alias("section", "entries")).select("device_id", "section", F.explode("entries").alias("e")).select("device_id", "section", F.explode("e").alias("alg", "flag"))
     weak = F.lit(False)
-    for w in ["sha1", "-cbc", "3des", "arcfour", "md5", "group1-", "diffie-hellman-group1"]:
+    for w in WEAK_PARTS:
         weak = weak | F.lower("alg").contains(w)
     return x.where(weak & ~F.lower("flag").isin("0", "false", "null", "")).groupBy("device_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "section", "alg"))).alias("value"))
 

@@ -45,7 +45,7 @@ def leaf_resolution(name: Column, found: Column, values: Column, attrs: Column,
 
 
 def resolve_objects(objects: DataFrame, members: DataFrame, names: DataFrame | None = None,
-                    propagate_unsupported: bool = True, max_rounds: int = 200) -> DataFrame:
+                    propagate_unsupported: bool = True) -> DataFrame:
     """G1: every name's state, values and path, group membership followed to the leaves.
 
     Worked from the leaves up, one round per level of nesting: a group is decided once its members are, or as
@@ -69,7 +69,7 @@ def resolve_objects(objects: DataFrame, members: DataFrame, names: DataFrame | N
     todo = cut_lineage(edges.join(groups, ["device_id", "name"], "left_semi").select("device_id", "name", "pos", "child"))
     parts = [done]
     bad = ["CYCLIC", "UNRESOLVED"] + (["UNSUPPORTED"] if propagate_unsupported else [])
-    for _ in range(max_rounds):
+    while True:  # one round per level of nesting, however deep
         known = reduce(DataFrame.unionByName, parts)
         j = todo.join(known.select("device_id", F.col("name").alias("child"), "state", F.col("values").alias("v"),
                                    F.col("path").alias("cp")), ["device_id", "child"], "left")
@@ -150,6 +150,7 @@ def unresolved(resolutions: DataFrame) -> DataFrame:
 ADMIN_PORTS = {22: "ssh", 23: "telnet", 3389: "rdp", 5900: "vnc", 161: "snmp", 443: "https-mgmt", 80: "http-mgmt"}
 SENSITIVE_PORTS = {3306: "mysql", 5432: "postgres", 1433: "mssql", 27017: "mongodb", 6379: "redis",
                    9200: "elasticsearch", 445: "smb", 135: "rpc", 389: "ldap"}
+# Zone names that are untrusted unless told otherwise.
 UNTRUSTED_DEFAULT = ["wan", "untrust", "internet", "public", "wlan", "sslvpn"]
 
 
@@ -515,10 +516,10 @@ def parser_agreement(ours: DataFrame, theirs: DataFrame, prefixes: DataFrame) ->
 
     Paths are matched by cutting them to the (few) distinct prefix lengths in use, an equi-join.
     """
-    from ..types import bounded
+    from ..types import small_side
     px = prefixes.select("prefix").distinct()
-    lens = F.broadcast(bounded(px.select(F.length("prefix").alias("n")).distinct(), 1000, "prefix lengths"))
-    pb = F.broadcast(bounded(px, 1000000, "prefixes"))
+    lens = small_side(px.select(F.length("prefix").alias("n")).distinct(), 1000)
+    pb = small_side(px, 100000)
 
     def hits(df, flag):
         cut = df.select("device_id", "path").join(lens, F.length("path") >= F.col("n")).select("device_id", F.substring("path", F.lit(1), F.col("n")).alias("prefix"))

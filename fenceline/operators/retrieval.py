@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import canonical_line, canonical_tokens, const_map, tokenize
-from ..types import bounded
+from ..types import bounded, small_side
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -99,7 +99,7 @@ def dense_rank(queries: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame
 
     The query side is size-checked and broadcast; the vectors are never shuffled, only each task's k best are.
     """
-    q = F.broadcast(bounded(queries.select("query_id", unit(F.col("embedding")).alias("qv")), MAX_QUERY_VECTORS, "query vectors"))
+    q = small_side(queries.select("query_id", unit(F.col("embedding")).alias("qv")), MAX_QUERY_VECTORS)
     d = vectors.select("doc_id", unit(F.col("embedding")).alias("dv"))
     dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     s = d.join(q, F.size("qv") == F.size("dv")).select("query_id", "doc_id", dot.alias("sim"))
@@ -128,7 +128,7 @@ def filter_before_rank(docs: DataFrame, frameworks: list[str] | None = None, pla
 
 def collapse(hits: DataFrame, score: str = "rrf") -> DataFrame:
     """Q6: one item per (framework, title, control) and query, the best ranked; how many others said the same."""
-    title = F.lower(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.substring("text", 1, 80)))
+    title = F.lower(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("text")))
     cols = [c for c in hits.columns if c not in ("query_id", "framework", "control_id")]
     g = hits.withColumn("__t", title).groupBy("query_id", "framework", "control_id", "__t").agg(
         F.max_by(F.struct(*cols), F.struct(F.col(score), F.expr("-doc_id") if dict(hits.dtypes)["doc_id"] in ("bigint", "int") else F.col("doc_id"))).alias("h"), (F.count(F.lit(1)) - 1).alias("also_in"))
@@ -178,7 +178,7 @@ def disambiguate(examples: DataFrame) -> DataFrame:
 
 def corpus_from_packs(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     """Q11: every (line, field) a mapping's regex produces over sample lines, once each. mappings(ordinal, vendor, field, regex)."""
-    m = F.broadcast(bounded(mappings.where("regex is not null"), 200000, "mappings"))
+    m = small_side(mappings.where("regex is not null"), 200000)
     d = lines.select(F.rtrim("text").alias("text")).where("trim(text) != ''").distinct()
     j = d.join(m, F.expr("rlike(trim(text), regex) or rlike(text, regex)"))
     return j.groupBy(F.trim("text").alias("line"), "field").agg(F.min("ordinal").alias("ordinal"))
@@ -368,7 +368,7 @@ def validate_proposals(proposals: DataFrame, fields: DataFrame) -> DataFrame:
     """P25: the first reason a proposal is not usable. proposals(line, field, value, evidence), fields(field, type)."""
     from ..functions.text import anchored
     from ..functions.values import normalise
-    f = F.broadcast(bounded(fields.select("field", F.col("type").alias("want")), 100000, "fields"))
+    f = small_side(fields.select("field", F.col("type").alias("want")), 100000)
     j = proposals.join(f, "field", "left")
     v = normalise(F.col("value"), F.col("want"))
     why = (F.when(F.col("field").isNull(), "abstained").when(F.col("want").isNull(), "field not whitelisted").when(~anchored(F.col("evidence"), F.col("line")), "evidence not anchored")

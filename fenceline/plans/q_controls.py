@@ -89,10 +89,15 @@ def state_counts(spark, sf):
     return C.state_counts(V.findings(spark, sf))
 
 
-@query("select_controls", f"WITH {LABELS} SELECT c.control_id, (SELECT count(*) FROM customer) AS fleet FROM (SELECT DISTINCT control_id FROM labels_t WHERE framework IN ('stig', 'iso_27001')) c")
+@query("select_controls", "SELECT concat('P', p_partkey) AS control_id, CASE p_size % 3 WHEN 0 THEN 'core' ELSE 'extra' END AS tier FROM part WHERE p_partkey % 4 IN (0, 1) AND p_partkey % 9 <> 0 AND p_size % 3 <> 2")
 def select_controls(spark, sf):
-    kept, _ = C.select_controls(V.controls(spark), frameworks=["stig", "iso_27001", "pci"])
-    return kept.select("control_id", V.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")).scalar().alias("fleet"))
+    k = F.col("p_partkey")
+    fw = F.when(k % 4 == 0, "stig").when(k % 4 == 1, "iso_27001").when(k % 4 == 2, "cis").otherwise("nist_800_53")
+    ids = F.when(k % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("p_brand")))
+    tier = F.when(F.col("p_size") % 3 == 0, "core").when(F.col("p_size") % 3 == 1, "extra").otherwise("draft")
+    c = V.table(spark, sf, "part").select(F.concat(F.lit("P"), k.cast("string")).alias("control_id"), tier.alias("tier"), F.create_map(fw, ids).alias("frameworks"))
+    kept, _ = C.select_controls(c, tiers=["core", "extra"], frameworks=["stig", "iso_27001", "pci"])
+    return kept.select("control_id", "tier")
 
 
 @query("na_justified", f"WITH {FINDINGS} SELECT control_id, count(*) AS n FROM per WHERE state = 'NOT_APPLICABLE' GROUP BY 1")

@@ -45,12 +45,12 @@ def tfidf_cosine(spark, sf):
 
 
 DENSE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS double)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-9)) AS e FROM v),
- s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS sim FROM u q, u d WHERE q.vec_id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)"""
+ s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS sim FROM u q, u d WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s)"""
 
 
 def _dense(spark, sf, k=25):
     e = V.table(spark, sf, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return Q.dense_rank(q, e.select(F.col("vec_id").alias("doc_id"), "embedding"), k)
 
 
@@ -81,7 +81,7 @@ def needs_rerank(spark, sf):
     return Q.needs_rerank(_dense(spark, sf, 3).withColumnRenamed("sim", "score"))
 
 
-@query("collapse_duplicates", """WITH h AS (SELECT lang AS query_id, source AS framework, 'c' AS control_id, lower(substr(text, 1, 80)) AS t, doc_id, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, framework, t ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY query_id, framework, t) AS n FROM h)
+@query("collapse_duplicates", """WITH h AS (SELECT lang AS query_id, source AS framework, 'c' AS control_id, lower(text) AS t, doc_id, n_chars FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, framework, t ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY query_id, framework, t) AS n FROM h)
  SELECT query_id, framework, doc_id, n - 1 AS also_in FROM r WHERE k = 1""")
 def collapse_duplicates(spark, sf):
     d = V.table(spark, sf, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("framework"), F.lit("c").alias("control_id"), F.lit("").alias("title"), "text", "doc_id", F.col("n_chars").alias("rrf"))
@@ -145,11 +145,11 @@ def mapping_snapshot_diff(spark, sf):
     return Q.diff_mapping_snapshots(c.where("sample % 10 != 0"), c.where("sample % 11 != 0").withColumn("value", F.when(F.col("sample") % 3 == 0, "X").otherwise(F.col("value"))))
 
 
-@query("topk_accuracy", f"""WITH {DENSE}, rk AS (SELECT query_id, doc_id % 3 AS field, rank FROM r WHERE rank <= 25), g AS (SELECT vec_id AS query_id, vec_id % 3 AS field, CAST(label AS string) AS fold FROM embeddings WHERE vec_id % 10 = 0),
+@query("topk_accuracy", f"""WITH {DENSE}, rk AS (SELECT query_id, doc_id % 3 AS field, rank FROM r WHERE rank <= 25), g AS (SELECT vec_id AS query_id, vec_id % 3 AS field, CAST(label AS string) AS fold FROM embeddings WHERE vec_id % 50 = 0),
  h AS (SELECT g.query_id, g.fold, min(rk.rank) AS r FROM g LEFT JOIN rk ON rk.query_id = g.query_id AND rk.field = g.field GROUP BY 1, 2) SELECT CASE WHEN GROUPING(fold) = 1 THEN 'ALL' ELSE fold END AS fold, count(*) AS n, count(*) FILTER (r = 1) AS top1, count(*) FILTER (r <= 5) AS top5 FROM h GROUP BY GROUPING SETS ((fold), ())""")
 def topk_accuracy(spark, sf):
     ranked = _dense(spark, sf, 25).select("query_id", (F.col("doc_id") % 3).alias("field"), "rank")
-    gold = V.table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("fold"), (F.col("vec_id") % 3).alias("field"))
+    gold = V.table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("fold"), (F.col("vec_id") % 3).alias("field"))
     return Q.topk_accuracy(ranked, gold, "fold")
 
 
@@ -187,11 +187,12 @@ def verify_chain(spark, sf):
     return Q.verify_chain(seed.withColumn("prev_hash", F.coalesce(F.lag("record_hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(""))))
 
 
-@query("approval_conflicts", """WITH a AS (SELECT concat('cmd', o_custkey % 60) AS l, concat('f', o_orderkey % 3) AS f FROM orders WHERE o_orderkey % 3 <> 2 OR o_custkey % 2 = 0), g AS (SELECT l, f, count(*) AS n FROM a GROUP BY 1, 2), k AS (SELECT l, count(*) AS fields, min(f) AS first_field FROM g GROUP BY 1 HAVING count(*) > 1)
+@query("approval_conflicts", """WITH a AS (SELECT concat('cmd', o_custkey % 60) AS l, concat('f', CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE o_custkey % 3 END) AS f FROM orders), g AS (SELECT l, f, count(*) AS n FROM a GROUP BY 1, 2), k AS (SELECT l, count(*) AS fields, min(f) AS first_field FROM g GROUP BY 1 HAVING count(*) > 1)
  SELECT g.l AS key, g.f AS field, n, fields, first_field FROM g JOIN k ON k.l = g.l""")
 def approval_conflicts(spark, sf):
-    o = V.table(spark, sf, "orders").where("o_orderkey % 3 != 2 or o_custkey % 2 = 0")
-    return Q.conflicts(o.select(F.concat(F.lit("set Cmd"), (F.col("o_custkey") % 60).cast("string"), F.lit(" 12")).alias("line"), F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")).alias("field"))).withColumn("key", F.col("key"))
+    o = V.table(spark, sf, "orders")
+    field = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 3).otherwise(F.col("o_custkey") % 3)
+    return Q.conflicts(o.select(F.concat(F.lit("set Cmd"), (F.col("o_custkey") % 60).cast("string"), F.lit(" 12")).alias("line"), F.concat(F.lit("f"), field.cast("string")).alias("field"))).withColumn("key", F.col("key"))
 
 
 @query("corpus_from_packs", f"WITH {T.CFG} SELECT count(*) AS n, count(DISTINCT text) AS lines FROM (SELECT DISTINCT trim(text) AS text, 'h' AS f FROM ln WHERE line = 1 UNION ALL SELECT DISTINCT trim(text), 's' FROM ln WHERE line IN (13, 14) UNION ALL SELECT DISTINCT trim(text), 'e' FROM ln WHERE line IN (13, 14))")

@@ -84,7 +84,7 @@ def detector_cap(spark, sf):
     l = S.explode_lines(config_files(spark, sf))
     k = F.col("device_id").cast("bigint")
     merged = l.select((k % 5).alias("device_id"), (k * 100 + F.col("line")).alias("line"), "text")
-    return D.detect(merged).groupBy(F.col("device_id").alias("g"), "detector").agg(F.count(F.lit(1)).alias("n"), F.floor(F.max("line") / 100).alias("last"))
+    return D.detect(merged, cap=D.CAP).groupBy(F.col("device_id").alias("g"), "detector").agg(F.count(F.lit(1)).alias("n"), F.floor(F.max("line") / 100).alias("last"))
 
 
 @query("prescan_injection", """SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'forged system turn' ELSE 'forged assistant turn' END AS label FROM conversations WHERE role = 'system' OR role = 'assistant' OR regexp_matches(text, '(?i)\\bassistant\\s*:\\s*')""")

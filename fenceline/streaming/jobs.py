@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.change import RANK, UNDECIDED
 from ..operators.detect import SPECIFICITY, hits_on_line, significant
-from ..operators.logs import event_columns
+from ..operators.logs import with_event
 
 
 def stream_parse_logs(lines: DataFrame, year: int, text: str = "value") -> DataFrame:
     """Events of a stream of log lines; lines that are no event are dropped (count them with the batch twin)."""
-    return lines.withColumn("e", event_columns(F.col(text), year)).where("e is not null").select(*[c for c in lines.columns if c != text], "e.*")
+    return with_event(lines, year, text).where("e is not null").select(*[c for c in lines.columns if c != text], "e.*")
 
 
 def stream_rule_activity(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -88,10 +88,12 @@ def num_text(n: Column) -> Column:
     return F.when(n == F.floor(n), F.format_string("%.0f", n)).otherwise(n.cast("string"))
 
 
+def small_side(df, limit: int):
+    """df marked for broadcast if it has `limit` rows at most, counted now; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def bounded(df, limit: int, what: str):
-    """Fail loudly when a table assumed small has outgrown the bound a broadcast relies on."""
-    from pyspark.sql import Window
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return df.withColumn("__n", n).where(
-        F.when(F.col("__n") <= limit, F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"{what}: more than {limit} rows; not safe to broadcast")).cast("boolean"))).drop("__n")
+    """df, which is about to be folded into one value; fails loudly when it has outgrown what one value may hold."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.where(F.when(total <= limit, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what}: more than {limit} rows")).cast("boolean")))

@@ -169,5 +169,5 @@ def test_sinks_round_trip(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.cfg").write_text("hostname x\n")
     (tmp_path / "c" / "b.cfg").write_bytes(b"\xff\xfe bad")
-    got = {r.device_id: r.error for r in S.read_config_files(spark, str(tmp_path / "c")).collect()}
+    got = {r.name: r.error for r in S.read_config_files(spark, str(tmp_path / "c")).collect()}
     assert got["a.cfg"] is None and got["b.cfg"] is not None
