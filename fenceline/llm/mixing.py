@@ -90,7 +90,7 @@ def weights(per: DataFrame, target: Target) -> DataFrame:
     goal = F.least(w * budget, F.col("tokens") * target.max_epochs) if target.max_epochs is not None else w * budget
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens") + 1e-9)).otherwise(1).cast("long")
     out = per.withColumn("exponent", F.lit(a)).withColumn("weight", w).withColumn("goal", goal).withColumn("epochs", epochs)
-    return out.withColumn("left", F.greatest(F.col("goal") - F.col("epochs") * F.col("tokens"), F.lit(0.0)))
+    return out.withColumn("left", F.greatest(F.floor(F.col("goal") - F.col("epochs") * F.col("tokens") + 1e-6), F.lit(0)).cast("double"))  # sizes are whole
 
 
 def mix(docs: DataFrame, target: Target, source: str = "source", text: str = "text", key: str = "doc_id", size: Column | None = None, seed: int = 7,
@@ -126,6 +126,31 @@ def mix(docs: DataFrame, target: Target, source: str = "source", text: str = "te
     return rows.select(*[F.col(names[c]).alias(c) for c in docs.columns], "__epoch", "__n", "__weight", "__exponent", place.alias("__place"))
 
 
+def mixing_sql(max_epochs: float, seed: int = 7, block_docs: int = BLOCK_DOCS) -> str:
+    """The same question in plain SQL for a repetition limit and no budget: one step of the bracketing is one round of tables."""
+    steps = ["r0 AS (SELECT CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi)"]
+    for k in range(1, ROUNDS + 1):
+        steps.append(f"g{k} AS (SELECT lo + (hi - lo) * i / {GRID}.0 AS a FROM r{k - 1}, range(0, {GRID + 1}) t(i))")
+        steps.append(f"e{k} AS (SELECT a, max(pow(p, a) / p) / min(pow(p, a) / p) <= {max_epochs} + 1e-12 AS ok FROM g{k}, p GROUP BY a)")
+        steps.append(f"b{k} AS (SELECT coalesce(min(a) FILTER (ok), (SELECT hi FROM r{k - 1})) AS best FROM e{k})")
+        steps.append(f"r{k} AS (SELECT coalesce(max(a) FILTER (a < best), max(best)) AS lo, max(best) AS hi FROM e{k}, b{k})")
+    return f"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+ per AS (SELECT s, CAST(sum(n) AS DOUBLE) AS tokens, count(*) AS docs FROM d GROUP BY 1), tot AS (SELECT sum(tokens) AS total FROM per), p AS (SELECT tokens / total AS p FROM per, tot WHERE tokens > 0),
+ {", ".join(steps)}, x AS (SELECT hi AS a FROM r{ROUNDS}),
+ z AS (SELECT a, sum(pow(p, a)) AS z, min(pow(p, a - 1)) AS low FROM p, x GROUP BY a),
+ w AS (SELECT per.*, a, CASE WHEN tokens > 0 THEN pow(tokens / total, a) / z ELSE 0 END AS weight, least(CASE WHEN tokens > 0 THEN pow(tokens / total, a) / z ELSE 0 END * (total * z / low), tokens * {max_epochs}) AS goal FROM per, tot, z),
+ v AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(goal / tokens + 1e-9) AS BIGINT) ELSE 1 END AS epochs FROM w),
+ u AS (SELECT *, greatest(floor(goal - epochs * tokens + 1e-6), 0) AS rest FROM v),
+ c AS (SELECT d.doc_id, d.source, d.n, u.*, CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % CAST(ceil(docs / {block_docs}.0) AS BIGINT) AS block FROM d JOIN u ON u.s = d.s),
+ bs AS (SELECT s, block, sum(n) AS size, any_value(epochs) AS epochs, any_value(rest) AS rest FROM c GROUP BY 1, 2),
+ be AS (SELECT s, block, size, unnest(range(0, epochs + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM bs),
+ bo AS (SELECT s, block, epoch, coalesce(sum(size) OVER (PARTITION BY s, epoch ORDER BY md5('{seed}|' || s || '|' || epoch || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM be),
+ f AS (SELECT c.*, epoch, start + sum(n) OVER (PARTITION BY c.s, c.block, epoch ORDER BY md5('{seed}|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS til
+  FROM c JOIN bo ON bo.s = c.s AND bo.block = c.block)
+ SELECT doc_id, source, epoch, n AS n_words, round(weight, 6) AS weight, round(a, 6) AS exponent, round(CASE WHEN goal > 0 THEN (epoch * tokens + til - n) / goal ELSE 0 END, 6) AS place
+ FROM f WHERE epoch < epochs OR til <= rest"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as the flattest mixture that reads none more than 1.5 times reads it; all are read once at least."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
