@@ -252,6 +252,15 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     return near_duplicates(docs, text, key, width, percent).where("__first").select(*docs.columns)
 
 
+#: The same question by comparing all sets, in plain SQL.
+SQL = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) ELSE w END) AS x FROM d), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(doc_id, met) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.met)
+ SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(met) AS component_id, r.doc_id = min(met) AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and whether a document is its component's first, on two-word shingles at a similarity of 0.8."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from .ann import op5_neighbours
 from .language import op1_language
 from .mixing import mixing_sql, op4_mixing
-from .near import op8_near_duplicates
+from .near import SQL as NEAR_SQL, op8_near_duplicates
 from .packing import op3_packing
 from .passages import op6_passages
 from .ppm import op9_lm_score
@@ -13,4 +13,4 @@ from .secrets import op7_secrets
 from .tokens import op10_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_packing, op4_mixing, op5_neighbours, op6_passages, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts)}
-ORACLE: dict[str, str] = {"op4_mixing": mixing_sql(1.5)}
+ORACLE: dict[str, str] = {"op4_mixing": mixing_sql(1.5), "op8_near_duplicates": NEAR_SQL}
