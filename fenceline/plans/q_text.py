@@ -271,10 +271,22 @@ def json_leaves(spark, sf):
     return S.read_json_leaves(e.select(F.col("event_id").alias("device_id"), doc.alias("content"))).select(F.col("device_id").alias("event_id"), "path", "value")
 
 
-@query("xml_leaves")
+XML_SQL = """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS string) AS device_id, CAST(o_custkey AS string) AS c, o_orderpriority AS p, o_orderkey % 7 = 3 AS broken FROM orders)
+ SELECT device_id, 0 AS ordinal, '' AS path, NULL AS value, 'not well-formed XML' AS error FROM o WHERE broken
+ UNION ALL SELECT device_id, 1, 'cfg/@ver', concat('v', k % 3), NULL FROM o WHERE NOT broken UNION ALL SELECT device_id, 2, 'sys/host', concat('h ', c, ' & co'), NULL FROM o WHERE NOT broken
+ UNION ALL SELECT device_id, 3, 'sys/telnet', '<present>', NULL FROM o WHERE NOT broken UNION ALL SELECT device_id, 4, concat('sys/user[u%2F', c, ']/level'), p, NULL FROM o WHERE NOT broken
+ UNION ALL SELECT device_id, 5, concat('sys/rule[r', k % 5, ']/name'), concat('r', k % 5), NULL FROM o WHERE NOT broken UNION ALL SELECT device_id, 6, concat('sys/rule[r', k % 5, ']/note'), concat('<', c, '>'), NULL FROM o WHERE NOT broken
+ UNION ALL SELECT device_id, 7, 'policy[a>b]/from-zone-name', 'a', NULL FROM o WHERE NOT broken UNION ALL SELECT device_id, 8, 'policy[a>b]/to-zone-name', 'b', NULL FROM o WHERE NOT broken"""
+
+
+@query("xml_leaves", XML_SQL)
 def xml_leaves(spark, sf):
-    p = V.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("device_id"), F.col("html").alias("content"))
-    return S.read_xml_leaves(p).select("device_id", "ordinal", "path", "value", "error")
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    doc = F.concat(F.lit('<?xml version="1.0"?>\n<cfg ver="v'), (k % 3).cast("string"), F.lit('">\n <!-- a <b> --> <ns:sys>\n  <host>h '), c, F.lit(" &amp; co</host><telnet/>\n  <user name='u/"), c, F.lit("'><level>"), F.col("o_orderpriority"),
+                   F.lit("</level></user><rule><name>r"), (k % 5).cast("string"), F.lit("</name><note><![CDATA[<"), c, F.lit(">]]></note></rule></ns:sys>\n<policy><from-zone-name>a</from-zone-name><to-zone-name>b</to-zone-name></policy>"),
+                   F.when(k % 7 == 3, "</sys>").otherwise("</cfg>"))
+    o = V.table(spark, sf, "orders").select(k.cast("string").alias("device_id"), doc.alias("content"))
+    return S.read_xml_leaves(o).select("device_id", "ordinal", "path", "value", "error")
 
 
 @query("normalise_values", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN true WHEN o_orderstatus = 'F' THEN false END AS as_bool, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 3 = 1 THEN o_custkey % 9 END AS as_int,
