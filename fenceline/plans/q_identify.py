@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import identify as I
+from ..functions import text as X
+from ..operators import identify as I, retrieval as R
 from . import views as V
 from .registry import query
 
@@ -76,3 +77,39 @@ def detect_grammar(spark, sf):
 @query("guess_reader", f"WITH {FORMS_SQL} SELECT device_id, CASE m WHEN 4 THEN 'json' WHEN 5 THEN 'xml' ELSE 'indented' END AS reader FROM fl")
 def guess_reader(spark, sf):
     return files(spark, sf).select("device_id", I.guess_reader(F.col("content")).alias("reader"))
+
+
+@query("unscoped_paths", """SELECT o_orderkey, concat('sys', CASE o_orderkey % 3 WHEN 0 THEN '.if' ELSE '' END, '.mode') AS plain, CASE WHEN o_orderkey % 3 = 2 THEN 'sys.mode' WHEN o_orderkey % 3 = 1 THEN concat('a', o_custkey) ELSE concat('x[y[z', o_custkey) END AS label FROM orders""")
+def unscoped_paths(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    path = F.when(k % 3 == 0, F.concat(F.lit("sys[x[y[z"), c, F.lit("]]].if[w[v[u[t]]]].mode"))).when(k % 3 == 1, F.concat(F.lit("sys[a"), c, F.lit("].mode"))).otherwise("sys.mode")
+    return V.table(spark, sf, "orders").select("o_orderkey", X.unscope(path).alias("plain"), X.scope_label(path).alias("label"))
+
+
+@query("value_types", """WITH v AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN CAST(p_size AS string) WHEN 1 THEN 'Enabled' WHEN 2 THEN concat('10.0.0.', p_size) WHEN 3 THEN concat(p_brand, ',', p_size) WHEN 4 THEN p_name ELSE '' END AS v FROM part)
+ SELECT k, CASE k % 6 WHEN 0 THEN CASE WHEN v = '1' THEN 'bool' ELSE 'int' END WHEN 1 THEN 'bool' WHEN 2 THEN 'ip' WHEN 3 THEN 'list' WHEN 4 THEN 'str' ELSE 'unknown' END AS type,
+ CASE k % 6 WHEN 0 THEN CASE WHEN v = '1' THEN 0.2 ELSE 1.0 END WHEN 1 THEN 0.2 WHEN 2 THEN 0.15 WHEN 3 THEN 0.2 WHEN 4 THEN 0.35 ELSE 1.0 END AS multiplier FROM v""")
+def value_types(spark, sf):
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    v = F.when(k % 6 == 0, size).when(k % 6 == 1, "Enabled").when(k % 6 == 2, F.concat(F.lit("10.0.0."), size)).when(k % 6 == 3, F.concat("p_brand", F.lit(","), size)).when(k % 6 == 4, F.col("p_name")).otherwise("")
+    t = V.table(spark, sf, "part").select(k.alias("k"), X.infer_type(v).alias("type"))
+    return t.withColumn("multiplier", F.round(X.type_multiplier(F.col("type"), F.lit("int")), 6))
+
+
+@query("automatability", """SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'procedural' WHEN 1 THEN 'config' WHEN 2 THEN 'procedural' WHEN 3 THEN 'procedural' WHEN 4 THEN 'config' WHEN 5 THEN 'unknown' ELSE 'unknown' END AS kind FROM part""")
+def automatability(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (k % 7).cast("int") + 1)
+    long = F.concat(F.repeat(F.lit("filler words "), 60), F.lit("review and update it"))
+    fw = pick("nist_800_53", "nist_800_53", "nist_800_53", "stig", "stig", "stig", "iso_27001")
+    return V.table(spark, sf, "part").select(k.alias("k"), X.automatability(fw, pick("pm-3", "ac-7", "ac-7", "V-1", "V-2", "V-3", "A.1"), F.lit("title"), pick("", "lock out", long, "interview the ISSO", "text", "text", "text"),
+                                                                            pick("", "", "", "", "R1(config)# no ip http server", "look", "")).alias("kind"))
+
+
+@query("semantic_sanity", """SELECT o_orderkey AS k, o_orderkey % 4 IN (0, 3) AS sane FROM orders""")
+def semantic_sanity(spark, sf):
+    k = F.col("o_orderkey")
+    line = F.when(k % 4 == 2, "banner motd hello").otherwise(F.concat(F.lit("ntp server 10.0.0."), (k % 200).cast("string")))
+    value = F.when(k % 4 == 0, F.concat(F.lit("10.0.0."), (k % 200).cast("string"))).when(k % 4 == 1, "192.168.1.1")
+    return V.table(spark, sf, "orders").select(k.alias("k"), R.semantic_sanity(line, F.lit("ntp.servers"), value).alias("sane"))
