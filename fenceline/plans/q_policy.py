@@ -106,10 +106,10 @@ def resolve_rules(spark, sf):
 
 @query("graph_summary", """SELECT 'fleet' AS device_id, (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 5 AS objects,
  (SELECT count(*) FROM customer) AS address, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 5 AS address_group, 0 AS service, 0 AS service_group, 0 AS zone, 0 AS interface,
- (SELECT count(*) FROM customer WHERE c_custkey % 50 <> 0) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 5 AS relationships, 0 AS rules""")
+ (SELECT count(*) FROM customer WHERE c_custkey % 50 <> 0) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 5 AS relationships, (SELECT count(*) FROM lineitem) AS rules""")
 def graph_summary(spark, sf):
     o, m = _graph(spark, sf)
-    return G.graph_summary(o, m, V.raw_rules(spark, sf).where("false"))
+    return G.graph_summary(o, m, V.raw_rules(spark, sf).withColumn("device_id", F.lit("fleet")))
 
 
 @query("orphaned_objects", """SELECT concat('c', c_custkey) AS name, 'address' AS kind FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT * FROM (VALUES ('root', 'address_group'), ('mixed', 'address_group')) t(name, kind)""")
