@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import words
 
 BLOCK_BYTES = 16 << 20
-#: One row per distinct token of a block (`rows` holds, `n` times each), and one row per block with a null token for its documents.
-SCHEMA = "token string, rows array<long>, n array<int>"
+BLOCK_DOCS = 1 << 16
+#: One row per distinct token of a block, and one row per block with a null token for its documents. A cell holds a document's place in
+#: the block (16 bits), its mark (1 bit) and how often the token is in it (14 bits; more often takes more cells).
+SCHEMA = "token string, block long, cells array<int>"
+MOST = (1 << 14) - 1
 
 
 def gather(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,25 +61,25 @@ def _block(parts: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
 
 def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable | None = None, lower: bool = False, block_bytes: int = BLOCK_BYTES,
              mark: Column | None = None, end: str | None = None) -> DataFrame:
-    """Postings of the tokens of whole texts. A block's row with a null token lists its documents in `rows`, with `info` of each.
+    """Postings of the tokens of whole texts. A block's row with a null token lists its documents in `cells`, with `info` of each.
 
-    spans(bytes, text starts) gives each token's start, end and text (default: words of other than ASCII white space). `rows` are
-    numbers that tell the rows of docs apart, equal rows too; they depend on how the input is split and are good for one plan only.
-    The lowest bit of a row's number is its `mark`. `end` is a token that every text, an empty one too, holds once besides its own.
+    spans(bytes, text starts) gives each token's start, end and text (default: words of other than ASCII white space). Blocks are numbered
+    by task, so they are good for one written table only. `mark` is a flag of the document that its cells carry. `end` is a token that
+    every text, an empty one too, holds once besides its own.
     """
     find = spans or words.word_spans
     src = docs.select(text.alias("__text"), F.struct(*info).alias("__info"), F.coalesce(mark if mark is not None else F.lit(False), F.lit(False)).alias("__mark"))
     kind = src.schema["__info"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        seen = 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             offsets, data = words.text_bytes(batch.column(0))
-            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in words.chunks(offsets, block_bytes):
-                ids = (np.arange(j - i, dtype=np.int64) + ((task << 40) + seen)) * 2 + marks[i:j]
-                seen += j - i
+            marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32) << 14
+            ranges = [(a, min(a + BLOCK_DOCS, j)) for i, j in words.chunks(offsets, block_bytes) for a in range(i, j, BLOCK_DOCS)]
+            for i, j in ranges:
+                number += 1
+                ids = (np.arange(j - i, dtype=np.int32) << 15) | marks[i:j]
                 parts = []
                 for k, m in words.chunks(offsets[i : j + 1]):
                     k, m = k + i, m + i
@@ -86,31 +89,46 @@ def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable
                     if len(s):
                         first, r, n = _pairs(row, h := words.hashed(c, s, e))
                         lo, text_ = gather(c, s[first], e[first])
-                        parts.append((h[first], ids[k - i + r], n.astype(np.int32), lo[:-1], text_, lo[1:]))
-                holder = pa.array(ids)
+                        parts.append((h[first], ids[k - i + r], n, lo[:-1], text_, lo[1:]))
                 details = batch.column(1).slice(i, j - i)
-                yield _batch(pa.nulls(1, pa.string()), np.array([0, j - i], np.int32), holder, pa.nulls(j - i, pa.int32()), details)
+                yield _batch(pa.nulls(1, pa.string()), number, np.array([0, j - i]), ids, details, details.type)
                 if end is not None:
-                    yield _batch(pa.array([end]), np.array([0, j - i], np.int32), holder, pa.array(np.ones(j - i, np.int32)), None, details.type)
+                    yield _batch(pa.array([end]), number, np.array([0, j - i]), ids | 1, None, details.type)
                 if parts:
                     tokens, cuts, rows, n = _block(parts)
                     for a in range(0, len(tokens), 50_000):
                         b = min(a + 50_000, len(tokens))
                         lo, hi = cuts[a], cuts[b]
-                        yield _batch(tokens.slice(a, b - a), cuts[a : b + 1] - lo, pa.array(rows[lo:hi]), pa.array(n[lo:hi]), None, details.type)
-
-    def _batch(tokens, cuts, rows, n, details, kind=None):
-        lists = pa.array(cuts, pa.int32())
+                        cells, own = _cells(rows[lo:hi], n[lo:hi], cuts[a : b + 1] - lo)
+                        yield _batch(tokens.slice(a, b - a), number, own, cells, None, details.type)
+
+    def _cells(rows, n, cuts):
+        if n.max() <= MOST:
+            return rows | n.astype(np.int32), cuts
+        more = (n - 1) // MOST + 1  # cells for each
+        at = np.concatenate([[0], np.cumsum(more)])
+        last = np.zeros(at[-1], bool)
+        last[at[1:] - 1] = True
+        return np.repeat(rows, more) | np.where(last, np.repeat(n - (more - 1) * MOST, more), MOST).astype(np.int32), at[cuts]
+
+    def _batch(tokens, number, cuts, cells, details, kind):
+        lists = pa.array(np.asarray(cuts, np.int32))
         infos = pa.ListArray.from_arrays(lists, details) if details is not None else pa.nulls(len(tokens), pa.list_(kind))
-        return pa.RecordBatch.from_arrays([tokens, pa.ListArray.from_arrays(lists, rows), pa.ListArray.from_arrays(lists, n), infos], names=["token", "rows", "n", "info"])
+        return pa.RecordBatch.from_arrays([tokens, pa.array(np.full(len(tokens), number)), pa.ListArray.from_arrays(lists, pa.array(cells)), infos], names=["token", "block", "cells", "info"])
 
     return src.mapInArrow(run, f"{SCHEMA}, info array<{kind}>")
 
 
+def taught() -> Column:
+    """How often a posting's token is in marked documents."""
+    return F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.when(x.bitwiseAND(1 << 14) != 0, x.bitwiseAND(MOST)).otherwise(0))
+
+
 def by_document(joined: DataFrame, info: list[str], **sums: str) -> DataFrame:
-    """One row per document of the postings: its info columns, and for each name the sum of n * (column of the token)."""
+    """One row per document of the postings: its info columns, and for each name the sum of times * (column of the token)."""
     none = F.array().cast(joined.schema["info"].dataType)  # arrays_zip fills the shorter array with nulls
-    cells = F.explode(F.arrays_zip("rows", "n", F.coalesce("info", none).alias("info"))).alias("x")
-    flat = joined.select(*[F.col(c).alias(f"__{k}") for k, c in sums.items()], cells).select(
-        F.col("x.rows").alias("__row"), *[F.col(f"x.info.{c}").alias(c) for c in info], *[(F.col("x.n") * F.col(f"__{k}")).alias(f"__{k}") for k in sums])
-    return flat.groupBy("__row").agg(*[F.max(c).alias(c) for c in info], *[F.coalesce(F.sum(f"__{k}"), F.lit(0)).alias(k) for k in sums]).drop("__row")
+    cells = F.explode(F.arrays_zip("cells", F.coalesce("info", none).alias("info"))).alias("x")
+    times = F.col("x.cells").bitwiseAND(MOST)
+    flat = joined.select("block", *[F.col(c).alias(f"__{k}") for k, c in sums.items()], cells).select(
+        "block", F.shiftright("x.cells", 15).alias("__row"), *[F.col(f"x.info.{c}").alias(c) for c in info], *[(times * F.col(f"__{k}")).alias(f"__{k}") for k in sums])
+    return flat.groupBy("block", "__row").agg(*[F.max(c).alias(c) for c in info], *[F.coalesce(F.sum(f"__{k}"), F.lit(0)).alias(k) for k in sums]).drop("block", "__row")

@@ -11,11 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .blocks import by_document, postings
+from .blocks import by_document, postings, taught
 from .store import written
 from .words import text_bytes
 
@@ -164,8 +163,7 @@ def score(docs: DataFrame, training, text: str = "text", key: str = "doc_id", or
     learn = F.coalesce(training, F.lit(False))
     info = [F.col(key).alias("key"), (~learn).alias("held_out")]
     post = written(postings(docs, F.col(text), info, lower=True, mark=learn, end=END), "postings")
-    taught = F.aggregate(F.zip_with("rows", "n", lambda r, n: F.when(r.bitwiseAND(F.lit(1)) == 1, n).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
-    vocabulary = written(post.where("token is not null").groupBy("token").agg(F.sum(taught).alias("c")), "vocabulary")
+    vocabulary = written(post.where("token is not null").groupBy("token").agg(F.sum(taught()).alias("c")), "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     model = docs.sparkSession.sparkContext.broadcast(train(vocabulary, order, max_symbols))
 
