@@ -29,7 +29,7 @@ _loaded: dict = {}
 
 
 def encoder(name: str = VOCABULARY):
-    """text -> ids of tokenizers' file `name`.json, without added tokens, special strings handled as its default.
+    """(function, number of ids); the function gives a text's ids by tokenizers' file `name`.json, without added tokens, special strings handled as its default.
 
     The same vocabulary as ranks gives the same ids for ordinary text several times faster; texts that hold one of the vocabulary's
     special strings go to the tokenizer itself.
@@ -54,7 +54,7 @@ def encoder(name: str = VOCABULARY):
                 return whole.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
-        _loaded[name] = encode
+        _loaded[name] = encode, max(whole.get_vocab_size(with_added_tokens=True), END_ID + 1)
     return _loaded[name]
 
 
@@ -65,17 +65,19 @@ def _layout_key(ids: np.ndarray) -> int:
 
 
 def encoded(docs: DataFrame, text: str, keep: tuple[str, ...], vocabulary: str) -> DataFrame:
-    """The kept columns (as __0, __1, ...), __key (layout), __n (ids, END_ID included) and __ids (unsigned 32-bit, little endian)."""
+    """The kept columns (as __0, __1, ...), __key (layout), __n (ids, END_ID included) and __ids (unsigned, little endian, 16-bit
+    where the vocabulary allows it)."""
     src = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     own = [("__key", T.LongType()), ("__n", T.LongType()), ("__ids", T.BinaryType())]
     schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(*f) for f in own]])
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode, n = encoder(vocabulary)
+        kind = "<u2" if n <= 1 << 16 else "<u4"
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                ids = [np.array([*encode(t.as_py() or ""), END_ID], "<u4") for t in part.column(len(keep))]
+                ids = [np.array([*encode(t.as_py() or ""), END_ID], kind) for t in part.column(len(keep))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([_layout_key(x) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
                                                   pa.array([x.tobytes() for x in ids], pa.binary())], names=schema.names)
 
@@ -189,6 +191,7 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     schema = T.StructType([*rows.select(*names).schema.fields, *[T.StructField(*f) for f in own]])
 
     def run(batches):
+        kind = "<u2" if encoder(vocabulary)[1] <= 1 << 16 else "<u4"
         next_id = TaskContext.get().partitionId() << 32
 
         def table(pieces: list[Piece], kept: pa.Table, ids: list[np.ndarray]) -> list[pa.RecordBatch]:
@@ -197,7 +200,7 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             cols = [kept.column(i).take(pa.array([p.row for p in pieces])) for i in range(len(keep))]
             for values in zip(*[(p.start, p.length, len(ids[p.row]), p.sequence, p.offset) for p in pieces]):
                 cols.append(pa.array(values, pa.int64()))
-            cols.append(pa.array([ids[p.row][p.start : p.start + p.length].tobytes() for p in pieces], pa.binary()))
+            cols.append(pa.array([ids[p.row][p.start : p.start + p.length].astype("<u4").tobytes() for p in pieces], pa.binary()))
             return pa.Table.from_arrays(cols, names=schema.names).combine_chunks().to_batches(max_chunksize=1000)
 
         kept: list[pa.RecordBatch] = []
@@ -219,7 +222,7 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         size = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(len(names) + 2)[i].as_py(), "<u4")
+                x = np.frombuffer(batch.column(len(names) + 2)[i].as_py(), kind)
                 kept.append(batch.slice(i, 1).select(names))
                 ids.append(x)
                 starts.append(0)
