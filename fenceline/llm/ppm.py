@@ -1,8 +1,11 @@
-"""Language-model scores by prediction by partial matching over the bytes of words.
+"""Language-model scores by prediction by partial matching over the bytes of texts.
 
-A text is its words and one end token. A word is coded byte by byte and closed by a space; contexts reach back to the space before
-the word and no further, so a word's code length depends on the word alone: it is worked out once per distinct word and joined to the
-documents' word frequencies. At each byte the longest known context is tried first. The escape to the next shorter one has the
+A text is its words, each closed by a space, and one end. It is coded byte by byte; contexts are the ORDER bytes before, across words. A
+byte's code length depends on the ORDER + 1 bytes up to it alone (a gram), so it is worked out once per distinct gram. The trie is never
+in one place: grams meet by the last two bytes of their context, where all that orders 2 and up need of them lies, and orders 0 and 1,
+65,536 symbols at most whatever the input, go to every task. Each block of texts gets the code lengths of its own grams back.
+
+`score` is the same model over isolated words, with contexts that reach back to the space before the word. At each byte the longest known context is tried first. The escape to the next shorter one has the
 probability d / (n + d), with n symbols and d distinct ones seen; symbols of the contexts escaped from are excluded. All that was
 seen after a context was also seen after its suffix, so what is excluded is known for each context in advance.
 """
@@ -12,16 +15,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import by_document, postings, taught
+from . import words
+from .blocks import by_document, gather, postings, taught
 from .store import written
 from .words import text_bytes
 
-#: Longest context in bytes, and the most symbols of contexts that a model holds: the rarest beyond go, in whole classes of counts.
+#: Longest context in bytes, and the most symbols of contexts that a model of isolated words holds: the rarest beyond go, in whole classes of counts.
 ORDER = 5
 MAX_SYMBOLS = 2_000_000
 END = "\n"
+#: Bytes of text whose grams are asked for together, and grams that are worked out together (whole groups of the same two last bytes).
+TEXT_BLOCK = 16 << 20
+BUNDLE = 400_000
 U = np.uint64
 
 
@@ -45,7 +53,7 @@ def _contexts(c: np.ndarray, at: np.ndarray, place: np.ndarray, k: int) -> np.nd
     """Keys of the k bytes before each position."""
     key = np.zeros(len(at), U)
     for back in range(k, 0, -1):
-        key = (key << U(8)) | c[at - back]
+        key = (key << U(8)) | c[np.maximum(at - back, 0)]
     return key | U(k << 56)
 
 
@@ -98,29 +106,34 @@ class Model:
         """log10 of each token's probability."""
         c, place, token = _coded(tokens)
         at = np.flatnonzero(place > 0)
-        out = np.zeros(len(at))
-        out_total, out_distinct = np.zeros(len(at)), np.zeros(len(at))
-        live = np.arange(len(at))
+        grams = ((_contexts(c, at, place, self.order) & U((1 << 56) - 1)) << U(8)) | c[at]
+        return np.bincount(token[at], self.of_grams(grams, place[at]), minlength=len(tokens))
+
+    def of_grams(self, grams: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the bytes before it, of which `place` (all, if None) are there."""
+        out = np.zeros(len(grams))
+        out_total, out_distinct = np.zeros(len(grams)), np.zeros(len(grams))
+        live = np.arange(len(grams))
         for k in range(self.order, -1, -1):
             if not len(self.contexts) or not len(live):
                 break
-            i = live[place[at[live]] >= k]
-            key = _contexts(c, at[i], place, k)
+            i = live if place is None else live[place[live] >= k]
+            sym = (grams[i] & U((1 << 8 * (k + 1)) - 1)) | U(k << 56)
+            key = ((sym & U((1 << 56) - 1)) >> U(8)) | U(k << 56)
             j = np.minimum(np.searchsorted(self.contexts, key), len(self.contexts) - 1)
             known = self.contexts[j] == key
-            i, j, key = i[known], j[known], key[known]
+            i, j, sym = i[known], j[known], sym[known]
             total, distinct = self.totals[j] - out_total[i], self.distinct[j] - out_distinct[i]
-            sym = ((key & U((1 << 56) - 1)) << U(8)) | c[at[i]] | U(k << 56)
             s = np.minimum(np.searchsorted(self.symbols, sym), len(self.symbols) - 1)
             hit = self.symbols[s] == sym
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[i] += np.where(hit, np.log(self.counts[s]) - np.log(total + distinct), np.where(distinct > 0, np.log(distinct) - np.log(total + distinct), 0.0))
             out_total[i], out_distinct[i] = self.shared[j], self.distinct[j]
-            coded = np.zeros(len(at), bool)
+            coded = np.zeros(len(grams), bool)
             coded[i[hit]] = True
             live = live[~coded[live]]
         out[live] -= np.log(256 - np.minimum(out_distinct[live], 255))
-        return np.bincount(token[at], out, minlength=len(tokens)) / np.log(10)
+        return out / np.log(10)
 
 
 def train(vocabulary: DataFrame, order: int = ORDER, max_symbols: int = MAX_SYMBOLS) -> Model:
@@ -180,7 +193,170 @@ def score(docs: DataFrame, training, text: str = "text", key: str = "doc_id", or
                       F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def text_grams(column: pa.Array):
+    """For each chunk of rows [i, j): i, j, the gram of every coded byte of each text, and its row from i.
+
+    A text is coded as its words with a space after each, and END. What stands before it are four ENDs and a space.
+    """
+    offsets, data = text_bytes(column)
+    for i, j in words.chunks(offsets):
+        c = words.LOWER[data[offsets[i] : offsets[j]]]
+        start, end, row = words.word_spans(c, offsets[i:j] - offsets[i])
+        size = np.bincount(row, end - start + 1, minlength=j - i).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(size + ORDER + 1)])
+        x = np.full(at[-1], 32, np.uint8)
+        coded = np.ones(len(x), bool)
+        for k in range(ORDER):
+            x[at[:-1] + k] = 32 if k == ORDER - 1 else ord(END)
+            coded[at[:-1] + k] = False
+        x[at[1:] - 1] = ord(END)
+        if len(start):
+            cuts, text = gather(c, start, end)
+            # before a word lie the words of its chunk with a space each, and ORDER bytes for each text so far and an END for each but its own
+            to = cuts[:-1] + np.arange(len(start)) + (row + 1) * ORDER + row
+            x[np.arange(len(text)) + np.repeat(to - cuts[:-1], end - start)] = text
+        gram = np.zeros(len(x), U)
+        for back in range(ORDER, -1, -1):
+            gram[ORDER:] = (gram[ORDER:] << U(8)) | x[ORDER - back : len(x) - back]
+        yield i, j, gram[coded], np.repeat(np.arange(j - i), size + 1)
+
+
+def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As `score`, but with contexts across words and with all symbols of the training texts, however rare and however many."""
+    src = docs.select(F.col(key).alias("key"), F.coalesce(training, F.lit(False)).alias("learn"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    numbered = T.StructType([*src.schema.fields, T.StructField("rid", T.LongType()), T.StructField("block", T.LongType())])
+
+    def number(batches):
+        task = TaskContext.get().partitionId() << 40
+        n, size = 0, 0
+        for batch in batches:
+            offsets, _ = text_bytes(batch.column(2))
+            block = task + (size + offsets[:-1] - offsets[0]) // TEXT_BLOCK
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + n + np.arange(batch.num_rows)), pa.array(block)], names=numbered.names)
+            n, size = n + batch.num_rows, size + int(offsets[-1] - offsets[0])
+
+    rows = written(src.mapInArrow(number, numbered), "rows")
+    post = written(postings(rows, F.col("text"), [F.col("key"), (~F.col("learn")).alias("held_out"), F.col("rid")], lower=True, mark=F.col("learn"), end=END), "postings")
+    vocabulary = written(post.where("token is not null").groupBy("token").agg(F.sum(taught()).alias("c")), "vocabulary")
+    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+
+    def low_orders(batches):
+        held = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for _, _, gram, _ in text_grams(batch.column(0)):
+                held += np.bincount((gram & U(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["k", "n"])
+
+    pairs = rows.where("learn").select("text").mapInArrow(low_orders, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = pairs["k"].to_numpy().astype(U), pairs["n"].to_numpy()
+    short = [merged(k & U(0xFF), n), (k | U(1 << 56), n)]
+    spread = docs.sparkSession.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*short)))
+
+    def ask(batches):
+        own, parts = None, []
+
+        def sent():
+            if not parts:
+                return
+            keys, counts = merged(*(np.concatenate(x) for x in zip(*parts)))
+            for a in range(0, len(keys), 50_000):
+                part = keys[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(counts[a : a + 50_000]), pa.array(np.full(len(part), own))], names=["k", "n", "block"])
+
+        for batch in batches:
+            learn, block = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if block[a] != own:
+                    yield from sent()
+                    own, parts = block[a], []
+                for i, _, gram, row in text_grams(batch.column(0).slice(a, b - a)):
+                    parts.append(merged(gram, learn[a + i + row].astype(np.int64)))
+        yield from sent()
+
+    last_two = F.shiftrightunsigned("k", 8).bitwiseAND(0xFFFF)
+    asked = rows.select("text", "learn", "block").mapInArrow(ask, "k long, n long, block long").repartition(last_two).sortWithinPartitions(last_two)
+    reply = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("logs", T.BinaryType())])
+
+    def answer(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def worked(parts):
+            gram, n, block = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            keys, counts = merged(gram, n)
+            seen, times = keys[counts > 0], counts[counts > 0]
+            orders = [merged((seen & U((1 << 8 * (k + 1)) - 1)) | U(k << 56), times) for k in range(2, ORDER + 1)]
+            model = Model.of(*(np.concatenate(x) for x in zip(spread.value, *orders)))
+            logs = model.of_grams(keys)
+            by = np.lexsort((gram, block))
+            gram, block = gram[by], block[by]
+            found = logs[np.searchsorted(keys, gram)]
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            cells = [(block[a], gram[a:b].tobytes(), found[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            for a in range(0, len(cells), 500):
+                b, g, x = zip(*cells[a : a + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([0] * len(b), pa.int32()), pa.array(g, pa.binary()), pa.array(x, pa.binary())], names=reply.names)
+
+        for batch in batches:
+            gram, n, block = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if not len(gram):
+                continue
+            group = (gram >> U(8)) & U(0xFFFF)
+            begins = group != np.concatenate([[((held[-1][0][-1] >> U(8)) & U(0xFFFF)) if held else group[0]], group[:-1]])
+            a = 0
+            for b in np.flatnonzero(begins):
+                if size + b - a >= BUNDLE:  # a new group begins, and enough is held
+                    held.append((gram[a:b], n[a:b], block[a:b]))
+                    yield from worked(held)
+                    held, size, a = [], 0, b
+            held.append((gram[a:], n[a:], block[a:]))
+            size += len(gram) - a
+        if size:
+            yield from worked(held)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = asked.mapInArrow(answer, reply).select("*", none("string").alias("text"), none("long").alias("rid"))
+    texts = rows.select("block", F.lit(1).alias("kind"), none("binary").alias("grams"), none("binary").alias("logs"), "text", "rid")
+    met = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+
+    def add(batches):
+        own, parts, keys, logs = None, [], None, None
+        for batch in batches:
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+            edges = np.concatenate([[0], cuts, [len(block)]])
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if block[a] != own:
+                    own, parts, keys = block[a], [], None
+                if kind[a] == 0:
+                    parts += [(np.frombuffer(g.as_py(), U), np.frombuffer(x.as_py())) for g, x in zip(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a))]
+                    continue
+                if keys is None:
+                    keys, logs = (np.concatenate([p[i] for p in parts]) for i in range(2))
+                    by = np.argsort(keys)
+                    keys, logs, parts = keys[by], logs[by], []
+                out = np.zeros(b - a)
+                for i, j, gram, row in text_grams(batch.column(4).slice(a, b - a)):
+                    once, back = np.unique(gram, return_inverse=True)
+                    at = np.searchsorted(keys, once)
+                    assert (keys[at] == once).all()
+                    out[i:j] = np.bincount(row, logs[at][back], minlength=j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(5).slice(a, b - a), pa.array(out)], names=["rid", "score"])
+
+    scored = met.mapInArrow(add, "rid long, score double")
+    known = vocabulary.select("token", F.lit(1).alias("one"), (F.col("c") > 0).cast("int").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(total["n"] + total["v"] + 1))).alias("base"))
+    out = by_document(post.join(known, "token", "left"), ["key", "held_out", "rid"], n_tokens="one", n_known="known", base_score="base").join(scored, "rid")
+    return out.select(F.col("key").alias(key), "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
+                      F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every document, learned from all documents outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    return score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)

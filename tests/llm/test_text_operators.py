@@ -206,3 +206,56 @@ def test_a_token_more_frequent_than_a_cell_holds(spark):
     d = spark.createDataFrame([(1, "ha " * 40_000 + "x"), (2, "ha")], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm.score(d, F.lit(True)).collect()}
     assert got[1].n_tokens == 40_002 and got[1].n_known == 40_002 and got[2].train_tokens == 40_004
+
+
+def brute_texts(texts, trained, order=5):
+    """PPM over whole texts, by dictionaries."""
+    coded = [b"\n\n\n\n " + b"".join(lower(w).encode() + b" " for w in WORD.findall(t or "")) + b"\n" for t in texts]
+    seen = collections.defaultdict(collections.Counter)
+    for s, k in zip(coded, trained):
+        for p in range(5, len(s)) if k else ():
+            for o in range(order + 1):
+                seen[s[p - o : p]][s[p]] += 1
+    out = []
+    for s in coded:
+        total = 0.0
+        for p in range(5, len(s)):
+            gone = set()
+            for o in range(order, -1, -1):
+                left = {c: v for c, v in seen.get(s[p - o : p], {}).items() if c not in gone}
+                n, d = sum(left.values()), len(left)
+                if s[p] in left:
+                    total += math.log10(left[s[p]] / (n + d))
+                    break
+                total += math.log10(d / (n + d)) if left else 0.0
+                gone |= set(left)
+            else:
+                total -= math.log10(256 - len(gone))
+        out.append(total)
+    return out
+
+
+def test_lm_scores_use_contexts_across_words_and_all_symbols(spark, odd_docs, none, prose, tmp_path, monkeypatch):
+    import random
+
+    fluent = " ".join(prose(70, 40) for _ in range(4))
+    salad = fluent.split()
+    random.Random(3).shuffle(salad)
+    docs = [(r.doc_id, r.text) for r in odd_docs.collect()] + [(50 + i, f"{fluent} rare{i * 7919} Ärger{i}") for i in range(6)] + [(90, fluent), (91, " ".join(salad))]
+    trained = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 and i < 90 for i, _ in docs]
+    d = spark.createDataFrame([(i, t, k) for (i, t), k in zip(docs, trained)], "doc_id long, text string, k boolean").repartition(3)
+    monkeypatch.setattr(ppm, "BUNDLE", 200)
+    monkeypatch.setattr(ppm, "TEXT_BLOCK", 3000)
+    got = ppm.score_texts(d, F.col("k")).collect()
+    want = sorted(((i, round(s, 6)) for (i, _), s in zip(docs, brute_texts([t for _, t in docs], trained))), key=repr)
+    assert sorted(((g.doc_id, round(g.score, 6)) for g in got), key=repr) == want
+    by = {g.doc_id: g for g in got}
+    assert by[90].n_tokens == by[91].n_tokens and by[90].base_score == pytest.approx(by[91].base_score) and by[90].score > by[91].score + 10
+    words_only = {g.doc_id: g for g in ppm.score(d, F.col("k")).collect()}
+    assert all((by[i].n_tokens, by[i].n_known, by[i].train_tokens) == (words_only[i].n_tokens, words_only[i].n_known, words_only[i].train_tokens) for i in by)
+    assert ppm.score_texts(none.select("doc_id", "text"), F.lit(True)).count() == 0
+    one = ppm.score_texts(odd_docs.where("doc_id = 8").select("doc_id", "text"), F.lit(False)).collect()[0]
+    assert one.train_tokens == 0 and one.score == pytest.approx(-3 * math.log10(256))
+    d.drop("k").write.parquet(f"{tmp_path}/documents.parquet")  # the query: an order of words that was taught scores higher than another
+    scores = {g.doc_id: g.score for g in ppm.op9_lm_score(spark, str(tmp_path)).collect()}
+    assert scores[90] > scores[91] + 10
