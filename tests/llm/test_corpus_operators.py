@@ -133,6 +133,22 @@ def test_neighbours_recall_and_scores(spark):
     assert ann.search(d.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [128, 384, 768])
+def test_neighbours_recall_in_whole_shards_without_clusters(size):
+    r = np.random.default_rng(size)
+    v = r.standard_normal((2 * ann.SHARD_ROWS, size))
+    n = np.sqrt((v * v).sum(1))
+    ids = np.arange(len(v))
+    shards = [ann.Shard(ids[i::2], v[i::2]) for i in range(2)]
+    hit, asked = 0, range(0, len(v), 820)
+    for q in asked:
+        s = v @ v[q] / (n * n[q])
+        s[q] = -9
+        got = sorted((x for shard in shards for x in shard.nearest(q, v[q], 5)), key=lambda x: (-x[1], x[0]))[:5]
+        hit += len({i for i, _ in got} & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.95 * 5 * len(asked)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     r = random.Random(6)
     edges = [(f"p{i:03}", f"p{i + 1:03}") for i in range(70)] + [("s000", f"s{i:03}") for i in range(1, 300)] + [("x", "x"), ("y", "z"), ("z", "y")]
