@@ -1,7 +1,8 @@
 """Secret scans: fixed forms, and strings that look drawn at random.
 
 Two first-order Markov models of characters, one of random strings and one of ordinary identifiers, are trained from labelled samples.
-A long run of token characters whose log-likelihood ratio favours the random model is a secret. All of it is column expressions: a
+A long run of token characters whose log-likelihood ratio favours the random model is a secret; of other runs the long stretches that do.
+Where fixed forms cover a run in part, what they leave of it is looked at in the same way. All of it is column expressions: a
 pattern's matches have their places from the lengths of what lies between them.
 """
 from __future__ import annotations
@@ -19,6 +20,8 @@ FORMS = {
 KINDS = [*FORMS, "random"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PIECE = r"[A-Za-z0-9+=]{20,}"
+MIN_CHARS = 20
 IDENTIFIER = r"[A-Za-z0-9_-]{6,}"
 #: Log-likelihood ratio (natural) that a candidate has to exceed, and its least mean per pair of characters.
 MIN_RATIO = 14.0
@@ -84,10 +87,58 @@ def likelihood_ratio(candidate: Column, ratio: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, (code(i) - 1) * n + code(i + 1)))
 
 
+def left_over(run: Column, fixed: Column) -> Column:
+    """Parts (start, end) of a run that no span of `fixed` (in order of start) covers."""
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    grown = lambda acc, end: F.when(acc["at"] < end, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["out"])
+    over = F.filter(fixed, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("out"))
+    return F.aggregate(over, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda acc: grown(acc, run["end"]))
+
+
+def stretches(c: Column, ratio: Column, min_ratio: float, min_mean: float) -> Column:
+    """Spans (start, end) of the stretches of c that look random.
+
+    One begins where the sum of what pairs have above the mean was last used up, and ends at the sum's peak before it falls by `min_ratio`.
+    """
+    n = len(ALPHABET)
+    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(c, i, F.lit(1)))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    state = lambda start, total, raw, peak, end, kept, out: F.struct(start.alias("start"), total.alias("sum"), raw.alias("raw"), peak.alias("peak"), end.alias("end"), kept.alias("kept"), out.alias("out"))
+    zero = F.lit(0.0)
+
+    def closed(acc: Column) -> Column:
+        long = (acc["kept"] > min_ratio) & (acc["end"] - acc["start"] >= MIN_CHARS)
+        return F.when(long, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        i, total, raw = p["i"], acc["sum"] + p["x"] - min_mean, acc["raw"] + p["x"]
+        return (F.when((total < 0) | (total < acc["peak"] - min_ratio), state(i, zero, zero, zero, i, zero, closed(acc)))
+                .when(total > acc["peak"], state(acc["start"], total, raw, total, i + 1, raw, acc["out"]))
+                .otherwise(state(acc["start"], total, raw, acc["peak"], acc["end"], acc["kept"], acc["out"])))
+
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.struct(i.alias("i"), F.element_at(ratio, (code(i) - 1) * n + code(i + 1)).alias("x")))
+    return F.aggregate(pairs, state(F.lit(0), zero, zero, zero, F.lit(0), zero, none), step, closed)
+
+
+def united(spans: Column) -> Column:
+    """Spans (start, end, in order of start) with those that overlap as one."""
+    none = F.array().cast("array<struct<start: int, end: int>>")
+
+    def join(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
+        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, own))
+
+    return F.aggregate(spans, none, join)
+
+
 def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "spans", min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:
     """docs with `out`: spans (start, kind as a place in KINDS, end) of each whole text in order of start, then kind.
 
-    Random strings that overlap a fixed form are left to it. A null or empty text has no spans. Every row is scanned on its own, so
+    A random string has no part in a fixed form; what fixed forms leave of a run is scored alone, as a whole first. If that does not look
+    random, its pieces between separators and its best stretches are, MIN_CHARS at least. A null or empty text has no spans. Every row is scanned on its own, so
     repeated rows and texts of any length are too. `out` replaces a column of that name.
     """
     rows, names = plain(docs)
@@ -95,13 +146,20 @@ def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "span
     fixed = F.concat(*[matches(t, p, k, g, n) for k, (p, g, n) in enumerate(FORMS.values())])
     spans = rows.withColumn("__fixed", fixed).withColumn("__runs", matches(t, CANDIDATE, len(FORMS))).withColumn("__ratio", model.scalar())
 
-    def odd(s: Column) -> Column:
-        c = F.substr(t, s["start"] + 1, s["end"] - s["start"])
-        free = ~F.exists("__fixed", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        score = likelihood_ratio(c, F.col("__ratio"))
-        return free & (score > F.greatest(F.lit(min_ratio), (F.char_length(c) - 1) * F.lit(min_mean)))
+    def odd(c: Column) -> Column:
+        return likelihood_ratio(c, F.col("__ratio")) > F.greatest(F.lit(min_ratio), (F.char_length(c) - 1) * F.lit(min_mean))
 
-    return spans.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != out], F.array_sort(F.concat("__fixed", F.filter("__runs", odd))).alias(out))
+    def within(c: Column) -> Column:
+        cut = lambda s: F.substr(c, s["start"] + 1, s["end"] - s["start"])
+        pieces = F.transform(F.filter(matches(c, PIECE, 0), lambda s: odd(cut(s))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(odd(c), F.array(F.struct(F.lit(0).alias("start"), F.char_length(c).alias("end")))).otherwise(
+            united(F.array_sort(F.concat(pieces, stretches(c, F.col("__ratio"), min_ratio, min_mean)))))
+
+    parts = F.filter(F.flatten(F.transform("__runs", lambda s: left_over(s, F.col("__fixed")))), lambda p: p["end"] - p["start"] >= MIN_CHARS)
+    texts = F.transform(parts, lambda p: F.struct(p["start"].alias("at"), F.substr(t, p["start"] + 1, p["end"] - p["start"]).alias("c")))
+    random = F.flatten(F.transform(texts, lambda x: F.transform(within(x["c"]), lambda s: F.struct((x["at"] + s["start"]).alias("start"), F.lit(len(FORMS)).alias("kind"), (x["at"] + s["end"]).alias("end")))))
+    spans = spans.withColumn("__fixed", F.array_sort("__fixed"))
+    return spans.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != out], F.array_sort(F.concat("__fixed", random)).alias(out))
 
 
 def listed(spans: Column) -> Column:
@@ -114,15 +172,7 @@ def redact(docs: DataFrame, model: DataFrame, text: str = "text", chars: str = "
     """docs with every secret replaced by `<secret>`; spans that overlap are replaced as one. `chars`, if there, follows the text."""
     rows, names = plain(docs)
     found = find(rows, model, names[text], "__spans")
-    none = F.array().cast("array<struct<start: int, end: int>>")
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, own))
-
-    merged = found.withColumn("__merged", F.aggregate("__spans", none, join))
+    merged = found.withColumn("__merged", united(F.col("__spans")))
     t = F.col(names[text])
     past = lambda i: F.coalesce(F.get("__merged", i - 1)["end"], F.lit(0))
     before = F.transform("__merged", lambda s, i: F.substr(t, past(i) + 1, s["start"] - past(i)))
