@@ -22,16 +22,16 @@ PIECE_CHARS = 1024
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries from labelled rows: language -> raw content.
 
-    The fit uses a bounded sample: about `sample_texts` texts of each language, chosen by a hash of the text, of each at most
+    The fit uses a bounded sample: about `sample_texts` distinct texts of each language, all of them if there are no more, chosen by a hash of the text, of each at most
     PIECE_CHARS characters from a place that the hash also chooses, and in all at most `dictionary_bytes`. Rows with a null text or
     label, or without a letter, teach nothing. An empty table gives no languages.
     """
     known = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64("t", F.lit(17))
+    counts = {r["l"]: r["n"] for r in known.select("l", h.alias("h")).distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * sample_texts / n))]), F.col("l"))
-    h = F.xxhash64("t", F.lit(17))
     at = F.pmod(F.col("h"), F.greatest(F.char_length("t") - F.lit(PIECE_CHARS) + 1, F.lit(1))).cast("int") + 1
     rows = (known.withColumn("h", h).where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * float(1 << 30)).dropDuplicates(["l", "h"])
             .select("l", "h", F.substr(F.col("t"), at, F.lit(PIECE_CHARS)).alias("p")).collect())

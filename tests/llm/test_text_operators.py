@@ -99,6 +99,12 @@ def test_quality_finds_a_bad_stretch(prose):
     assert quality.ratios(prose(1, 4000).encode(), coder)[2] == 0
 
 
+def test_language_of_a_few_texts_copied_often_is_learned(spark):
+    names = [f"l{i}" for i in range(6)]
+    texts = spark.createDataFrame([(n, f"{n} some text number {i} of this language") for n in names for i in range(3)], "lang string, text string")
+    assert sorted(language.learn(texts.crossJoin(spark.range(1000)))) == names
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
