@@ -10,7 +10,9 @@ from .passages import op6_passages
 from .ppm import op9_lm_score
 from .quality import op2_quality
 from .secrets import op7_secrets
+from .suffixes import op13_repeated_strings
 from .tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_packing, op4_mixing, op5_neighbours, op6_passages, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_quality, op3_packing, op4_mixing, op5_neighbours, op6_passages, op7_secrets, op8_near_duplicates, op9_lm_score, op10_token_counts,
+                                   op13_repeated_strings)}
 ORACLE: dict[str, str] = {"op4_mixing": mixing_sql(1.5), "op8_near_duplicates": NEAR_SQL}
