@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -26,32 +27,38 @@ from . import words
 LENGTH, MER = 50, 24
 #: Bytes of whole texts in a chunk; one text at least.
 CHUNK_BYTES = 4 << 20
+#: Anchors go as their first bits: two that agree by chance are told apart by the next digit.
+ANCHOR_BITS = 48
 U = np.uint64
 _PACKED = "chunk long, ids array<long>, cuts array<long>, data binary"
 
 
 def packed(docs: DataFrame, key: Column, text: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Texts in chunks: keys, where each text begins and ends, and their bytes."""
+    """Texts in chunks: keys, where each text begins and ends, and their bytes, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, small = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             offsets, data = words.text_bytes(batch.column(1))
             for i, j in words.chunks(offsets, chunk_bytes):
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i))
                 cuts = pa.array([(offsets[i : j + 1] - offsets[i]).tolist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, cuts, pa.array([data[offsets[i] : offsets[j]].tobytes()], pa.binary())], names=["chunk", "ids", "cuts", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, cuts, pa.array([small.compress(data[offsets[i] : offsets[j]].tobytes())], pa.binary())], names=["chunk", "ids", "cuts", "data"])
                 number += 1
 
     return docs.select(key.cast("long").alias("__key"), text.alias("__text")).mapInArrow(run, _PACKED)
 
 
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class Chunk:
     """One packed row with the texts that take part; dull: places of the texts that do not."""
 
     def __init__(self, row: dict, dull: list[int], length: int):
         self.number, self.length, self.mer = row["chunk"], length, max(1, min(MER, length // 2))
-        self.bytes = np.frombuffer(row["data"], np.uint8)
+        self.bytes = np.frombuffer(_whole(row["data"]), np.uint8)
         self.cuts = np.array(row["cuts"], np.int64)
         self.live = np.array([x is not None for x in row["ids"]], bool)
         self.live[dull] = False
@@ -88,6 +95,7 @@ class Chunk:
         """(distinct anchors in order, whether two texts of the chunk hold it, runs()); worked out once."""
         if self.found is None:
             runs = self.runs()
+            runs = runs[0] >> U(64 - ANCHOR_BITS), *runs[1:]
             order = np.argsort(runs[0])
             k, t = runs[0][order], runs[1][order]
             first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
@@ -214,7 +222,8 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
             for row in batch.to_pylist():
                 cuts = row["cuts"]
                 whole = [i for i in range(len(row["ids"])) if row["ids"][i] is not None and cuts[i + 1] - cuts[i] >= length]
-                d = [hashlib.blake2b(row["data"][cuts[i] : cuts[i + 1]], digest_size=16).digest() for i in whole]
+                data = _whole(row["data"])
+                d = [hashlib.blake2b(data[cuts[i] : cuts[i + 1]], digest_size=16).digest() for i in whole]
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(whole), pa.int64()), pa.array(whole, pa.int32()), pa.array([row["ids"][i] for i in whole], pa.int64()), pa.array(d, pa.binary())], names=["chunk", "at", "id", "digest"])
 
     every = texts.mapInArrow(digests, "chunk long, at int, id long, digest binary")
