@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from ..sources.files import decode_export
+from ..types import small_side
+from . import literals
+from .jsonpath import path_values, understood
 
 # Platform, vendor, os, reader, patterns that decide, patterns that hint, and where version, hostname and serial stand.
 SIGNATURES = [
@@ -127,16 +130,38 @@ def fingerprint(files: DataFrame, taught: DataFrame | None = None, signatures: l
     return out if taught is None else learned(cut_lineage(out), taught)  # written once, read three times
 
 
+def taught_problems(taught: DataFrame) -> DataFrame:
+    """(platform, signature, error): taught patterns that cannot be compiled and taught paths that are not understood. Their platforms are never named."""
+    text = literals.bad_patterns(taught.where("reader is distinct from 'json'"), "signature").select("platform", "signature", "error")
+    odd = taught.where((F.col("reader") == "json") & ~understood(F.col("signature")))
+    return text.unionByName(odd.select("platform", "signature", F.concat(F.lit("path not understood: "), F.col("signature")).alias("error")))
+
+
 def learned(files: DataFrame, taught: DataFrame) -> DataFrame:
     """P5: UNKNOWN files against taught signatures; a platform is named only if every one of its signatures matches, the first by name
-    if several do. JSON signatures are paths, others patterns. taught(platform, vendor, reader, signature)."""
-    n = taught.where(F.trim("signature") != "").groupBy("platform", "vendor", "reader").agg(F.collect_set("signature").alias("sigs"))
+    if several do. JSON signatures are paths, others patterns. taught(platform, vendor, reader, signature).
+
+    A file calls up the signatures that share a word with it; only where all of a platform's are called up are its patterns tested on the content.
+    """
+    who = ["platform", "vendor", "reader"]
+    sigs = cut_lineage(taught.where(F.trim("signature") != "").select(*who, "signature").distinct())
+    of = sigs.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).withColumn("who", F.struct(*who))
     c = F.coalesce(F.col("content"), F.lit(""))
-    asked = files.where("platform = 'UNKNOWN'").select("device_id", c.alias("__c"), (F.trim(c).substr(1, 1).isin("{", "[") & F.try_parse_json(c).isNotNull()).alias("__json"))
-    # the kind of document is the join key, so a text never meets a signature of the other kind
-    pairs = asked.join(n.withColumn("__json", F.col("reader") == "json"), "__json")
-    fits = pairs.where(F.when(F.col("__json"), F.forall("sigs", lambda s: F.call_function("get_json_object", F.col("__c"), s).isNotNull())).otherwise(F.forall("sigs", lambda s: F.regexp_like(F.col("__c"), F.concat(F.lit("(?m)"), s)))))
-    best = fits.groupBy("device_id").agg(F.min(F.struct("platform", "vendor", "reader")).alias("t"))
+    asked = cut_lineage(files.where("platform = 'UNKNOWN'").select("device_id", c.alias("content"), (F.trim(c).substr(1, 1).isin("{", "[") & F.try_parse_json(c).isNotNull()).alias("json")))
+
+    index = literals.indexed(sigs.where("reader is distinct from 'json'").select(F.struct(*who).alias("who"), "signature"), "signature")
+    kinds = index.agg(F.coalesce(F.bool_or(F.col("__key").startswith("g:")), F.lit(False)).alias("g"), F.coalesce(F.bool_or(F.col("__key") == ""), F.lit(False)).alias("e")).first()
+    words = asked.where("not json").select("device_id", F.explode(literals.text_keys(F.col("content"), kinds["g"], kinds["e"])).alias("__key"))
+    called = words.join(small_side(index.select("who", "signature", "__key"), literals.MAX_INDEXED), "__key").groupBy("device_id", "who").agg(F.collect_set("signature").alias("sigs"))
+    able = called.join(of.select("who", "n"), "who").where(F.size("sigs") == F.col("n"))
+    text = able.join(asked.select("device_id", "content"), "device_id").where(F.forall("sigs", lambda s: F.regexp_like(F.col("content"), F.concat(F.lit("(?m)"), s)))).select("device_id", "who")
+
+    paths = sigs.where("reader = 'json'")
+    got = path_values(asked.where("json").select("device_id", F.lit("").alias("group"), "content"), paths.select(F.lit("").alias("group"), F.col("signature").alias("expr")).distinct())
+    fits = got.where(~F.is_variant_null("v")).select("device_id", F.col("expr").alias("signature")).distinct().join(paths, "signature").groupBy("device_id", F.struct(*who).alias("who")).agg(F.count(F.lit(1)).alias("m"))
+    tree = fits.join(of.select("who", "n"), "who").where("m = n").select("device_id", "who")
+
+    best = text.unionByName(tree).groupBy("device_id").agg(F.min("who").alias("t"))
     named = files.join(best, "device_id", "left")
     hit = F.col("t").isNotNull()
     new = {"platform": F.col("t.platform"), "vendor": F.coalesce("t.vendor", F.lit("learned")), "reader": F.col("t.reader"), "os": F.col("t.vendor"), "confidence": F.lit(1.0)}

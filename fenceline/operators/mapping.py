@@ -2,7 +2,8 @@
 
 records(device_id, platform, ordinal, line, path, value, raw)
 lines(device_id, platform, line, text, parent_line, parent)
-mappings(platform, ordinal, field, path, regex, parent, scope_from, collect, const, as_type, if_absent, value)
+documents(device_id, platform, content)
+mappings(platform, ordinal, field, path, regex, parent, scope_from, jsonpath, scope, collect, const, as_type, if_absent, value)
   with value struct(group, invert, scale, const, empty_is_true)
 """
 from __future__ import annotations
@@ -12,6 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions.text import unscope
+from ..session import cut_lineage
+from . import literals
+from .jsonpath import path_values, text_of, understood
 from ..functions.values import normalise
 from ..types import TVAL, TVAL_DDL, small_side, num_text, tval_py, tv_bool, tv_list, tv_num, tv_str
 
@@ -21,7 +25,8 @@ MAPPING = T.StructType([
     T.StructField("glob", T.StringType()), T.StructField("regex", T.StringType()), T.StructField("n_groups", T.IntegerType()), T.StructField("parent", T.StringType()),
     T.StructField("scope_from", T.IntegerType()), T.StructField("collect", T.BooleanType()), T.StructField("const", TVAL), T.StructField("as_type", T.StringType()),
     T.StructField("if_absent", TVAL), T.StructField("grp", T.IntegerType()), T.StructField("invert", T.BooleanType()), T.StructField("scale", T.DoubleType()),
-    T.StructField("vconst", TVAL), T.StructField("empty_is_true", T.BooleanType())])
+    T.StructField("vconst", TVAL), T.StructField("empty_is_true", T.BooleanType()), T.StructField("jsonpath", T.StringType()), T.StructField("scope_path", T.StringType()),
+    T.StructField("from_keys", T.BooleanType())])
 
 
 def glob_regex(pattern: str) -> str:
@@ -32,6 +37,14 @@ def glob_regex(pattern: str) -> str:
     return "^" + esc.replace(r"\*", "[^/]+") + "$"
 
 
+def _groups(regex: str | None) -> int | None:
+    """How many groups a pattern has; NULL for one that cannot be read, which is then reported and not used."""
+    try:
+        return re.compile(regex).groups if regex else None
+    except re.error:
+        return None
+
+
 def mappings_df(spark: SparkSession, rows: list[dict], field_types: dict[str, str] | None = None) -> DataFrame:
     """Authored mapping rows (plain dicts, pack order) as the typed mapping table."""
     out, types = [], field_types or {}
@@ -40,10 +53,11 @@ def mappings_df(spark: SparkSession, rows: list[dict], field_types: dict[str, st
         wild = path is not None and "*" in path
         segs = (path or "").split("/")
         out.append({"platform": m["platform"], "ordinal": m.get("ordinal", i), "field": m["field"], "path": None if wild else path, "glob": glob_regex(path) if wild else None,
-                    "regex": m.get("regex"), "n_groups": re.compile(m["regex"]).groups if m.get("regex") else None, "parent": m.get("parent"),
+                    "regex": m.get("regex"), "n_groups": _groups(m.get("regex")), "parent": m.get("parent"),
                     "scope_from": m.get("scope_from", segs.index("*") if wild and "*" in segs else 0), "collect": bool(m.get("collect")), "const": tval_py(m.get("const")),
                     "as_type": m.get("as_type") or types.get(re.sub(r"\[[^\]]*\]", "", m["field"]), "str"), "if_absent": tval_py(m.get("if_absent")), "grp": v.get("group", 1), "invert": bool(v.get("invert")),
-                    "scale": None if v.get("scale") is None else float(v["scale"]), "vconst": tval_py(v.get("const")), "empty_is_true": bool(v.get("empty_is_true"))})
+                    "scale": None if v.get("scale") is None else float(v["scale"]), "vconst": tval_py(v.get("const")), "empty_is_true": bool(v.get("empty_is_true")),
+                    "jsonpath": m.get("jsonpath"), "scope_path": m.get("scope"), "from_keys": v.get("from") == "keys"})
     return spark.createDataFrame(out, MAPPING)
 
 
@@ -92,17 +106,23 @@ def _fold(hits: DataFrame) -> DataFrame:
         F.min_by("ev", "at").alias("ev"))
     val = F.when(F.col("listy"), tv_list(F.flatten(F.transform("all", lambda x: x["m"])))).otherwise(F.col("first.v"))
     st = F.when(F.col("listy"), "OBSERVED").when(F.col("first.empty"), "NOT_OBSERVED").when(F.col("first.v").isNull(), "UNPARSED").otherwise("OBSERVED")
-    return a.select(*key, F.col("at").cast("bigint").alias("at"), st.alias("state"), val.alias("value"), F.array("ev").alias("evidence"))
+    return a.select(*key, "at", st.alias("state"), val.alias("value"), F.array("ev").alias("evidence"))
+
+
+def _called_up(rows: DataFrame, text: Column, mappings: DataFrame, pattern: str) -> DataFrame:
+    """rows with the mappings of their platform whose pattern may match the text."""
+    m = mappings.where(F.col(pattern).isNotNull()).withColumnRenamed("ordinal", "mord")
+    return literals.called_up(rows, text, literals.indexed(m, pattern), ["platform"])
 
 
 def line_hits(lines: DataFrame, mappings: DataFrame) -> DataFrame:
-    """M1 over indented lines: regex anywhere, or regex under a parent matching another."""
-    l = lines.withColumn("at", F.col("line"))
-    top = l.join(_maps(mappings, "regex is not null and parent is null and const is null").drop("parent"), "platform").where(F.expr("rlike(text, regex)")).withColumn("scope", F.lit(None).cast("string"))
-    kid = (l.where("parent is not null").withColumnRenamed("parent", "ptext").join(_maps(mappings, "regex is not null and parent is not null"), "platform")
-           .where(F.expr("rlike(ptext, parent) and rlike(text, regex)")).withColumn("scope", F.trim("ptext")))
+    """M1 over indented lines: regex anywhere, or regex under a parent matching another. A line meets only the patterns its words call up."""
+    l = lines.withColumn("at", F.array(F.col("line").cast("bigint")))
+    m = mappings.where("const is null and (parent is null or coalesce(try_reflect('java.util.regex.Pattern', 'compile', parent), '') <> '')")
+    met = _called_up(l.withColumnRenamed("parent", "ptext"), F.col("text"), m, "regex")
+    hit = met.where(F.expr("rlike(text, regex) and (parent is null or (ptext is not null and rlike(ptext, parent)))")).withColumn("scope", F.when(F.col("parent").isNotNull(), F.trim("ptext")))
     cols = ["device_id", "mord", "field", "scope", "line", "at", F.col("text").alias("raw"), line_value(F.col("text")).alias("v"), listy().alias("listy"), F.lit(False).alias("empty")]
-    return top.select(*cols).unionByName(kid.select(*cols)).withColumn("ev", evidence())
+    return hit.select(*cols).withColumn("ev", evidence())
 
 
 def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -110,7 +130,7 @@ def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
 
     A path an export wraps in one more level is found by its unambiguous suffix: exactly one stored path may end so.
     """
-    r = records.withColumn("at", F.col("ordinal"))
+    r = records.withColumn("at", F.array(F.col("ordinal").cast("bigint")))
     m = _maps(mappings, "path is not null and const is null")
     exact = r.join(m.drop("glob", "parent", "regex"), ["platform", "path"])
     segs = F.split("path", "/")
@@ -120,7 +140,7 @@ def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
     cand = (tails.join(want, ["platform", "tail"]).join(exact.select("device_id", "mord").distinct(), ["device_id", "mord"], "left_anti")
             .groupBy("device_id", "mord").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).where("n = 1").drop("n"))
     suffix = r.join(cand, ["device_id", "path"]).join(m.drop("path", "glob", "parent", "regex", "platform"), "mord")
-    g = r.join(_maps(mappings, "glob is not null and const is null").drop("path", "parent", "regex"), "platform").where(F.expr("rlike(path, glob)"))
+    g = _called_up(r, F.col("path"), mappings.where("const is null").drop("path", "parent", "regex"), "glob").where(F.expr("rlike(path, glob)"))
     seg = F.get(F.split("path", "/"), F.col("scope_from"))
     sid = F.url_decode(F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(seg, r"^[A-Za-z0-9_.-]+\[(.*)\]$", 1), F.lit("")), seg), r"\+", "%2B"))
     # a list field keeps the raw text of each hit
@@ -132,23 +152,62 @@ def path_hits(records: DataFrame, mappings: DataFrame) -> DataFrame:
     return out.withColumn("ev", evidence())
 
 
-def apply_mappings(devices: DataFrame, mappings: DataFrame, lines: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+def json_hits(documents: DataFrame, mappings: DataFrame) -> DataFrame:
+    """M1 and M3 over JSON documents(device_id, platform, content): what the path of a mapping reaches, or the keys of what it reaches.
+
+    A mapping with a scope path is scoped by containment: the scope's values name the containers they stand in, and a hit belongs to the innermost
+    container around it, found by the places it lies in. A hit in none is `unscoped`.
+    """
+    m = mappings.where("jsonpath is not null and const is null").withColumnRenamed("ordinal", "mord")
+    docs = documents.select("device_id", F.col("platform").alias("group"), "content")
+    want = m.select(F.col("platform").alias("group"), F.explode(F.array_compact(F.array("jsonpath", "scope_path"))).alias("expr")).distinct()
+    got = cut_lineage(path_values(docs, want))
+    hits = got.join(small_side(m.select(F.col("platform").alias("group"), F.col("jsonpath").alias("expr"), *[c for c in m.columns if c not in ("platform", "jsonpath", "path", "glob", "regex", "parent")]), MAX_MAPPINGS), ["group", "expr"])
+    keyed = hits.where(F.col("from_keys") & F.schema_of_variant("v").startswith("OBJECT<")).alias("h")
+    keyed = keyed.lateralJoin(hits.sparkSession.tvf.variant_explode(F.col("h.v").outer()).alias("e")).select(*[F.col(f"h.{c}").alias(c) for c in hits.columns if c not in ("path", "ord", "v")], F.concat_ws(".", F.nullif("h.path", F.lit("")), "e.key").alias("path"),
+                                                                                                   F.concat("h.ord", F.array("e.pos")).alias("ord"), F.col("e.key").alias("text"), F.lit(True).alias("word"))
+    plain = hits.where("not from_keys").withColumn("text", text_of(F.col("v"))).withColumn("word", F.lit(True)).drop("v")
+    every = keyed.unionByName(plain)
+
+    around = lambda ord_: F.transform(F.sequence(F.lit(0), F.size(ord_)), lambda n: F.slice(ord_, F.lit(1), n))
+    places = every.where("scope_path is not null").select("device_id", "group", "scope_path", "ord").distinct().withColumn("inside", F.explode(around(F.col("ord"))))
+    holds = got.select("device_id", "group", F.col("expr").alias("scope_path"), F.slice("ord", F.lit(1), F.size("ord") - 1).alias("inside"), F.struct("ord", text_of(F.col("v")).alias("id")).alias("s"))
+    holds = holds.groupBy("device_id", "group", "scope_path", "inside").agg(F.min("s").alias("s"))
+    inner = places.join(holds, ["device_id", "group", "scope_path", "inside"]).groupBy("device_id", "group", "scope_path", "ord").agg(F.max_by(F.col("s.id"), F.size("inside")).alias("scope"))
+    d = every.join(inner, ["device_id", "group", "scope_path", "ord"], "left").withColumn("scope", F.when(F.col("scope_path").isNotNull(), F.coalesce("scope", F.lit("unscoped"))))
+    val = F.when(F.col("as_type") == "list", tv_list(F.array("text"))).otherwise(normalise(F.col("text"), F.col("as_type")))
+    cols = ["device_id", "mord", "field", "scope", F.lit(None).cast("int").alias("line"), F.transform("ord", lambda x: x.cast("bigint")).alias("at"), F.concat(F.col("path"), F.lit(" = "), F.col("text")).alias("raw"), val.alias("v"),
+            (F.col("as_type") == "list").alias("listy"), F.lit(False).alias("empty")]
+    return d.select(*cols).withColumn("ev", evidence())
+
+
+def mapping_problems(mappings: DataFrame) -> DataFrame:
+    """(platform, ordinal, field, error): patterns that cannot be compiled and paths that are not understood. Such mappings find nothing."""
+    key = ["platform", "ordinal", "field", "error"]
+    out = literals.bad_patterns(mappings, "regex").select(*key).unionByName(literals.bad_patterns(mappings, "parent").select(*key))
+    for path in ("jsonpath", "scope_path"):
+        odd = mappings.where(F.col(path).isNotNull() & ~understood(F.col(path)))
+        out = out.unionByName(odd.withColumn("error", F.concat(F.lit("path not understood: "), F.col(path))).select(*key))
+    return out
+
+
+def apply_mappings(devices: DataFrame, mappings: DataFrame, lines: DataFrame | None = None, records: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """M1-M4: observations of every device and mapping of its platform, non-hits kept.
 
     Several mappings of one field: a plain regex or exact path that finds nothing never erases a value already read;
     otherwise the later mapping stands. devices(device_id, platform).
     """
     from functools import reduce
-    parts = ([line_hits(lines, mappings)] if lines is not None else []) + ([path_hits(records, mappings)] if records is not None else [])
+    parts = [read(rows, mappings) for read, rows in ((line_hits, lines), (path_hits, records), (json_hits, documents)) if rows is not None]
     got = _fold(reduce(DataFrame.unionByName, parts))
     m = _maps(mappings, "true")
-    grid = devices.select("device_id", "platform").join(m.select("platform", "mord", "field", "const", "if_absent", ((F.col("parent").isNotNull()) | F.col("glob").isNotNull()).alias("scoped")), "platform")
+    grid = devices.select("device_id", "platform").join(m.select("platform", "mord", "field", "const", "if_absent", (F.col("parent").isNotNull() | F.col("glob").isNotNull()).alias("scoped"), F.col("jsonpath").isNotNull().alias("json")), "platform")
     hit = got.select("device_id", "mord").distinct().withColumn("hit", F.lit(True))
     miss = grid.join(hit, ["device_id", "mord"], "left").where("hit is null")
     val = F.when(F.col("const").isNotNull(), F.col("const")).when(~F.col("scoped"), F.col("if_absent"))
     none_ev = F.lit(None).cast("array<struct<file:string,line:int,raw:string,record_id:string>>")
-    soft = F.col("const").isNull() & ~F.col("scoped")
-    absent = miss.select("device_id", "mord", "field", F.lit(None).cast("string").alias("scope"), F.lit(0).cast("bigint").alias("at"),
+    soft = F.col("const").isNull() & ~F.col("scoped") & ~F.col("json")
+    absent = miss.select("device_id", "mord", "field", F.lit(None).cast("string").alias("scope"), F.array().cast("array<bigint>").alias("at"),
                          F.when(val.isNotNull(), "DEFAULT_ASSUMED").otherwise("NOT_OBSERVED").alias("state"), val.alias("value"), none_ev.alias("evidence"), soft.alias("soft"))
     every = got.withColumn("soft", F.lit(False)).unionByName(absent)
     # A soft miss gives way to an OBSERVED value an earlier mapping of the field put in place and nothing replaced since.
@@ -156,7 +215,9 @@ def apply_mappings(devices: DataFrame, mappings: DataFrame, lines: DataFrame | N
     prior = F.last(F.when(~F.col("soft"), F.col("state")), ignorenulls=True).over(w)
     kept = every.withColumn("drop", F.col("soft") & F.coalesce(prior == "OBSERVED", F.lit(False))).where("not drop")
     last = kept.groupBy("device_id", "field", "scope").agg(F.max_by(F.struct("state", "value", "evidence", "at"), "mord").alias("o"), F.max("mord").alias("mord"))
-    return last.select("device_id", "field", "scope", (F.col("mord").cast("bigint") * 1000000000 + F.col("o.at")).alias("ordinal"), "o.state", F.lit("parser").alias("source"), F.lit(1.0).alias("confidence"), "o.value", "o.evidence")
+    # the mapping's order goes before the place in the file, whatever the size of either
+    order = F.row_number().over(W.partitionBy("device_id", "field").orderBy("mord", "o.at", "scope")).cast("bigint")
+    return last.select("device_id", "field", "scope", order.alias("ordinal"), "o.state", F.lit("parser").alias("source"), F.lit(1.0).alias("confidence"), "o.value", "o.evidence")
 
 
 # ------------------------------------------------------------------ derivations (M5-M9)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import canonical_line, canonical_tokens, const_map, tokenize
 from ..types import bounded, small_side
+from . import literals
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -178,9 +179,8 @@ def disambiguate(examples: DataFrame) -> DataFrame:
 
 def corpus_from_packs(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     """Q11: every (line, field) a mapping's regex produces over sample lines, once each. mappings(ordinal, vendor, field, regex)."""
-    m = small_side(mappings.where("regex is not null"), 200000)
     d = lines.select(F.rtrim("text").alias("text")).where("trim(text) != ''").distinct()
-    j = d.join(m, F.expr("rlike(trim(text), regex) or rlike(text, regex)"))
+    j = literals.called_up(d, F.col("text"), literals.indexed(mappings, "regex"), []).where(F.expr("rlike(trim(text), regex) or rlike(text, regex)"))
     return j.groupBy(F.trim("text").alias("line"), "field").agg(F.min("ordinal").alias("ordinal"))
 
 
