@@ -89,13 +89,21 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray]):
         size = np.array([len(d) for d in docs])
-        term = np.concatenate(docs).astype(np.int64)
-        pair, tf = np.unique(term * len(docs) + np.repeat(np.arange(len(docs)), size), return_counts=True)
-        self.doc = pair % len(docs)
-        self.terms, first, df = np.unique(pair // len(docs), return_index=True, return_counts=True)
-        self.first, self.df = first, df
-        self.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / size.mean()))
+        pair = np.concatenate(docs).astype(np.int64)  # one 64-bit copy of the shard; all that is kept has 32 bits
+        pair *= len(docs)
+        pair += np.repeat(np.arange(len(docs)), size)
+        pair.sort()
+        at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        tf = np.diff(np.append(at, len(pair))).astype(np.float32)
+        pair = pair[at]
+        self.doc = (pair % len(docs)).astype(np.int32)
+        term = (pair // len(docs)).astype(np.int32)
+        del pair, at
+        self.first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        self.terms, self.df = term[self.first], np.diff(np.append(self.first, len(term)))
+        length = (K1 * (1 - B + B * size / size.mean())).astype(np.float32)
+        self.weight = np.repeat(np.log1p((len(docs) - self.df + 0.5) / (self.df + 0.5)).astype(np.float32), self.df)
+        self.weight *= tf * np.float32(K1 + 1) / (tf + length[self.doc])
         self.n = len(docs)
 
     def scores(self, ids: np.ndarray, terms: int) -> np.ndarray:
@@ -191,7 +199,7 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     schema = T.StructType([*rows.select(*names).schema.fields, *[T.StructField(*f) for f in own]])
 
     def run(batches):
-        kind = "<u2" if encoder(vocabulary)[1] <= 1 << 16 else "<u4"
+        _loaded.clear()  # a worker that has encoded texts before needs no vocabulary here
         next_id = TaskContext.get().partitionId() << 32
 
         def table(pieces: list[Piece], kept: pa.Table, ids: list[np.ndarray]) -> list[pa.RecordBatch]:
@@ -221,16 +229,19 @@ def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
         size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(len(names) + 2)[i].as_py(), kind)
-                kept.append(batch.slice(i, 1).select(names))
-                ids.append(x)
+            own, begin = pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(c)]) for c in range(len(names))], names=names), 0
+            for i, (n, x) in enumerate(zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2))):
+                raw = x.as_py()
+                ids.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
                 starts.append(0)
-                size += len(x)
+                size += n
                 if size >= shard_tokens:
+                    kept.append(own.slice(begin, i + 1 - begin))
                     out, next_id = settle(next_id, False)
-                    size = 0
+                    size, begin = 0, i + 1
                     yield from out
+            if begin < own.num_rows:
+                kept.append(own.slice(begin))
         if ids:
             yield from settle(next_id, True)[0]
 
