@@ -4,9 +4,9 @@ Each takes and gives a streaming DataFrame and reuses the batch Column expressio
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.change import RANK, UNDECIDED
+from ..operators.change import drift_alerts, latest_vs_previous
 from ..operators.detect import SPECIFICITY, hits_on_line, significant
 from ..operators.logs import with_event
 
@@ -50,37 +50,36 @@ def stream_static_corroborate(events: DataFrame, rules: DataFrame) -> DataFrame:
     return events.where("rule_id != ''").join(r, "rule_id").withColumn("verdict", F.when(F.col("hit_count") == 0, "counter_was_reset").otherwise("active"))
 
 
-DRIFT_SCHEMA = "device_key string, snapshot_id long, kind string, item string, before string, after string"
-DRIFT_STATE = "taken_at timestamp, score double, states string, frameworks string"
-
-
-def _drift(key, batches, state):
-    """Each new snapshot against the stored one, in order of time; one older than the stored is ignored."""
-    import json
-
-    import pandas as pd
-    rows = pd.concat(list(batches)).sort_values(["taken_at", "snapshot_id"])
-    last = state.get if state.exists else None
-    out = []
-    for r in rows.itertuples():
-        st, fw, score = json.loads(r.states_json), json.loads(r.frameworks_json), None if pd.isna(r.score_pct) else float(r.score_pct)
-        if last is not None and r.taken_at.to_pydatetime() < last[0]:
-            continue
-        if last is not None:
-            old_st, old_fw = json.loads(last[2]), json.loads(last[3])
-            if score is not None and last[1] is not None and score < last[1]:
-                out.append((r.snapshot_id, "score_drop", "score", str(last[1]), str(score)))
-            out += [(r.snapshot_id, "framework_drop", f, str(old_fw[f]), str(fw[f])) for f in sorted(set(fw) & set(old_fw)) if fw[f] < old_fw[f]]
-            out += [(r.snapshot_id, "control_regressed", c, old_st[c], st[c]) for c in sorted(set(st) & set(old_st))
-                    if st[c] != old_st[c] and st[c] not in UNDECIDED and old_st[c] not in UNDECIDED and RANK[st[c]] <= RANK[old_st[c]]]
-        last = (r.taken_at.to_pydatetime(), score, r.states_json, r.frameworks_json)
-    state.update(last)
-    df = pd.DataFrame(out, columns=["snapshot_id", "kind", "item", "before", "after"])
-    df.insert(0, "device_key", key[0])
-    yield df
-
-
-def stream_drift_alerts(snapshots: DataFrame) -> DataFrame:
-    """Alerts against the device's last snapshot, which is the only state kept. Maps stay bounded by the control set."""
-    s = snapshots.select("device_key", "snapshot_id", "taken_at", "score_pct", F.to_json("states").alias("states_json"), F.to_json("frameworks").alias("frameworks_json"))
-    return s.groupBy("device_key").applyInPandasWithState(_drift, DRIFT_SCHEMA, DRIFT_STATE, "append", "NoTimeout")
+SNAPSHOT = ["device_key", "snapshot_id", "taken_at", "score_pct", "states", "frameworks", "config_sha256", "analysis_version"]
+
+
+def drift_batch(path: str):
+    """Z4, the work on one micro-batch: (batch, epoch) -> None, for foreachBatch.
+
+    Under `path`, alerts/epoch=N holds the alerts of a batch and last/epoch=N the last snapshot of every device after it. A batch meets only the stored
+    snapshots of its own devices; each new snapshot is compared with the one before it by the batch operators. A snapshot older than the stored one
+    is ignored. A batch that is run again after a failure overwrites what it wrote.
+    """
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        b = batch.select(*[F.col(c) if c in batch.columns else F.lit("").alias(c) for c in SNAPSHOT]).withColumn("new", F.lit(True))
+        stored = (spark.read.schema(b.drop("new").schema).parquet(f"{path}/last/epoch={epoch - 1}") if epoch else b.drop("new").limit(0)).withColumn("new", F.lit(False))
+        here = b.select("device_key").distinct()
+        seen = stored.join(here, "device_key", "left_semi")
+        late = b.join(seen.select("device_key", F.col("taken_at").alias("__at")), "device_key", "left").where("__at is null or taken_at >= __at").drop("__at")
+        both = seen.unionByName(late)
+        drift_alerts(latest_vs_previous(both).where("new")).write.mode("overwrite").parquet(f"{path}/alerts/epoch={epoch}")
+        newest = both.groupBy("device_key").agg(F.max_by(F.struct(*SNAPSHOT[1:]), F.struct("taken_at", "snapshot_id")).alias("s")).select("device_key", "s.*")
+        stored.drop("new").join(here, "device_key", "left_anti").unionByName(newest).write.mode("overwrite").parquet(f"{path}/last/epoch={epoch}")
+
+    return run
+
+
+def stream_drift_alerts(snapshots: DataFrame, path: str):
+    """A writer that keeps alerts and last snapshots under `path`; the caller sets checkpoint and trigger and starts it."""
+    return snapshots.writeStream.foreachBatch(drift_batch(path))
+
+
+def stored_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts written so far."""
+    return spark.read.parquet(f"{path}/alerts/*")
