@@ -402,14 +402,36 @@ def compliant_value(op: Column, expected: Column, current: Column) -> Column:
             .when(op == "is_set", tv_str(F.lit("<configured>"))))
 
 
+def disable_rules(rules: DataFrame, disabled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rules after, applied, rejected) for disabled(device_id, rule): a rule is asked for by its name or id, in any case; of several the first is meant.
+
+    applied(device_id, rule, id, scope, action_was), rejected(device_id, rule, why). scope is the name under which the rule's own settings stand.
+    """
+    want = disabled.select("device_id", "rule").distinct().withColumn("k", F.lower("rule"))
+    named = rules.select("device_id", "id", "ord", "enabled", "action", F.coalesce(F.nullif("name", F.lit("")), "id").alias("scope"), F.explode(F.array_distinct(F.transform(F.array_compact(F.array("name", "id")), F.lower))).alias("k")).where("k <> ''")
+    first = named.join(want.select("device_id", "k").distinct(), ["device_id", "k"], "left_semi").groupBy("device_id", "k").agg(F.min_by(F.struct("id", "enabled", "action", "scope"), F.struct("ord", "id")).alias("r"))
+    q = want.join(first, ["device_id", "k"], "left").join(rules.select("device_id", F.lit(True).alias("has")).distinct(), "device_id", "left")
+    why = F.when(F.col("has").isNull(), "no policy object graph").when(F.col("r").isNull(), "no rule with this name or id").when(~F.col("r.enabled"), "already disabled")
+    q = cut_lineage(q.withColumn("why", why))
+    applied = q.where("why is null").select("device_id", "rule", "r.id", "r.scope", F.col("r.action").alias("action_was"))
+    off = applied.select("device_id", "id", F.lit(True).alias("off")).distinct()
+    after = rules.join(off, ["device_id", "id"], "left").withColumn("enabled", F.col("enabled") & F.col("off").isNull()).select(*rules.columns)
+    return after, applied, q.where("why is not null").select("device_id", "rule", "why")
+
+
 def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, findings: DataFrame,
-            fixes: DataFrame, rules: DataFrame | None = None, disabled: DataFrame | None = None, **na):
+            fixes: DataFrame, rules: DataFrame | None = None, disabled: DataFrame | None = None, policies: DataFrame | None = None, **na):
     """Apply fixes(device_id, control_id) and disabled(device_id, rule) to a copy and judge it again.
 
-    Returns (findings after, changes, rejected). disabled rules drop their per-rule settings.
+    Returns (findings after, changes, rejected). rules are resolved, with their policies. A disabled rule leaves its device's policy: the
+    exposure facts of that device are derived anew from the rules that stay, and the rule's own settings go. Only devices that something was applied to
+    are judged again; of the others the findings stand. rejected(device_id, control_id, rule, why, suggest): a finding computed from the policy
+    cannot be fixed by overwriting it; suggest names the rules behind it.
     """
+    from .policy import EXPOSURE_FIELDS, exposure_observations
     ctl = small_side(controls.select("control_id", F.col("field").alias("cfield"), F.col("operator").alias("cop"),
                                               F.col("expected").alias("cexp")), MAX_CONTROLS)
+    given = findings
     # both sides of the comparison read the findings; they are written once instead of being worked out again
     findings = cut_lineage(findings.select("device_id", "control_id", "state"))
     q = (fixes.select("device_id", "control_id").distinct().join(ctl, "control_id", "left")
@@ -422,11 +444,25 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
                      .when(F.col("cop").isin("not_equals", "not_in", "matches"), "no single compliant value"))
     q = cut_lineage(q)
     ok = q.where("why is null").select("device_id", F.col("cfield").alias("field"), "cop", "cexp", "control_id")
-    now = latest(observations)
-    if disabled is not None:
-        now = now.join(disabled.select("device_id", F.col("rule").alias("scope")), ["device_id", "scope"], "left_anti") \
-            .unionByName(now.join(disabled.select("device_id", F.col("rule").alias("scope")), ["device_id", "scope"], "left_semi")
-                         .where(~F.col("field").startswith("firewall.rules")))
+    rejected = q.where("why is not null").select("device_id", "control_id", F.lit(None).cast("string").alias("rule"), "why")
+    touched = ok.select("device_id")
+    off = None
+    if disabled is not None and rules is not None:
+        left, off, refused = disable_rules(rules, disabled)
+        touched = touched.unionByName(off.select("device_id"))
+        rejected = rejected.unionByName(refused.select("device_id", F.lit(None).cast("string").alias("control_id"), "rule", "why"))
+    elif disabled is not None:
+        rejected = rejected.unionByName(disabled.select("device_id", F.lit(None).cast("string").alias("control_id"), "rule", F.lit("no policy object graph").alias("why")).distinct())
+    touched = cut_lineage(touched.distinct())
+    now = latest(observations.join(touched, "device_id", "left_semi"))
+    if off is not None and policies is not None:
+        changed = off.select("device_id").distinct()
+        gone = now.where(F.col("field").startswith("firewall.rules")).join(off.select("device_id", "scope").distinct(), ["device_id", "scope"], "left_semi").select("device_id", "field", "scope")
+        stale = now.where(F.col("field").isin(list(EXPOSURE_FIELDS.values()))).join(changed, "device_id", "left_semi").select("device_id", "field", "scope")
+        drop = gone.unionByName(stale).distinct().withColumn("drop", F.lit(True))
+        kept = now.alias("n").join(drop.alias("d"), (F.col("n.device_id") == F.col("d.device_id")) & (F.col("n.field") == F.col("d.field")) & F.col("n.scope").eqNullSafe(F.col("d.scope")), "left_anti")
+        anew = exposure_observations(left.join(changed, "device_id", "left_semi"), policies.join(changed, "device_id", "left_semi"))
+        now = cut_lineage(kept.unionByName(anew.select(*kept.columns)))
     # Controls on one field are applied in order, each seeing the last; the final one stands.
     last = ok.groupBy("device_id", "field").agg(F.max_by(F.struct("cop", "cexp"), "control_id").alias("f"))
     has_scope = now.groupBy("device_id", "field").agg(F.count_if(F.col("scope").isNotNull()).alias("ns"))
@@ -445,13 +481,25 @@ def what_if(devices: DataFrame, controls: DataFrame, observations: DataFrame, fi
         compliant_value(F.col("f.cop"), F.col("f.cexp"), F.lit(None).cast(TVAL_DDL)).alias("value"),
         F.lit(1.0).alias("confidence"), sim.alias("evidence"))
     fixed = cut_lineage(fixed)
-    after = evaluate(devices, controls, fixed.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(fresh), **na)
+    judged = cut_lineage(evaluate(devices.join(touched, "device_id", "left_semi"), controls, fixed.withColumn("ordinal", F.col("ordinal").cast("long")).unionByName(fresh), **na))
+    after = judged.unionByName(given.join(touched, "device_id", "left_anti"), allowMissingColumns=True)
     b = findings.select("device_id", "control_id", F.col("state").alias("before"))
-    changes = (after.select("device_id", "control_id", F.col("state").alias("after")).join(b, ["device_id", "control_id"], "full")
-               .where(F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("before") != F.col("after")))
+    changes = (judged.select("device_id", "control_id", F.col("state").alias("after")).join(b, ["device_id", "control_id"])
+               .where(F.col("before") != F.col("after"))
                .join(ok.select("device_id", "control_id", F.lit(True).alias("targeted")).distinct(), ["device_id", "control_id"], "left")
                .na.fill(False, ["targeted"]))
-    return after, changes, q.where("why is not null").select("device_id", "control_id", "why")
+    suggest = F.lit(None).cast("array<string>")
+    if rules is not None and "evidence" in given.columns and "evidence" in rules.columns:
+        named = rejected.where("why = 'computed from policy'").select("device_id", "control_id").distinct()
+        behind = rules_behind(given.join(named, ["device_id", "control_id"], "left_semi"), rules).groupBy("device_id", "control_id").agg(F.array_sort(F.collect_set("rule")).alias("suggest"))
+        return after, changes, rejected.join(behind, ["device_id", "control_id"], "left")
+    return after, changes, rejected.withColumn("suggest", suggest)
+
+
+def score_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(device_id, score_delta, assessed_delta): by how many points a simulation moves the pass rate and the share decided; NULL where either side has none."""
+    pair = lambda f, x: coverage(f).select("device_id", F.col("score_pct").alias(f"s{x}"), F.col("assessed_pct").alias(f"a{x}"))
+    return pair(before, 0).join(pair(after, 1), "device_id").select("device_id", F.round(F.col("s1") - F.col("s0"), 1).alias("score_delta"), F.round(F.col("a1") - F.col("a0"), 1).alias("assessed_delta"))
 
 
 def twins(rules: DataFrame, disabled: DataFrame) -> DataFrame:

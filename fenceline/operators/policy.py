@@ -237,9 +237,19 @@ def policy_observations(resolved: DataFrame, policies: DataFrame, zones: DataFra
         "device_id", F.lit("firewall.default_action").alias("field"), F.lit(None).cast("string").alias("scope"),
         F.lit(0).cast("long").alias("ordinal"), F.lit("DEFAULT_ASSUMED").alias("state"),
         tv_str(F.when(allows(F.col("default_action")), "permit").otherwise(F.col("default_action"))).alias("value"), none.alias("evidence"))
-    parts = [out, default]
-    for fact, field in (("admin", "exposure.admin_ports_open_to_internet"), ("any_any", "exposure.any_any_rules"),
-                        ("sensitive", "exposure.unrestricted_ingress")):
+    return reduce(DataFrame.unionByName, [out, default]).withColumn("source", F.lit("parser")).withColumn("confidence", F.lit(1.0)).unionByName(exposure_observations(resolved, policies, any_service_is_all))
+
+
+#: The fields that are worked out from a device's whole policy, by exposure fact.
+EXPOSURE_FIELDS = {"admin": "exposure.admin_ports_open_to_internet", "any_any": "exposure.any_any_rules", "sensitive": "exposure.unrestricted_ingress"}
+
+
+def exposure_observations(resolved: DataFrame, policies: DataFrame, any_service_is_all: bool = True) -> DataFrame:
+    """The exposure facts of every device with a policy as observations."""
+    from ..types import tv_list
+    none = F.array().cast("array<struct<file:string,line:int,raw:string,record_id:string>>")
+    parts = []
+    for fact, field in EXPOSURE_FIELDS.items():
         e = exposure(resolved, policies, fact, any_service_is_all)
         s = fact_status(resolved, e, policies)
         text = F.when(F.size("ports") > 0, F.concat("rule_id", F.lit(":"), F.array_join(F.col("ports").cast("array<string>"), "/"))).otherwise(F.col("rule_id"))
