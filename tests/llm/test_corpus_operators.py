@@ -281,3 +281,20 @@ def test_pipeline_stages(spark, tmp_path, prose):
     assert {r.doc_id for r in seen[3].collect()} == set(range(60)) and seen[3].columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert check_packing([(r.doc_id, r.text) for r in seen[3].collect()], seen[4].collect()) == 0
     assert c.run(spark, str(tmp_path)).count() == seen[4].count()
+
+
+def test_passages_made_of_pieces_that_others_hold_too(spark, prose):
+    """Both halves of a passage stand in other documents as well; those who hold the whole still find one another, and every holder finds someone."""
+    rows, pairs, halves = [], [], {}
+    for k in range(12):
+        one, two = prose(7000 + k, 45), prose(7100 + k, 45)
+        at = 100 * k
+        for i, t in enumerate([one, one + " " + two, one + " " + two, two, prose(7200 + k, 60)]):
+            rows.append((at + i, f"{prose(7300 + 10 * k + i, 30)} {t} {prose(7400 + 10 * k + i, 30)}"))
+        pairs.append((at + 1, at + 2))
+        halves |= {at: 45, at + 1: 90, at + 2: 90, at + 3: 45}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = passages.repeated_passages(d, min_words=40).collect()
+    whole = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in got if r.end_word - r.start_word >= 85}
+    assert len(whole & set(pairs)) >= 11
+    assert {r.doc_id for r in got} == set(halves)
