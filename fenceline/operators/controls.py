@@ -508,16 +508,16 @@ def twins(rules: DataFrame, disabled: DataFrame) -> DataFrame:
     Rules equal on action, zones and (sorted) sides form a class; a class holding both a disabled rule and
     an enabled one is reported member by member, so the result stays linear in the rules however many copies exist.
     """
-    sig = rules.withColumn("twin_class", F.sha2(F.to_json(F.struct(
-        "action", "source_zones", "destination_zones", F.array_sort("source").alias("s"),
-        F.array_sort("destination").alias("d"), F.array_sort("services").alias("v"))), 256))
+    sides = ["action", "source_zones", "destination_zones", F.array_sort("source"), F.array_sort("destination"), F.array_sort("services")]
+    key = [F.xxhash64(F.lit(k), *sides).alias(f"h{k}") for k in (1, 2)]  # a class is told by 128 bits, so only narrow rows are moved
     off = disabled.select("device_id", F.col("rule").alias("id"), F.lit(True).alias("off")).distinct()
-    m = sig.join(off, ["device_id", "id"], "left").withColumn(
+    m = rules.select("device_id", "id", "enabled", *key).join(off, ["device_id", "id"], "left").withColumn(
         "role", F.when(F.col("off"), "disabled").when(F.col("enabled"), "still_open")).where("role is not null")
-    both = m.groupBy("device_id", "twin_class").agg(F.count_if(F.col("role") == "disabled").alias("n_disabled"),
-                                                    F.count_if(F.col("role") == "still_open").alias("n_open"))
-    return (m.join(both.where("n_disabled > 0 and n_open > 0"), ["device_id", "twin_class"])
-            .select("device_id", "twin_class", F.col("id").alias("rule"), "role", "n_disabled", "n_open"))
+    m = cut_lineage(m.select("device_id", "id", "role", "h1", "h2"))
+    both = m.groupBy("device_id", "h1", "h2").agg(F.count_if(F.col("role") == "disabled").alias("n_disabled"),
+                                                  F.count_if(F.col("role") == "still_open").alias("n_open"))
+    return (m.join(both.where("n_disabled > 0 and n_open > 0"), ["device_id", "h1", "h2"])
+            .select("device_id", F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("twin_class"), F.col("id").alias("rule"), "role", "n_disabled", "n_open"))
 
 
 def rules_behind(findings: DataFrame, rules: DataFrame) -> DataFrame:
