@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from fenceline.session import checkpoint_dir
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as Parquet files under spark.checkpoint.dir: computed once, and still there after executors are lost."""
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """df as Parquet files under spark.checkpoint.dir: computed once, and still there after executors are lost. options go to the writer."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{what}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
