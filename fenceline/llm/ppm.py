@@ -235,8 +235,8 @@ def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(task + n + np.arange(batch.num_rows)), pa.array(block)], names=numbered.names)
             n, size = n + batch.num_rows, size + int(offsets[-1] - offsets[0])
 
-    rows = written(src.mapInArrow(number, numbered), "rows")
-    post = written(postings(rows, F.col("text"), [F.col("key"), (~F.col("learn")).alias("held_out"), F.col("rid")], lower=True, mark=F.col("learn"), end=END), "postings")
+    rows = written(src.mapInArrow(number, numbered), "rows", compression="zstd")
+    post = written(postings(rows, F.col("text"), [F.col("key"), (~F.col("learn")).alias("held_out"), F.col("rid")], lower=True, mark=F.col("learn"), end=END), "postings", compression="zstd")
     vocabulary = written(post.where("token is not null").groupBy("token").agg(F.sum(taught()).alias("c")), "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
 
