@@ -6,8 +6,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import canonical_line, canonical_tokens, const_map, tokenize
+from ..session import stored
 from ..types import bounded, small_side
-from . import literals
+from . import blocked, literals
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -31,28 +32,42 @@ def _top(df: DataFrame, by: str, score: str, k: int, tie: str = "doc_id") -> Dat
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc(), tie))).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, q_tokens: Column | None = None, d_tokens: Column | None = None) -> DataFrame:
-    """Q1: Okapi BM25 of every (query, document) sharing a term. queries(query_id, text), docs(doc_id, text).
+def weighted_postings(queries: DataFrame, docs: DataFrame, q_tokens: Column | None = None, d_tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term, qtf) and (doc_id, term, w): what terms of the questions weigh in each document by Okapi BM25.
 
-    Works on postings of the query terms only: documents are cut to them by a semi-join before anything is counted
-    per term. A negative idf is raised to a quarter of the mean idf over the vocabulary.
+    Documents are cut into tokens once; counts per term and lengths come from the postings, which are written.
+    A negative idf is raised to a quarter of the mean idf over the vocabulary.
     """
     qt = queries.select("query_id", F.explode(q_tokens if q_tokens is not None else doc_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    p = postings(docs, d_tokens if d_tokens is not None else doc_tokens(F.col("text")))
+    p = stored(postings(docs, d_tokens if d_tokens is not None else doc_tokens(F.col("text"))))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    avgdl = p.agg(F.sum("tf")).scalar() / n
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = docs.select(F.size(d_tokens if d_tokens is not None else doc_tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = df.withColumn("s", size.select(F.struct("n", "avgdl")).scalar()).select("term", "df", "s.n", "s.avgdl")
-    terms = terms.withColumn("idf", idf)
+    terms = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = terms.agg(F.avg("idf").alias("m")).scalar()
-    wanted = terms.join(qt.select("term").distinct(), "term", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf"))).select("term", "idf", "avgdl")
-    hits = p.join(wanted, "term").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    wanted = terms.join(qt.select("term").distinct(), "term", "left_semi").withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")))
+    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return qt, p.join(wanted, "term").select("doc_id", "term", w.alias("w"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, q_tokens: Column | None = None, d_tokens: Column | None = None) -> DataFrame:
+    """Q1: Okapi BM25 of every (query, document) sharing a term. queries(query_id, text), docs(doc_id, text).
+
+    One row a pair: where only the best are asked for, `bm25` makes no pairs.
+    """
+    qt, hits = weighted_postings(queries, docs, q_tokens, d_tokens)
     return qt.join(hits, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("bm25"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 60, **tokens) -> DataFrame:
-    """Q1: the k best documents per query."""
-    return _top(bm25_scores(queries, docs, **tokens), "query_id", "bm25", k)
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 60, keep: DataFrame | None = None, **tokens) -> DataFrame:
+    """Q1: the k best documents per query, by BM25 rounded to nine places, ties to the smaller id.
+
+    Exact, block by block: a common term is added up within a block, and only the k best of a block are shuffled. `keep` (doc_id) names the
+    documents that may be answered with (Q5); others count for the statistics and are left out before anything is scored.
+    """
+    qt, hits = weighted_postings(queries, docs, **tokens)
+    hits = hits if keep is None else hits.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
+    return blocked.top_k(qt, hits, blocked.weighted_terms, k, blocked.block_counts(queries.count(), docs.count()), "bm25")
 
 
 def word_ngrams(toks: Column) -> Column:
@@ -92,19 +107,15 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / (n + 1e-9))
 
 
-MAX_QUERY_VECTORS = 20000
-
-
 def dense_rank(queries: DataFrame, vectors: DataFrame, k: int = 25) -> DataFrame:
-    """Q3: cosine of every query with every vector, the k best kept. queries(query_id, embedding), vectors(doc_id, embedding).
+    """Q3: the k vectors of greatest cosine for every query, rounded to nine places, ties to the smaller id. queries(query_id, embedding), vectors(doc_id, embedding).
 
-    The query side is size-checked and broadcast; the vectors are never shuffled, only each task's k best are.
+    Products of blocks; any number of queries. Vectors that are null or hold a null take no part, and vectors of different length do not meet.
     """
-    q = small_side(queries.select("query_id", unit(F.col("embedding")).alias("qv")), MAX_QUERY_VECTORS)
-    d = vectors.select("doc_id", unit(F.col("embedding")).alias("dv"))
-    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    s = d.join(q, F.size("qv") == F.size("dv")).select("query_id", "doc_id", dot.alias("sim"))
-    return _top(s, "query_id", "sim", k)
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    q = queries.where(whole).select("query_id", unit(F.col("embedding")).alias("v"))
+    d = vectors.where(whole).select("doc_id", unit(F.col("embedding")).alias("v"))
+    return blocked.top_k(q, d, blocked.products, k, blocked.block_counts(queries.count(), vectors.count()), "sim")
 
 
 def rrf_fuse(*ranked: DataFrame, k0: int = RRF_K, min_rrf: float = 0.0) -> DataFrame:
@@ -275,11 +286,24 @@ def record_hash() -> Column:
     return F.sha2(F.to_json(F.struct(F.col("approved_at").alias("at"), F.col("approved_by").alias("by"), "field", "line", "platform", F.col("prev_hash").alias("prev"), "value", "vendor"), {"ignoreNullFields": "false"}), 256)
 
 
-def verify_chain(approvals: DataFrame, by: str = "log_id") -> DataFrame:
-    """Q17: per log, whether every record carries the hash before it, and the first that does not."""
-    w = W.partitionBy(by).orderBy("seq")
-    broken = (F.col("prev_hash") != F.coalesce(F.lag("record_hash").over(w), F.lit(""))) | (F.col("record_hash") != record_hash())
-    return approvals.withColumn("b", broken).groupBy(by).agg(F.min(F.when(F.col("b"), F.col("seq"))).alias("first_broken"), F.count(F.lit(1)).alias("records")).withColumn("intact", F.col("first_broken").isNull())
+def verify_chain(approvals: DataFrame, by: str = "log_id", stretch: int = 65536) -> DataFrame:
+    """Q17: per log, whether every record carries the hash before it, and the first that does not.
+
+    Checked in two levels: within stretches of `stretch` sequence numbers, each a task's matter, then each stretch's first record against the last
+    hash of the stretch before it. A hash that is missing is a broken one.
+    """
+    w = W.partitionBy(by, "__s").orderBy("seq")
+    a = approvals.withColumn("__s", F.floor(F.col("seq") / stretch))
+    a = a.withColumn("__n", F.row_number().over(w)).withColumn("__prev", F.lag("record_hash").over(w))
+    wrong = ~F.col("record_hash").eqNullSafe(record_hash()) | ((F.col("__n") > 1) & ~F.col("prev_hash").eqNullSafe(F.col("__prev")))
+    head = F.col("__n") == 1
+    # a hash may be missing, and a null struct field is kept where a null value is not
+    parts = a.groupBy(by, "__s").agg(F.min(F.when(wrong, F.col("seq"))).alias("within"), F.count_if(wrong).alias("bad"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"),
+                                     F.max(F.when(head, F.struct("prev_hash"))).alias("head"), F.max_by(F.struct("record_hash"), "__n").alias("tail"))
+    before = F.lag(F.struct(F.col("tail.record_hash").alias("h"))).over(W.partitionBy(by).orderBy("__s"))
+    cut = ~F.col("head.prev_hash").eqNullSafe(F.when(before.isNull(), F.lit("")).otherwise(before["h"]))
+    parts = parts.withColumn("__cut", cut)
+    return parts.groupBy(by).agg(F.min(F.least("within", F.when(F.col("__cut"), F.col("first")))).alias("first_broken"), F.sum("n").alias("records"), (F.sum("bad") + F.count_if("__cut") == 0).alias("intact"))
 
 
 def regression_gate(expected: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -26,8 +26,7 @@ def _docs(spark, sf):
 
 @query("bm25", f"WITH {BM} SELECT query_id, doc_id, round(bm25, 6) AS bm25, rank FROM bmr WHERE rank <= 10")
 def bm25(spark, sf):
-    s = Q.bm25_scores(_bench(spark, sf), _docs(spark, sf))
-    return Q._top(s.withColumn("key", F.round("bm25", 9)), "query_id", "key", 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+    return Q.bm25(_bench(spark, sf), _docs(spark, sf), 10).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^0-9a-z_]+'), lambda x: length(x) >= 2)"
@@ -70,7 +69,7 @@ def match_confidence(spark, sf):
  f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE rank <= 20) GROUP BY 1, 2) SELECT query_id, doc_id, round(rrf, 8) AS rrf FROM f WHERE rrf >= 0.0150""")
 def rrf_fuse(spark, sf):
     from pyspark.sql import Window
-    a = Q._top(Q.bm25_scores(_bench(spark, sf), _docs(spark, sf)).withColumn("key", F.round("bm25", 9)), "query_id", "key", 60).select("query_id", "doc_id", "rank")
+    a = Q.bm25(_bench(spark, sf), _docs(spark, sf), 60).select("query_id", "doc_id", "rank")
     w = Window.partitionBy("query_id").orderBy((F.col("doc_id") * 7919 + F.col("query_id") * 31) % 1009, "doc_id")
     b = a.select("query_id", "doc_id", F.row_number().over(w).alias("rank")).where("rank <= 20")
     return Q.rrf_fuse(a, b, min_rrf=Q.MIN_RRF).select("query_id", "doc_id", F.round("rrf", 8).alias("rrf"))
@@ -92,8 +91,7 @@ def collapse_duplicates(spark, sf):
 def filter_before_rank(spark, sf):
     d = V.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("framework"), F.lit(None).cast("string").alias("platform"))
     keep = Q.filter_before_rank(d, ["en", "de"], "any")
-    s = Q.bm25_scores(_bench(spark, sf), _docs(spark, sf)).join(keep.select("doc_id"), "doc_id", "left_semi").withColumn("key", F.round("bm25", 9))
-    return Q._top(s, "query_id", "key", 3).select("query_id", "doc_id", "rank")
+    return Q.bm25(_bench(spark, sf), _docs(spark, sf), 3, keep).select("query_id", "doc_id", "rank")
 
 
 @query("training_queue", """WITH r AS (SELECT CAST(o_custkey % 40 AS string) AS device_id, o_orderkey AS ord, concat(CASE o_orderkey % 3 WHEN 0 THEN 'adminTimeout' WHEN 1 THEN 'snmpHost' ELSE 'widgetColour' END) AS name, CAST(o_custkey % 7 AS string) AS value FROM orders),
@@ -184,7 +182,8 @@ def verify_chain(spark, sf):
                  F.col("o_orderstatus").alias("value"), F.lit("me").alias("approved_by"), F.lit("2024").alias("approved_at"))
     # every record is hashed as if it were the first, so each log breaks at its second record
     seed = a.withColumn("prev_hash", F.lit("")).withColumn("record_hash", Q.record_hash())
-    return Q.verify_chain(seed.withColumn("prev_hash", F.coalesce(F.lag("record_hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(""))))
+    # short stretches, so that logs go over many of them
+    return Q.verify_chain(seed.withColumn("prev_hash", F.coalesce(F.lag("record_hash").over(Window.partitionBy("log_id").orderBy("seq")), F.lit(""))), stretch=2048)
 
 
 @query("approval_conflicts", """WITH a AS (SELECT concat('cmd', o_custkey % 60) AS l, concat('f', CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE o_custkey % 3 END) AS f FROM orders), g AS (SELECT l, f, count(*) AS n FROM a GROUP BY 1, 2), k AS (SELECT l, count(*) AS fields, min(f) AS first_field FROM g GROUP BY 1 HAVING count(*) > 1)
