@@ -33,21 +33,50 @@ REDACTED = "<secret>"
 SPAN = "array<struct<start: int, kind: int, end: int>>"
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, kind, end) in code points of the pattern's matches whose group has `least` characters."""
+#: Cells that are folded into one short array before the arrays are joined, and characters of a piece of a text.
+CHUNK = 256
+TEXT_CHUNK = 4096
+
+
+def scan(cells: Column, zero: Column, step, kind: str) -> Column:
+    """What `step` puts out over an array, in order: step(state, cell) gives the next state and a value of type `kind`, or null for none.
+
+    Linear in the array: values are gathered in short arrays of CHUNK cells at most.
+    """
+    none, gathered = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    starts = lambda whole: F.sequence(F.lit(0), F.floor(F.size(whole) / CHUNK).cast("int"))
+
+    def one(acc: Column, x: Column) -> Column:
+        state, value = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.when(value.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(value))).alias("out"))
+
+    def chunk(whole: Column, acc: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(whole, i * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), none.alias("out")), one,
+                           lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    # a variable of a lambda is worked out once; the array itself would be for every chunk
+    over = lambda whole: F.flatten(F.aggregate(starts(whole), F.struct(zero.alias("state"), gathered.alias("out")), lambda acc, i: chunk(whole, acc, i))["out"])
+    return F.get(F.transform(F.array(cells), over), F.lit(0))
+
+
+def found_cells(text: Column, pattern: str, group: int = 0) -> Column:
+    """Cells (g, m, v, c) of a pattern: characters before each match, its own, those of its group, and the match; a last one for what follows."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    cells = F.arrays_zip(F.transform(between, lambda x: F.char_length(x)).alias("g"), F.transform(found, lambda x: F.char_length(x)).alias("m"),
-                         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.char_length(x)).alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    lengths = lambda x: F.transform(x, F.char_length)
+    return F.when(text.rlike(pattern), F.arrays_zip(lengths(between).alias("g"), lengths(found).alias("m"), lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).alias("v"), found.alias("c")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["g"]
-        end = at + F.coalesce(x["m"], F.lit(0))
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["v"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(cells, start, step)["out"]).otherwise(F.array().cast(SPAN))
+def matches(cells: Column, kind: int, least: int = 0, text: bool = False) -> Column:
+    """Spans (start, kind, end) in code points of the matches in found_cells whose group has `least` characters; with `text`, the match as `c`."""
+    def step(at: Column, x: Column):
+        start = at + x["g"]
+        end = start + F.coalesce(x["m"], F.lit(0))
+        span = [start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")] + [x["c"].alias("c")] * text
+        return end, F.when(x["v"] >= least, F.struct(*span))
+
+    extra = ", c: string" * text
+    return F.coalesce(scan(cells, F.lit(0), step, f"struct<start: int, kind: int, end: int{extra}>"), F.array().cast(f"array<struct<start: int, kind: int, end: int{extra}>>"))
 
 
 def samples(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> DataFrame:
@@ -80,20 +109,43 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> DataFrame:
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "x"))), lambda c: c["x"]).alias("ratio"))
 
 
+def pair_ratios(c: Column, ratio: Column) -> Column:
+    """The log ratio of each pair of characters of c, in order; c is cut into characters once."""
+    n = len(ALPHABET)
+    codes = F.transform(F.split(c, ""), lambda x: F.instr(F.lit(ALPHABET), x))
+    last = F.greatest(F.char_length(c) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last), lambda x, y: F.element_at(ratio, (x - 1) * n + y))
+
+
 def likelihood_ratio(candidate: Column, ratio: Column) -> Column:
     """Log-likelihood ratio, random against ordinary, over the candidate's pairs of characters."""
-    n = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(candidate, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, (code(i) - 1) * n + code(i + 1)))
+    return F.aggregate(pair_ratios(candidate, ratio), F.lit(0.0), lambda acc, x: acc + x)
+
+
+PART = "struct<start: int, end: int, at: int, c: string>"
+
+
+def left_over(runs: Column, fixed: Column) -> Column:
+    """Parts (start, end) of the runs (start, kind, end, c) that no span of `fixed` covers, with their run's start `at` and text `c`; one pass over both in order of start."""
+    as_run = lambda s, c: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), c.alias("c"))
+    end = F.lit(2**31 - 1)
+    stop = F.array(F.struct(end.alias("start"), F.lit(len(FORMS)).alias("kind"), end.alias("end"), F.lit("").alias("c")))
+    cells = F.concat(F.array_sort(F.concat(F.transform(fixed, lambda s: as_run(s, F.lit(None).cast("string"))), runs)), stop)
+    zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("from"), F.lit(0).alias("end"), F.lit(0).alias("at"), F.lit("").alias("c"))
 
+    def step(st: Column, x: Column):
+        is_run = x["kind"] == len(FORMS)
+        until = F.least(x["start"], st["end"])
+        part = F.when(st["from"] < until, F.struct(st["from"].alias("start"), until.alias("end"), st["at"].alias("at"), st["c"].alias("c")))
+        covered = F.greatest(st["covered"], F.when(is_run, F.lit(0)).otherwise(x["end"]))
+        pick = lambda new, old: F.when(is_run, new).otherwise(old)
+        state = F.struct(covered.alias("covered"), F.greatest(covered, pick(x["start"], st["from"])).alias("from"), pick(x["end"], st["end"]).alias("end"), pick(x["start"], st["at"]).alias("at"), pick(x["c"], st["c"]).alias("c"))
+        return state, part
 
-def left_over(run: Column, fixed: Column) -> Column:
-    """Parts (start, end) of a run that no span of `fixed` (in order of start) covers."""
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    grown = lambda acc, end: F.when(acc["at"] < end, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["out"])
-    over = F.filter(fixed, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), grown(acc, b["start"]).alias("out"))
-    return F.aggregate(over, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda acc: grown(acc, run["end"]))
+    return scan(cells, zero, step, PART)
+
+
+STRETCH = "struct<start: int, end: int>"
 
 
 def stretches(c: Column, ratio: Column, min_ratio: float, min_mean: float) -> Column:
@@ -101,37 +153,35 @@ def stretches(c: Column, ratio: Column, min_ratio: float, min_mean: float) -> Co
 
     One begins where the sum of what pairs have above the mean was last used up, and ends at the sum's peak before it falls by `min_ratio`.
     """
-    n = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(c, i, F.lit(1)))
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    state = lambda start, total, raw, peak, end, kept, out: F.struct(start.alias("start"), total.alias("sum"), raw.alias("raw"), peak.alias("peak"), end.alias("end"), kept.alias("kept"), out.alias("out"))
+    state = lambda i, start, total, raw, peak, end, kept: F.struct(i.alias("i"), start.alias("start"), total.alias("sum"), raw.alias("raw"), peak.alias("peak"), end.alias("end"), kept.alias("kept"))
     zero = F.lit(0.0)
 
-    def closed(acc: Column) -> Column:
+    def step(acc: Column, x: Column):
+        i = acc["i"] + 1
+        total, raw = acc["sum"] + x - min_mean, acc["raw"] + x
+        cut = x.isNull() | (total < 0) | (total < acc["peak"] - min_ratio)
         long = (acc["kept"] > min_ratio) & (acc["end"] - acc["start"] >= MIN_CHARS)
-        return F.when(long, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+        then = (F.when(cut, state(i, i, zero, zero, zero, i, zero))
+                .when(total > acc["peak"], state(i, acc["start"], total, raw, total, i + 1, raw))
+                .otherwise(state(i, acc["start"], total, raw, acc["peak"], acc["end"], acc["kept"])))
+        return then, F.when(cut & long, F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
 
-    def step(acc: Column, p: Column) -> Column:
-        i, total, raw = p["i"], acc["sum"] + p["x"] - min_mean, acc["raw"] + p["x"]
-        return (F.when((total < 0) | (total < acc["peak"] - min_ratio), state(i, zero, zero, zero, i, zero, closed(acc)))
-                .when(total > acc["peak"], state(acc["start"], total, raw, total, i + 1, raw, acc["out"]))
-                .otherwise(state(acc["start"], total, raw, acc["peak"], acc["end"], acc["kept"], acc["out"])))
-
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.struct(i.alias("i"), F.element_at(ratio, (code(i) - 1) * n + code(i + 1)).alias("x")))
-    return F.aggregate(pairs, state(F.lit(0), zero, zero, zero, F.lit(0), zero, none), step, closed)
+    # a last null closes what is open
+    cells = F.concat(pair_ratios(c, ratio), F.array(F.lit(None).cast("double")))
+    return scan(cells, state(F.lit(0), F.lit(0), zero, zero, zero, F.lit(0), zero), step, STRETCH)
 
 
 def united(spans: Column) -> Column:
     """Spans (start, end, in order of start) with those that overlap as one."""
-    none = F.array().cast("array<struct<start: int, end: int>>")
+    end = F.lit(2**31 - 1)
+    own = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    cells = F.concat(F.transform(spans, lambda s: own(s["start"], s["end"])), F.array(own(end, end)))
 
-    def join(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        grown = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.concat(acc, own))
+    def step(last: Column, s: Column):
+        apart = last["end"] <= s["start"]
+        return own(F.when(apart, s["start"]).otherwise(last["start"]), F.when(apart, s["end"]).otherwise(F.greatest(last["end"], s["end"]))), F.when(apart & (last["end"] > 0), own(last["start"], last["end"]))
 
-    return F.aggregate(spans, none, join)
+    return scan(cells, own(F.lit(0), F.lit(0)), step, STRETCH)
 
 
 def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "spans", min_ratio: float = MIN_RATIO, min_mean: float = MIN_MEAN) -> DataFrame:
@@ -143,20 +193,19 @@ def find(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "span
     """
     rows, names = plain(docs)
     t = F.coalesce(F.col(names[text]), F.lit(""))
-    fixed = F.concat(*[matches(t, p, k, g, n) for k, (p, g, n) in enumerate(FORMS.values())])
-    spans = rows.withColumn("__fixed", fixed).withColumn("__runs", matches(t, CANDIDATE, len(FORMS))).withColumn("__ratio", model.scalar())
+    fixed = F.concat(*[matches(found_cells(t, p, g), k, n) for k, (p, g, n) in enumerate(FORMS.values())])
+    spans = rows.withColumn("__fixed", fixed).withColumn("__runs", matches(found_cells(t, CANDIDATE), len(FORMS), text=True)).withColumn("__ratio", model.scalar())
 
     def odd(c: Column) -> Column:
         return likelihood_ratio(c, F.col("__ratio")) > F.greatest(F.lit(min_ratio), (F.char_length(c) - 1) * F.lit(min_mean))
 
     def within(c: Column) -> Column:
-        cut = lambda s: F.substr(c, s["start"] + 1, s["end"] - s["start"])
-        pieces = F.transform(F.filter(matches(c, PIECE, 0), lambda s: odd(cut(s))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        pieces = F.transform(F.filter(matches(found_cells(c, PIECE), 0, text=True), lambda s: odd(s["c"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         return F.when(odd(c), F.array(F.struct(F.lit(0).alias("start"), F.char_length(c).alias("end")))).otherwise(
             united(F.array_sort(F.concat(pieces, stretches(c, F.col("__ratio"), min_ratio, min_mean)))))
 
-    parts = F.filter(F.flatten(F.transform("__runs", lambda s: left_over(s, F.col("__fixed")))), lambda p: p["end"] - p["start"] >= MIN_CHARS)
-    texts = F.transform(parts, lambda p: F.struct(p["start"].alias("at"), F.substr(t, p["start"] + 1, p["end"] - p["start"]).alias("c")))
+    parts = F.filter(left_over(F.col("__runs"), F.col("__fixed")), lambda p: p["end"] - p["start"] >= MIN_CHARS)
+    texts = F.transform(parts, lambda p: F.struct(p["start"].alias("at"), F.substr(p["c"], p["start"] - p["at"] + 1, p["end"] - p["start"]).alias("c")))
     random = F.flatten(F.transform(texts, lambda x: F.transform(within(x["c"]), lambda s: F.struct((x["at"] + s["start"]).alias("start"), F.lit(len(FORMS)).alias("kind"), (x["at"] + s["end"]).alias("end")))))
     spans = spans.withColumn("__fixed", F.array_sort("__fixed"))
     return spans.select(*[F.col(names[c]).alias(c) for c in docs.columns if c != out], F.array_sort(F.concat("__fixed", random)).alias(out))
@@ -174,11 +223,19 @@ def redact(docs: DataFrame, model: DataFrame, text: str = "text", chars: str = "
     found = find(rows, model, names[text], "__spans")
     merged = found.withColumn("__merged", united(F.col("__spans")))
     t = F.col(names[text])
+    # the text in pieces, so that a cut looks at its own pieces only
+    cut = merged.withColumn("__pieces", F.regexp_extract_all(t, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0)))
+    piece = lambda i: F.coalesce(F.get("__pieces", i), F.lit(""))
+
+    def between(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / TEXT_CHUNK).cast("int"), F.floor(b / TEXT_CHUNK).cast("int")
+        whole = F.array_join(F.slice("__pieces", i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, F.substr(piece(i), a % TEXT_CHUNK + 1, b - a)).otherwise(F.concat(F.substr(piece(i), a % TEXT_CHUNK + 1, F.lit(TEXT_CHUNK)), whole, F.substr(piece(j), F.lit(1), b % TEXT_CHUNK)))
+
     past = lambda i: F.coalesce(F.get("__merged", i - 1)["end"], F.lit(0))
-    before = F.transform("__merged", lambda s, i: F.substr(t, past(i) + 1, s["start"] - past(i)))
-    rest = F.substr(t, F.try_element_at("__merged", F.lit(-1))["end"] + 1, F.char_length(t))
-    clean = F.when(F.size("__merged") > 0, F.concat(F.array_join(F.transform(before, lambda b: F.concat(b, F.lit(REDACTED))), ""), rest)).otherwise(t)
-    out = merged.withColumn("__clean", clean)
+    before = F.transform("__merged", lambda s, i: F.concat(between(past(i), s["start"]), F.lit(REDACTED)))
+    rest = between(F.try_element_at("__merged", F.lit(-1))["end"], F.char_length(t))
+    out = cut.withColumn("__clean", F.when(F.size("__merged") > 0, F.concat(F.array_join(before, ""), rest)).otherwise(t))
     if chars in names:
         length = F.char_length("__clean").cast(docs.schema[chars].dataType)
         out = out.withColumn(names[chars], F.when((F.size("__merged") > 0) & F.col(names[chars]).isNotNull(), length).otherwise(F.col(names[chars])))

@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -278,3 +279,18 @@ def test_lm_scores_use_contexts_across_words_and_all_symbols(spark, odd_docs, no
     d.drop("k").write.parquet(f"{tmp_path}/documents.parquet")  # the query: an order of words that was taught scores higher than another
     scores = {g.doc_id: g.score for g in ppm.op9_lm_score(spark, str(tmp_path)).collect()}
     assert scores[90] > scores[91] + 10
+
+
+def test_secrets_in_long_runs_and_among_many_matches(spark, markov):
+    """Times would be hours if work grew with the square of a run or of the matches; whole results all the same."""
+    rng = random.Random(8)
+    drawn = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000))
+    ordinary = "_".join(["configuration"] * 20_000)
+    many = "é password=abcdefgh1 " * 20_000
+    d = spark.createDataFrame([(0, drawn), (1, ordinary), (2, many), (3, "x" + many + drawn)], "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in secrets.find(d, markov).collect()}
+    assert [tuple(s) for s in got[0]] == [(0, secrets.KINDS.index("random"), 300_000)] and got[1] == []
+    assert [tuple(s) for s in got[2]] == [(i * 21 + 2, 0, i * 21 + 20) for i in range(20_000)]
+    assert [tuple(s) for s in got[3]] == [(i * 21 + 3, 0, i * 21 + 21) for i in range(20_000)] + [(420_001, secrets.KINDS.index("random"), 720_001)]
+    clean = {r.doc_id: r.text for r in secrets.redact(d, markov).collect()}
+    assert clean == {0: secrets.REDACTED, 1: ordinary, 2: "é <secret> " * 20_000, 3: "x" + "é <secret> " * 20_000 + secrets.REDACTED}
