@@ -24,9 +24,10 @@ def stream_rule_activity(events: DataFrame, window: str = "1 hour", slide: str |
 
 
 def stream_quiet_rules(events: DataFrame, gap: str = "90 days", late: str = "10 minutes") -> DataFrame:
-    """Z3: sessions of a rule's activity; a closed session is a rule gone quiet for the gap."""
-    return (events.where("rule_id != ''").withWatermark("ts", late).groupBy(F.session_window("ts", gap), "rule_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
-            .select("rule_id", F.col("session_window.start").alias("active_from"), "last_seen", F.col("session_window.end").alias("quiet_since"), "n"))
+    """Z3: sessions of a rule's activity; a closed session is a rule gone quiet for the gap. A session window takes in an event that comes
+    exactly its gap later; such a rule has been quiet for the gap, so the window's is a microsecond shorter."""
+    return (events.where("rule_id != ''").withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap} -1 microseconds"), "rule_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+            .select("rule_id", F.col("session_window.start").alias("active_from"), "last_seen", (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("quiet_since"), "n"))
 
 
 def stream_detect(lines: DataFrame) -> DataFrame:

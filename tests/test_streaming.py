@@ -32,6 +32,15 @@ def test_windows_close_once_and_late_rows_are_counted(spark, tmp_path):
     assert got() == {("09:00", "a"): 3, ("10:00", "a"): 3, ("10:00", "b"): 1, ("11:00", "b"): 1, ("12:00", "a"): 1, ("13:00", "a"): 1}
 
 
+def test_a_rule_that_comes_back_exactly_after_the_gap_was_quiet_for_it(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    feed(spark, base, [("2024-01-01 10:00:00", "a"), ("2024-01-02 10:00:00", "a"), ("2024-01-01 10:00:00", "b"), ("2024-01-02 09:59:59", "b"), ("2024-01-09 00:00:00", "c")], EVENT)
+    run(spark, base, lambda e: J.stream_quiet_rules(e, "1 day"), EVENT)
+    got = sorted((r.rule_id, str(r.active_from), str(r.last_seen), str(r.quiet_since), r.n) for r in spark.read.parquet(f"{base}/out/*").collect())
+    day = lambda n, t="10:00:00": f"2024-01-0{n} {t}"
+    assert got == [("a", day(1), day(1), day(2), 1), ("a", day(2), day(2), day(3), 1), ("b", day(1), day(2, "09:59:59"), day(3, "09:59:59"), 2)]
+
+
 def test_a_line_sent_again_within_the_watermark_is_dropped_and_state_ends(spark, tmp_path):
     base = f"file://{tmp_path}"
     schema = "ts string, device_id string, line int, text string"
