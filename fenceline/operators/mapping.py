@@ -17,7 +17,7 @@ from ..session import cut_lineage
 from . import literals
 from .jsonpath import path_values, text_of, understood
 from ..functions.values import normalise
-from ..types import TVAL, TVAL_DDL, small_side, num_text, tval_py, tv_bool, tv_list, tv_num, tv_str
+from ..types import TVAL, TVAL_DDL, shuffled, small_side, num_text, tval_py, tv_bool, tv_list, tv_num, tv_str
 
 MAX_MAPPINGS = 200000
 MAPPING = T.StructType([
@@ -203,7 +203,7 @@ def apply_mappings(devices: DataFrame, mappings: DataFrame, lines: DataFrame | N
     m = _maps(mappings, "true")
     grid = devices.select("device_id", "platform").join(m.select("platform", "mord", "field", "const", "if_absent", (F.col("parent").isNotNull() | F.col("glob").isNotNull()).alias("scoped"), F.col("jsonpath").isNotNull().alias("json")), "platform")
     hit = got.select("device_id", "mord").distinct().withColumn("hit", F.lit(True))
-    miss = grid.join(hit, ["device_id", "mord"], "left").where("hit is null")
+    miss = grid.join(shuffled(hit), ["device_id", "mord"], "left").where("hit is null")
     val = F.when(F.col("const").isNotNull(), F.col("const")).when(~F.col("scoped"), F.col("if_absent"))
     none_ev = F.lit(None).cast("array<struct<file:string,line:int,raw:string,record_id:string>>")
     soft = F.col("const").isNull() & ~F.col("scoped") & ~F.col("json")
@@ -365,9 +365,9 @@ def default_group_in_use(permissions: DataFrame) -> DataFrame:
 def account(records: DataFrame, consumed: DataFrame, quarantined: DataFrame | None = None) -> DataFrame:
     """Fates per device. consumed(device_id, line) is what a mapping or builder read; the total must equal the sum of fates."""
     c = consumed.select("device_id", "line").distinct().withColumn("c", F.lit(True))
-    r = records.join(c, ["device_id", "line"], "left")
+    r = records.join(shuffled(c), ["device_id", "line"], "left")
     if quarantined is not None:
-        r = r.join(quarantined.select("device_id", "line").distinct().withColumn("q", F.lit(True)), ["device_id", "line"], "left")
+        r = r.join(shuffled(quarantined.select("device_id", "line").distinct().withColumn("q", F.lit(True))), ["device_id", "line"], "left")
     else:
         r = r.withColumn("q", F.lit(None).cast("boolean"))
     fate = F.when(F.col("q"), "QUARANTINED").when(F.col("c"), "MAPPED").otherwise("PARSED")
@@ -377,7 +377,7 @@ def account(records: DataFrame, consumed: DataFrame, quarantined: DataFrame | No
 
 def unrecognised(records: DataFrame, consumed: DataFrame) -> DataFrame:
     """Records nothing read."""
-    return records.join(consumed.select("device_id", "line").distinct(), ["device_id", "line"], "left_anti")
+    return records.join(shuffled(consumed.select("device_id", "line").distinct()), ["device_id", "line"], "left_anti")
 
 
 def merge_learned(mappings: DataFrame, learned: DataFrame) -> DataFrame:

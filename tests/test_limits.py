@@ -1,6 +1,8 @@
 """Nothing is capped: nesting, indentation, detections and statements on a line."""
 import json
 
+from pyspark.sql import functions as F
+
 from fenceline.functions import text as T
 from fenceline.operators import detect as D, logs as L, policy as G
 from fenceline.sources import files as S
@@ -64,3 +66,16 @@ def test_log_pairs_last_value_and_spellings(spark):
 
 def test_synonyms_reach_their_word(spark):
     assert T.CANON["sshv2"] == "ssh" and T.CANON["login-message"] == "banner" and all(isinstance(v, list) for v in T.SYNONYMS.values())
+
+
+def test_line_state_and_accounts_send_no_side_to_every_task(spark):
+    """The estimate of lines knows only the table that the files were composed from."""
+    from fenceline.operators import mapping as M
+    from fenceline.sources import files as S
+    f = spark.range(20).select(F.col("id").cast("string").alias("device_id"), F.lit("a\n b\n c\nd").alias("content"))
+    l = S.read_indented_config(S.explode_lines(f))
+    used = l.where("line = 2").select("device_id", "line")
+    rows = spark.range(8).select(F.lit("d").alias("device_id"), F.col("id").alias("line"), F.lit(1).alias("delta"))
+    for d in (l, M.account(l, used), M.unrecognised(l, used), S.depth_after(rows, ["device_id"], ["line"], "delta"), S.running_sum(rows, ["device_id"], ["line"], "before", F.lit(1))):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert M.account(l, used).where("balances and mapped = 1 and parsed = 3").count() == 20
