@@ -22,10 +22,11 @@ def read_config_files(spark, sf):
     base = _folder(spark, "configs")
     s = V.table(spark, sf, "supplier")
     k = F.col("s_suppkey").cast("string")
-    s.select("s_suppkey", F.concat(F.lit("hostname s"), k, F.lit("\n! nation "), F.col("s_nationkey").cast("string"), F.lit("\n line "), F.col("s_name")).alias("value")).write.partitionBy("s_suppkey").text(base)
-    files = S.read_config_files(spark, base)
-    n = S.explode_lines(files).groupBy("device_id").agg(F.count(F.lit(1)).alias("lines"))
-    return files.join(n, "device_id").select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("k"), "sha256", "lines", "error")
+    s.select("s_suppkey", F.concat(F.lit("hostname s"), k, F.lit("\n! nation "), F.col("s_nationkey").cast("string"), F.lit("\n line "), F.col("s_name")).alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(base)
+    # the folders are named by a pattern, so that they are listed by tasks; each file is read once
+    files = S.read_config_files(spark, f"{base}/*")
+    n = S.explode_lines(files).groupBy("device_id", "path", "sha256", "error").agg(F.count(F.lit(1)).alias("lines"))
+    return n.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("k"), "sha256", "lines", "error")
 
 
 @query("read_logs", "WITH " + V.duck_cte("px_log_lines") + " SELECT CASE WHEN event_id % 10 = 8 THEN 'deny' ELSE event_type END AS action, count(*) AS n FROM px_log_lines WHERE event_id % 10 <> 9 GROUP BY 1")

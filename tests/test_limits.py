@@ -79,3 +79,9 @@ def test_line_state_and_accounts_send_no_side_to_every_task(spark):
     for d in (l, M.account(l, used), M.unrecognised(l, used), S.depth_after(rows, ["device_id"], ["line"], "delta"), S.running_sum(rows, ["device_id"], ["line"], "before", F.lit(1))):
         assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
     assert M.account(l, used).where("balances and mapped = 1 and parsed = 3").count() == 20
+
+
+def test_config_files_are_read_once(spark):
+    from fenceline.plans import load_all
+    plan = load_all()[0]["read_config_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and "Join" not in plan
