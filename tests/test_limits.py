@@ -85,3 +85,9 @@ def test_config_files_are_read_once(spark):
     from fenceline.plans import load_all
     plan = load_all()[0]["read_config_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan binaryFile") == 1 and "Join" not in plan
+
+
+def test_xml_leaves_send_no_side_to_every_task(spark):
+    d = S.read_xml_leaves(spark.createDataFrame([("d", "<a><b x='1'>t</b><c/></a>")], "device_id string, content string"))
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert [(r.path, r.value) for r in d.orderBy("ordinal").collect()] == [("b/@x", "1"), ("b", "t"), ("c", "<present>")]
