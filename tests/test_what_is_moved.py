@@ -1,7 +1,7 @@
 """What is shuffled and written stays small beside the rows it stands for."""
 from pyspark.sql import functions as F
 
-from fenceline.operators import jsonpath as J
+from fenceline.operators import extended as E, jsonpath as J
 from fenceline.session import cut_lineage
 
 
@@ -20,3 +20,17 @@ def test_json_documents_are_not_shuffled(spark):
     got = {r["expr"]: r["count"] for r in J.path_values(d, e).groupBy("expr").count().collect()}
     assert got == {"$.a[*].k": 300 * 41, "$.a[7].k": 300, "$.a": 300}
     assert shuffle_written(spark) - before < 100_000
+
+
+def test_a_release_is_reported_once_for_its_devices(spark):
+    m = "struct<criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>"
+    sch = f"cve_id string, status string, configurations array<struct<operator:string,negate:boolean,nodes:array<struct<operator:string,negate:boolean,cpeMatch:array<{m}>>>>>, metric struct<base_score:double,base_severity:string>"
+    c = spark.createDataFrame([(f"V-{i}", "Analyzed", [("OR", False, [("OR", False, [("cpe:2.3:o:acme:os:*:*", None, None, None, f"{i % 4}.5")])])], (i % 3 + 0.5, "HIGH")) for i in range(12)], sch)
+    d = spark.createDataFrame([(f"d{i}", f"{i % 2 + 1}.0", "M1" if i % 3 else None, "o", "acme", "os") for i in range(30)], "device_id string, version string, model string, part string, vendor string, product string")
+    kev = spark.createDataFrame([("V-3", "2025-01-01")], "cve_id string, due_date string")
+    releases = E.match_releases(d, c)
+    assert releases.count() * 5 <= E.match_cve(d, c).count()
+    cols = ["device_id", "cve_id", "state", "severity", "known_exploited", "rank"]
+    once = E.on_devices(d, E.cve_report(releases, c, kev, by="uid")).select(*cols)
+    each = E.cve_report(E.match_cve(d, c), c, kev).select(*cols)
+    assert sorted(once.collect()) == sorted(each.collect()) and each.count() > 0
