@@ -1,8 +1,10 @@
 """What is shuffled and written stays small beside the rows it stands for."""
+import os
+
 from pyspark.sql import functions as F
 
-from fenceline.operators import extended as E, jsonpath as J
-from fenceline.session import cut_lineage
+from fenceline.operators import controls as C, extended as E, jsonpath as J
+from fenceline.session import checkpoint_dir, cut_lineage
 
 
 def shuffle_written(spark) -> int:
@@ -34,3 +36,21 @@ def test_a_release_is_reported_once_for_its_devices(spark):
     once = E.on_devices(d, E.cve_report(releases, c, kev, by="uid")).select(*cols)
     each = E.cve_report(E.match_cve(d, c), c, kev).select(*cols)
     assert sorted(once.collect()) == sorted(each.collect()) and each.count() > 0
+
+
+def test_cut_tables_are_small_on_disk_and_whole(spark):
+    def size():
+        top = checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(top) for f in fs)
+
+    df = spark.range(30000).select("id", F.array(F.struct(F.lit("file of a device").alias("file"), (F.col("id") % 9).alias("line"))).alias("evidence"), F.lit("firewall.rules.action").alias("field"))
+    before = size()
+    assert cut_lineage(df).count() == 30000 and size() - before < 600_000
+    odd = cut_lineage(df.select("id", F.lit(None).alias("nothing")))
+    assert odd.count() == 30000 and odd.columns == ["id", "nothing"]
+
+
+def test_only_settings_that_a_control_reads_are_kept(spark):
+    ctl = C.controls_df(spark, [{"id": "A", "field": "x", "operator": "equals", "expected": 1, "severity": "low", "requires": [{"field": "y", "equals": True}]}])
+    obs = spark.createDataFrame([("d", f) for f in "xyz"], "device_id string, field string")
+    assert {r.field for r in C.read_observations(obs, ctl).collect()} == {"x", "y"}
