@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from fenceline.operators import controls as C, extended as E, jsonpath as J
+from fenceline.operators import controls as C, extended as E, jsonpath as J, retrieval as Q
 from fenceline.session import checkpoint_dir, cut_lineage
 
 
@@ -54,3 +54,14 @@ def test_only_settings_that_a_control_reads_are_kept(spark):
     ctl = C.controls_df(spark, [{"id": "A", "field": "x", "operator": "equals", "expected": 1, "severity": "low", "requires": [{"field": "y", "equals": True}]}])
     obs = spark.createDataFrame([("d", f) for f in "xyz"], "device_id string, field string")
     assert {r.field for r in C.read_observations(obs, ctl).collect()} == {"x", "y"}
+
+
+def test_pairs_above_a_cosine_are_those_of_all_pairs(spark):
+    words = ["lan", "wan", "vpn", "acl", "nat", "dns", "ntp", "tls"]
+    text = lambda i: " ".join(words[(i * (k + 3) + k * k) % 8] for k in range(3 + i % 5))
+    d = spark.createDataFrame([(i, text(i)) for i in range(60)] + [(60, ""), (61, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, text(i * 7 + 1)) for i in range(9)] + [(9, "absent")], "query_id long, text string")
+    every = {(r.query_id, r.doc_id): r.cosine for r in Q.tfidf_scores(q, d).collect()}
+    got = {(r.query_id, r.doc_id): r.cosine for r in Q.tfidf_scores(q, d, above=0.3123).collect()}
+    assert 0 < len(got) < len(every) and set(got) == {k for k, c in every.items() if c > 0.3123}
+    assert all(abs(got[k] - every[k]) < 1e-12 for k in got)
