@@ -41,11 +41,11 @@ def _hit_struct(i, name, sev, field, matched, redacted=None) -> Column:
     return F.struct(F.lit(i).alias("emit"), F.lit(name).alias("detector"), F.lit(sev).alias("severity"), field.alias("field_hint"), matched.alias("matched"))
 
 
-def hits_on_line(text: Column, detectors=DETECTORS) -> Column:
-    """Every detection on one line, as an array; the same expression serves batch and stream."""
+def hits_on_line(text: Column, detectors=DETECTORS, credentials: bool | None = None) -> Column:
+    """Every detection on one line, as an array; the same expression serves batch and stream. credentials: only cleartext credentials, or all but them."""
     negated = text.rlike(NEGATION)
     out = []
-    for i, (name, sev, field, pattern, requires, excludes) in enumerate(detectors):
+    for i, (name, sev, field, pattern, requires, excludes) in enumerate(detectors if credentials is not True else []):
         c = text.rlike(pattern) & ~negated
         if requires:
             c = c & text.rlike(requires)
@@ -56,20 +56,23 @@ def hits_on_line(text: Column, detectors=DETECTORS) -> Column:
     plain = (text.rlike(CREDENTIAL) & ~negated & ~text.rlike(ENCRYPTED) & ~val.rlike(HASHED) & ~val.rlike(r"^(<|\$\(|\{\{)") & (F.length(val) >= 4) & ~F.lower(val).isin("none", "null", "disable"))
     hint = F.when(kw == "community", "snmp.communities").when(kw.isin("pre-shared-key", "psk", "key-string"), "crypto.ipsec_proposals").otherwise("authentication.password_encryption")
     said = F.concat(F.regexp_extract(text, CREDENTIAL, 1), F.lit(" <redacted:"), F.length(val).cast("string"), F.lit(" chars>"))
-    out.append(F.when(plain, _hit_struct(len(detectors), "cleartext_credential", "critical", hint, said)))
+    if credentials is not False:
+        out.append(F.when(plain, _hit_struct(len(detectors), "cleartext_credential", "critical", hint, said)))
     return F.filter(F.array(*out), lambda h: h.isNotNull())
 
 
 def detect(lines: DataFrame, detectors=DETECTORS, cap: int | None = None) -> DataFrame:
     """lines(device_id, line, text) -> one row per detection. All are returned; cap is a report's limit per
     detector and file (credentials have none)."""
-    d = (significant(lines).withColumn("h", F.explode(hits_on_line(F.col("text"), detectors))).select("device_id", "line", "text", "h.*").withColumn("confidence", F.lit(CONFIDENCE)))
+    def found(credentials: bool | None = None) -> DataFrame:
+        return significant(lines).withColumn("h", F.explode(hits_on_line(F.col("text"), detectors, credentials))).select("device_id", "line", "text", "h.*").withColumn("confidence", F.lit(CONFIDENCE))
+
     if cap is None:
-        return d
+        return found()
     # only detectors that can exceed the cap are ranked, and the limit is applied before the shuffle
     k = F.row_number().over(W.partitionBy("device_id", "detector").orderBy("line"))
-    ranked = d.where("detector != 'cleartext_credential'").withColumn("k", k).where(F.col("k") <= cap).drop("k")
-    return ranked.unionByName(d.where("detector = 'cleartext_credential'"))
+    ranked = found(credentials=False).withColumn("k", k).where(F.col("k") <= cap).drop("k")
+    return ranked.unionByName(found(credentials=True))
 
 
 def one_finding_per_line(detections: DataFrame) -> DataFrame:

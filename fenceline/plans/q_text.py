@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X, version as VV, net, values as NV
 from ..operators import detect as D, mapping as M, topology as N
 from ..sources import files as S
+from ..types import spread
 from . import views as V
 from .registry import query
 
@@ -32,7 +33,8 @@ def config_files(spark, sf):
              F.concat(L("username u"), s(k), L(" password "), F.when(k % 4 == 0, F.concat(L("Secret"), s(k))).when(k % 4 == 1, "$1$abcdef").when(k % 4 == 2, "abc").otherwise(F.concat(L("plain"), s(k), L(" encrypted")))),
              F.concat(L("crypto transform esp-"), F.when(k % 3 == 0, "des").when(k % 3 == 1, "aes").otherwise("3des")), F.concat(L("logging host 10.5.0."), s(k % 9)), F.concat(L("logging host 10.6.0."), s(k % 9)),
              F.concat(L("access-list 1 permit "), F.when(k % 6 == 0, "any any").otherwise("host 10.0.0.1"))]
-    return V.table(spark, sf, "customer").select(s(k).alias("device_id"), F.lit("ios").alias("platform"), F.array_join(F.array(*lines), "\n").alias("content"))
+    keys = spread(V.table(spark, sf, "customer").select("c_custkey"), "c_custkey")  # a key becomes a file of 15 lines
+    return keys.select(s(k).alias("device_id"), F.lit("ios").alias("platform"), F.array_join(F.array(*lines), "\n").alias("content"))
 
 
 def config_lines(spark, sf):

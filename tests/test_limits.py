@@ -91,3 +91,11 @@ def test_xml_leaves_send_no_side_to_every_task(spark):
     d = S.read_xml_leaves(spark.createDataFrame([("d", "<a><b x='1'>t</b><c/></a>")], "device_id string, content string"))
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
     assert [(r.path, r.value) for r in d.orderBy("ordinal").collect()] == [("b/@x", "1"), ("b", "t"), ("c", "<present>")]
+
+
+def test_files_are_spread_before_they_grow(spark, tmp_path):
+    from fenceline.plans import q_text
+    spark.range(1, 4001).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    files = q_text.config_files(spark, str(tmp_path))
+    used = files.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 and files.count() == 4000
