@@ -40,7 +40,7 @@ def _pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order[first], rs[first], np.diff(np.append(first, len(order)))
 
 
-def _block(parts: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def distinct_tokens(parts: list) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, list offsets, rows and times of the chunks of one block together."""
     h, row, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(h, kind="stable")
@@ -95,7 +95,7 @@ def postings(docs: DataFrame, text: Column, info: list[Column], spans: Callable
                 if end is not None:
                     yield _batch(pa.array([end]), number, np.array([0, j - i]), ids | 1, None, details.type)
                 if parts:
-                    tokens, cuts, rows, n = _block(parts)
+                    tokens, cuts, rows, n = distinct_tokens(parts)
                     for a in range(0, len(tokens), 50_000):
                         b = min(a + 50_000, len(tokens))
                         lo, hi = cuts[a], cuts[b]

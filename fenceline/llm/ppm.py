@@ -16,10 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from . import words
-from .blocks import by_document, gather, postings, taught
+from .blocks import by_document, distinct_tokens, gather, postings, taught
 from .store import written
 from .words import text_bytes
 
@@ -27,6 +27,7 @@ from .words import text_bytes
 ORDER = 5
 MAX_SYMBOLS = 2_000_000
 END = "\n"
+END_HASH = words.hashed(np.frombuffer(END.encode(), np.uint8), np.array([0]), np.array([1]))
 #: Bytes of text whose grams are asked for together, and grams that are worked out together (whole groups of the same two last bytes).
 TEXT_BLOCK = 16 << 20
 BUNDLE = 400_000
@@ -193,6 +194,16 @@ def score(docs: DataFrame, training, text: str = "text", key: str = "doc_id", or
                       F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """8-byte values as compressed planes of bytes: sorted keys share their high bytes, and code lengths repeat."""
+    return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def restored(b: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    return np.frombuffer(pa.decompress(b[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view(kind).ravel()
+
+
 def text_grams(column: pa.Array):
     """For each chunk of rows [i, j): i, j, the gram of every coded byte of each text, and its row from i.
 
@@ -236,10 +247,6 @@ def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_i
             n, size = n + batch.num_rows, size + int(offsets[-1] - offsets[0])
 
     rows = written(src.mapInArrow(number, numbered), "rows", compression="zstd")
-    post = written(postings(rows, F.col("text"), [F.col("key"), (~F.col("learn")).alias("held_out"), F.col("rid")], lower=True, mark=F.col("learn"), end=END), "postings", compression="zstd")
-    vocabulary = written(post.where("token is not null").groupBy("token").agg(F.sum(taught()).alias("c")), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-
     def low_orders(batches):
         held = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -296,7 +303,7 @@ def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_i
             gram, block = gram[by], block[by]
             found = logs[np.searchsorted(keys, gram)]
             edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            cells = [(block[a], gram[a:b].tobytes(), found[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            cells = [(block[a], squeezed(gram[a:b]), squeezed(found[a:b])) for a, b in zip(edges, edges[1:])]
             for a in range(0, len(cells), 500):
                 b, g, x = zip(*cells[a : a + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([0] * len(b), pa.int32()), pa.array(g, pa.binary()), pa.array(x, pa.binary())], names=reply.names)
@@ -318,13 +325,82 @@ def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_i
         if size:
             yield from worked(held)
 
+    def tally(batches):
+        """Distinct tokens of each block with how often its training texts hold them."""
+        own, parts, ends = None, [], 0
+
+        def sent():
+            if own is None:
+                return
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends]), pa.array([own], pa.int64())], names=["token", "n", "block"])
+            if not parts:
+                return
+            tokens, cuts, _, n = distinct_tokens(parts)
+            n = np.add.reduceat(n, cuts[:-1])
+            for a in range(0, len(tokens), 50_000):
+                t = tokens.slice(a, 50_000)
+                yield pa.RecordBatch.from_arrays([t, pa.array(n[a : a + 50_000]), pa.array(np.full(len(t), own))], names=["token", "n", "block"])
+
+        for batch in batches:
+            learn, block = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if block[a] != own:
+                    yield from sent()
+                    own, parts, ends = block[a], [], 0
+                ends += int(learn[a:b].sum())
+                for i, _, c, row, start, end, h in words.hashed_words(batch.column(0).slice(a, b - a)):
+                    if len(h):
+                        once, first, back = np.unique(h, return_index=True, return_inverse=True)
+                        lo, text = gather(c, start[first], end[first])
+                        n = np.bincount(back, learn[a + i + row], minlength=len(once)).astype(np.int64)
+                        parts.append((once, np.zeros(len(once), np.int64), n, lo[:-1], text, lo[1:]))
+        yield from sent()
+
+    def pack(batches):
+        """Counts of tokens by block, and what a task's tokens come to in all: how many they are in training texts and how many are distinct there."""
+        held, size, total = [], 0, np.zeros(2, np.int64)
+
+        def cells():
+            block, h, c = (np.concatenate([x[i] for x in held]) for i in range(3))
+            by = np.lexsort((h, block))
+            block, h, c = block[by], h[by], c[by]
+            edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            got = [(int(block[a]), 1, squeezed(h[a:b]), squeezed(c[a:b])) for a, b in zip(edges, edges[1:])]
+            yield _replies(got)
+
+        for batch in batches:
+            block, n, c, new = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            if not len(block):
+                continue
+            offsets, data = text_bytes(batch.column(0))
+            h = words.hashed(data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+            total += int(n.sum()), int(((c > 0) & new).sum())
+            held.append((block, h, c))
+            size += len(h)
+            if size >= BUNDLE:
+                yield from cells()
+                held, size = [], 0
+        if size:
+            yield from cells()
+        yield _replies([(-1, 3, total.tobytes(), b"")])
+
+    def _replies(got):
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=reply.names)
+
+    token = W.partitionBy("token").orderBy("block")
+    tallied = rows.select("text", "learn", "block").mapInArrow(tally, "token string, n long, block long")
+    counted = tallied.select("token", "block", "n", F.sum("n").over(token.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("c"), (F.row_number().over(token) == 1).alias("new"))
     none = lambda kind: F.lit(None).cast(kind)
-    answers = asked.mapInArrow(answer, reply).select("*", none("string").alias("text"), none("long").alias("rid"))
-    texts = rows.select("block", F.lit(1).alias("kind"), none("binary").alias("grams"), none("binary").alias("logs"), "text", "rid")
+    answers = asked.mapInArrow(answer, reply).unionByName(counted.mapInArrow(pack, reply)).select("*", none("string").alias("text"), none("long").alias("rid"))
+    texts = rows.select("block", F.lit(2).alias("kind"), none("binary").alias("grams"), none("binary").alias("logs"), "text", "rid")
     met = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    result = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def add(batches):
-        own, parts, keys, logs = None, [], None, None
+        own, parts, tokens, keys, logs, hashes, seen = None, [], [], None, None, None, None
         for batch in batches:
             block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
@@ -333,27 +409,46 @@ def score_texts(docs: DataFrame, training, text: str = "text", key: str = "doc_i
                 if a == b:
                     continue
                 if block[a] != own:
-                    own, parts, keys = block[a], [], None
+                    own, parts, tokens, keys = block[a], [], [], None
+                if kind[a] == 3:
+                    n, v = (list(x) for x in zip(*(np.frombuffer(g.as_py(), np.int64).tolist() for g in batch.column(2).slice(a, b - a))))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.nulls(b - a, pa.float64()), pa.nulls(b - a, pa.float64())], names=result.names)
+                    continue
+                if kind[a] == 1:
+                    tokens += [(restored(g.as_py(), U), restored(x.as_py(), np.int64)) for g, x in zip(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a))]
+                    continue
                 if kind[a] == 0:
-                    parts += [(np.frombuffer(g.as_py(), U), np.frombuffer(x.as_py())) for g, x in zip(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a))]
+                    parts += [(restored(g.as_py(), U), restored(x.as_py(), np.float64)) for g, x in zip(batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a))]
                     continue
                 if keys is None:
                     keys, logs = (np.concatenate([p[i] for p in parts]) for i in range(2))
                     by = np.argsort(keys)
                     keys, logs, parts = keys[by], logs[by], []
-                out = np.zeros(b - a)
+                    hashes, seen = (np.concatenate([p[i] for p in tokens]) for i in range(2))
+                    by = np.argsort(hashes)
+                    hashes, seen, tokens = hashes[by], seen[by], []
+                closed = seen[np.searchsorted(hashes, END_HASH)][0]  # of the end that every text has
+                out, n, known, base = np.zeros(b - a), np.ones(b - a, np.int64), np.full(b - a, int(closed > 0)), np.full(b - a, np.log10(closed + 1.0))
+                for i, j, _, row, _, _, h in words.hashed_words(batch.column(4).slice(a, b - a)):
+                    once, back = np.unique(h, return_inverse=True)
+                    at = np.searchsorted(hashes, once)
+                    assert (hashes[at] == once).all()
+                    n[i:j] += np.bincount(row, minlength=j - i)
+                    known[i:j] += np.bincount(row, (seen[at] > 0)[back], minlength=j - i).astype(np.int64)
+                    base[i:j] += np.bincount(row, np.log10(seen[at] + 1.0)[back], minlength=j - i)
                 for i, j, gram, row in text_grams(batch.column(4).slice(a, b - a)):
                     once, back = np.unique(gram, return_inverse=True)
                     at = np.searchsorted(keys, once)
                     assert (keys[at] == once).all()
                     out[i:j] = np.bincount(row, logs[at][back], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(5).slice(a, b - a), pa.array(out)], names=["rid", "score"])
-
-    scored = met.mapInArrow(add, "rid long, score double")
-    known = vocabulary.select("token", F.lit(1).alias("one"), (F.col("c") > 0).cast("int").alias("known"), F.log10((F.col("c") + 1) / F.lit(float(total["n"] + total["v"] + 1))).alias("base"))
-    out = by_document(post.join(known, "token", "left"), ["key", "held_out", "rid"], n_tokens="one", n_known="known", base_score="base").join(scored, "rid")
-    return out.select(F.col("key").alias(key), "held_out", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-                      F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+                yield pa.RecordBatch.from_arrays([batch.column(5).slice(a, b - a), pa.array(n), pa.array(known), pa.array(base), pa.array(out)], names=result.names)
+
+    scored = written(met.mapInArrow(add, result), "scores", compression="zstd")
+    total = scored.where("rid is null").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_known"), F.lit(0)).alias("v")).first()
+    # log10((c + 1) / (N + V + 1)) summed over tokens: N and V are known only when every token has been counted
+    out = rows.select("key", "learn", "rid").join(scored.where("rid is not null"), "rid")
+    return out.select(F.col("key").alias(key), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"),
+                      (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))).alias("base_score"), "score")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

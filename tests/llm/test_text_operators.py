@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+from collections import Counter
 import random
 import re
 import zlib
@@ -291,6 +292,29 @@ def test_lm_scores_use_contexts_across_words_and_all_symbols(spark, odd_docs, no
     assert scores[90] > scores[91] + 10
 
 
+def test_lm_scores_keep_no_table_of_postings(spark, prose):
+    import os
+
+    from fenceline.session import checkpoint_dir
+
+    def size():
+        return sum(os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(checkpoint_dir(spark).removeprefix("file:")) for f in fs)
+
+    texts = [prose(i, 300) for i in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    before = size()
+    got = {r.doc_id: r for r in ppm.score_texts(d, F.col("doc_id") % 7 != 2).collect()}
+    assert size() - before < 0.7 * sum(map(len, texts))
+    c = Counter(w for i, t in enumerate(texts) if i % 7 != 2 for w in [*t.split(), "\n"])
+    n, v = sum(c.values()), len(c)
+    for i in (0, 2, 299):
+        tokens = [*texts[i].split(), "\n"]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(c[t] > 0 for t in tokens), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens), rel=1e-12)
+    for x in (np.zeros(0), np.arange(9, dtype=np.uint64) * np.uint64(1 << 59)):
+        assert (ppm.restored(ppm.squeezed(x), x.dtype) == x).all()
+
+
 def test_secrets_in_long_runs_and_among_many_matches(spark, markov):
     """Times would be hours if work grew with the square of a run or of the matches; whole results all the same."""
     rng = random.Random(8)
