@@ -200,3 +200,15 @@ def test_split_cli_line(spark):
     rows = [("ssh key-exchange group dh-group1-sha1", "ssh key-exchange group", "dh-group1-sha1"), ("exec-timeout 10 0", "exec-timeout", "10 0"), ("a=b=c", "a", "b=c"), ("logging on", "logging on", ""), ("10 20", "10", "20")]
     df = spark.createDataFrame(rows, "raw string, n string, v string").withColumn("g", X.split_cli_line(F.col("raw")))
     assert [(r.raw, r.g) for r in df.where("g.name != n or g.value != v").collect()] == []
+
+
+def test_small_groups_are_covered_without_the_index_and_alike(spark, monkeypatch):
+    import random
+    rnd = random.Random(3)
+    rows = [rule(i, action=rnd.choice(["allow", "deny"]), src=rnd.choice([ANY, ["10.0.0.0/24"], ["10.0.0.0/24", "10.0.1.0/24"]]), svc=rnd.choice([["any"], ["tcp/22"]]), sz=rnd.choice([[], ["A"]])) for i in range(25)]
+    r, found = rules(spark, *rows), lambda: sorted((x.id, x.related_id, x.kind) for x in G.covered(rules(spark, *rows), pol(spark)).collect())
+    monkeypatch.setattr(G, "FEW", 0)
+    want = found()
+    monkeypatch.setattr(G, "FEW", 32)
+    monkeypatch.setattr(G, "_covered_by_index", None)
+    assert found() == want and len(want) > 5 and r.count() == 25
