@@ -65,3 +65,19 @@ def test_pairs_above_a_cosine_are_those_of_all_pairs(spark):
     got = {(r.query_id, r.doc_id): r.cosine for r in Q.tfidf_scores(q, d, above=0.3123).collect()}
     assert 0 < len(got) < len(every) and set(got) == {k for k, c in every.items() if c > 0.3123}
     assert all(abs(got[k] - every[k]) < 1e-12 for k in got)
+
+
+def test_records_of_one_kind_are_judged_once(spark):
+    m = "struct<criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>"
+    sch = f"cve_id string, status string, configurations array<struct<operator:string,negate:boolean,nodes:array<struct<operator:string,negate:boolean,cpeMatch:array<{m}>>>>>"
+    one = spark.createDataFrame([(str(i), "Analyzed", [("OR", i == 3, [("OR", False, [("cpe:2.3:o:acme:os:*:*", *b)])])]) for i, b in enumerate(
+        [(None, None, None, "10.0"), ("10.0", None, None, None), (None, None, "10.0", None), (None, None, None, "10.0")])], sch)
+    c = cut_lineage(spark.range(6000).join(one, F.col("id") % 4 == F.col("cve_id").cast("int")).select(F.concat(F.lit("V-"), F.col("id").cast("string")).alias("cve_id"), "status", "configurations"))
+    d = cut_lineage(spark.range(60).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("device_id"), F.concat((F.col("id") % 20).cast("string"), F.lit(".0")).alias("version"),
+                                           F.lit(None).cast("string").alias("model"), F.lit("o").alias("part"), F.lit("acme").alias("vendor"), F.lit("os").alias("product")))
+    v, k = F.regexp_extract("version", r"^\d+", 0).cast("int"), F.substring("cve_id", 3, 9).cast("int") % 4
+    right = F.when(k == 0, v < 10).when(k == 1, v >= 10).when(k == 2, v <= 10).otherwise(v >= 10)
+    got = E.match_cve(d, c).agg(F.count(F.lit(1)).alias("n"), F.count_if(right & F.col("affected")).alias("ok"), F.sum(F.xxhash64("cve_id", "device_id").cast("decimal(38,0)")).alias("h")).first()
+    want = d.crossJoin(c.select("cve_id")).where(right).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cve_id", "device_id").cast("decimal(38,0)")).alias("h")).first()
+    assert got.n == got.ok == want.n and got.h == want.h
+    assert E._class_verdicts(d, c, E._record_classes(c)).count() <= 4 * 20  # four kinds of records, twenty releases
