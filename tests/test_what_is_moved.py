@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from fenceline.operators import controls as C, extended as E, jsonpath as J, retrieval as Q
+from fenceline.operators import controls as C, extended as E, jsonpath as J, policy as G, retrieval as Q
 from fenceline.session import checkpoint_dir, cut_lineage
 
 
@@ -81,3 +81,15 @@ def test_records_of_one_kind_are_judged_once(spark):
     want = d.crossJoin(c.select("cve_id")).where(right).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cve_id", "device_id").cast("decimal(38,0)")).alias("h")).first()
     assert got.n == got.ok == want.n and got.h == want.h
     assert E._class_verdicts(d, c, E._record_classes(c)).count() <= 4 * 20  # four kinds of records, twenty releases
+
+
+def test_literals_are_resolved_within_their_rule(spark):
+    lit = lambda i: F.concat(F.lit(f"10.{i}."), (F.col("id") % 250).cast("string"), F.lit(".0/24"))
+    rules = cut_lineage(spark.range(3000).select((F.col("id") % 500).cast("string").alias("device_id"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"),
+                                                 F.array(lit(0), lit(1)).alias("source"), F.array(F.lit("any"), F.lit("WEB")).alias("destination"), F.array(F.lit("tcp/22"), F.lit("GONE")).alias("services")))
+    objects = spark.createDataFrame([("7", "WEB", "address", ["10.9.9.0/24"], {})], "device_id string, name string, kind string, values array<string>, attrs map<string,string>")
+    res = cut_lineage(G.resolve_objects(objects, spark.createDataFrame([], "device_id string, parent string, child string, ordinal bigint")))
+    before = shuffle_written(spark)
+    got = G.resolve_rules(rules, res).select("device_id", F.size("src").alias("s"), F.array_join("dst", ",").alias("d"), F.array_join("dst_bad", ",").alias("b"), F.array_join("svc_bad", ",").alias("v")).collect()
+    assert shuffle_written(spark) - before < 20_000
+    assert len(got) == 3000 and all((r.s, r.v) == (2, "GONE") and (r.d, r.b) == (("0.0.0.0/0,10.9.9.0/24", "") if r.device_id == "7" else ("0.0.0.0/0", "WEB")) for r in got)
