@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.compare import PREPARED, as_items, compare, is_member, judge, prepare, same_value
 from ..session import cut_lineage
 from ..types import (ALLOW_WORDS, DECIDED, RESULT_STATES, SEVERITY_WEIGHT, TVAL, TVAL_DDL, WORST_RANK, bounded, small_side, lookup,
-                     tval_py)
+                     dealt, tval_py)
 
 MAX_CONTROLS = 5000
+# Observations that one task sorts and folds.
+OBSERVATIONS_A_TASK = 200000
 
 REQUIRE = T.StructType([
     T.StructField("field", T.StringType()), T.StructField("equals", TVAL),
@@ -123,7 +125,7 @@ def evaluate(devices: DataFrame, controls: DataFrame, observations: DataFrame,
     devices(device_id, platform), observations(device_id, field, scope, ordinal, state, value, confidence,
     evidence), na_fields(platform, field, reason), na_domains(platform, domain, reason).
     """
-    obs = latest(read_observations(observations, controls))
+    obs = latest(dealt(read_observations(observations, controls), OBSERVATIONS_A_TASK, "device_id", "field", "scope"))
     plain = (obs.where("scope is null").groupBy("device_id")
              .agg(F.map_from_entries(F.collect_list(F.struct(
                  "field", F.struct("state", "value", "confidence", "evidence")))).alias("m")))

@@ -93,3 +93,14 @@ def test_literals_are_resolved_within_their_rule(spark):
     got = G.resolve_rules(rules, res).select("device_id", F.size("src").alias("s"), F.array_join("dst", ",").alias("d"), F.array_join("dst_bad", ",").alias("b"), F.array_join("svc_bad", ",").alias("v")).collect()
     assert shuffle_written(spark) - before < 20_000
     assert len(got) == 3000 and all((r.s, r.v) == (2, "GONE") and (r.d, r.b) == (("0.0.0.0/0,10.9.9.0/24", "") if r.device_id == "7" else ("0.0.0.0/0", "WEB")) for r in got)
+
+
+def test_observations_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(C, "OBSERVATIONS_A_TASK", 50, raising=False)
+    ctl = C.controls_df(spark, [{"id": "A", "field": "x", "operator": "equals", "expected": 1, "severity": "low"}])
+    value = "cast(null as struct<kind:string,b:boolean,n:double,s:string,l:array<string>>)"
+    obs = spark.range(1000).selectExpr("cast(id as string) as device_id", "'x' as field", "cast(null as string) as scope", "id as ordinal", "'NOT_OBSERVED' as state", f"{value} as value", "1.0D as confidence",
+                                       "cast(null as array<struct<file:string,line:int,raw:string,record_id:string>>) as evidence")
+    devices = spark.range(1000).selectExpr("cast(id as string) as device_id", "'P' as platform")
+    f = C.evaluate(devices, ctl, obs)
+    assert f.count() == 1000 and "REPARTITION_BY_NUM" in f._jdf.queryExecution().toString() and ", 20), REPARTITION_BY_NUM" in f._jdf.queryExecution().toString()
