@@ -104,3 +104,9 @@ def test_observations_are_dealt_by_their_number(spark, monkeypatch):
     devices = spark.range(1000).selectExpr("cast(id as string) as device_id", "'P' as platform")
     f = C.evaluate(devices, ctl, obs)
     assert f.count() == 1000 and "REPARTITION_BY_NUM" in f._jdf.queryExecution().toString() and ", 20), REPARTITION_BY_NUM" in f._jdf.queryExecution().toString()
+
+
+def test_na_justified_evaluates_once(spark):
+    from fenceline.plans.q_controls import na_justified
+    plan = na_justified(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "c_custkey" not in plan  # both sides read the findings that were written
