@@ -110,3 +110,25 @@ def test_na_justified_evaluates_once(spark):
     from fenceline.plans.q_controls import na_justified
     plan = na_justified(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan and "c_custkey" not in plan  # both sides read the findings that were written
+
+
+def first_join(df) -> str:
+    return next(line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_a_large_table_between_steps_is_not_broadcast_for_its_small_files(spark):
+    n = 60001
+    left = spark.range(10 ** 8).select(F.col("id").cast("string").alias("k"), F.lit("a").alias("x"))
+    rows = lambda m: cut_lineage(spark.range(m).select(F.col("id").cast("string").alias("k"), F.lit("much the same " * 20).alias("text")))
+    assert "BroadcastHashJoin" not in first_join(left.join(rows(n), "k"))
+    assert "BroadcastHashJoin" in first_join(left.join(rows(100), "k"))
+
+
+def test_policies_of_many_devices_are_not_broadcast_to_their_questions(spark):
+    few, many = (spark.range(n).select(F.col("id").cast("string").alias("device_id"), F.lit("deny").alias("default_action"), F.lit(True).alias("default_action_observed"), F.lit(False).alias("unordered")) for n in (50, 60001))
+    none = F.array().cast("array<string>")
+    rules = few.select("device_id", F.lit("r1").alias("id"), F.lit("all").alias("name"), F.lit(1).alias("ord"), F.lit(True).alias("enabled"), F.lit("allow").alias("action"), F.array(F.lit("0.0.0.0/0")).alias("src"), F.array(F.lit("0.0.0.0/0")).alias("dst"),
+                       F.array(F.lit("tcp/1-100")).alias("svc"), *[none.alias(c) for c in ("src_bad", "dst_bad", "svc_bad", "source_zones", "destination_zones")], F.lit(None).cast("string").alias("program"))
+    a = G.reach(G.standard_queries(few), rules, many)
+    assert "SortMergeJoin" in first_join(a)
+    assert {(r.port, r.permitted) for r in a.collect()} == {(p, p <= 100) for p in G.STANDARD_PORTS}
