@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import logs as LG
 from ..session import checkpoint_dir
 from ..sources import files as S
+from ..types import spread
 from . import views as V
 from .registry import query
 
@@ -22,11 +23,13 @@ def read_config_files(spark, sf):
     base = _folder(spark, "configs")
     s = V.table(spark, sf, "supplier")
     k = F.col("s_suppkey").cast("string")
-    s.select("s_suppkey", F.concat(F.lit("hostname s"), k, F.lit("\n! nation "), F.col("s_nationkey").cast("string"), F.lit("\n line "), F.col("s_name")).alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(base)
-    # the folders are named by a pattern, so that they are listed by tasks; each file is read once
-    files = S.read_config_files(spark, f"{base}/*")
-    n = S.explode_lines(files).groupBy("device_id", "path", "sha256", "error").agg(F.count(F.lit(1)).alias("lines"))
-    return n.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("k"), "sha256", "lines", "error")
+    text = s.select("s_suppkey", F.concat(F.lit("hostname s"), k, F.lit("\n! nation "), F.col("s_nationkey").cast("string"), F.lit("\n line "), F.col("s_name")).alias("value"))
+    # one folder holds all files: a folder for each would be made, moved and listed for each; many tasks write, and each moves its own files
+    spread(text, "s_suppkey").select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(base)
+    files = S.read_config_files(spark, base)
+    own = F.max(F.regexp_extract("text", r"^hostname s(\d+)$", 1)).cast("bigint")
+    n = S.explode_lines(files).groupBy("device_id", "path", "sha256", "error").agg(own.alias("k"), F.count(F.lit(1)).alias("lines"))
+    return n.select("k", "sha256", "lines", "error")
 
 
 @query("read_logs", "WITH " + V.duck_cte("px_log_lines") + " SELECT CASE WHEN event_id % 10 = 8 THEN 'deny' ELSE event_type END AS action, count(*) AS n FROM px_log_lines WHERE event_id % 10 <> 9 GROUP BY 1")

@@ -171,3 +171,16 @@ def test_sinks_round_trip(spark, tmp_path):
     (tmp_path / "c" / "b.cfg").write_bytes(b"\xff\xfe bad")
     got = {r.name: r.error for r in S.read_config_files(spark, str(tmp_path / "c")).collect()}
     assert got["a.cfg"] is None and got["b.cfg"] is not None
+
+
+def test_configurations_of_many_suppliers_lie_in_one_folder(spark, tmp_path):
+    import os
+    from fenceline.plans import q_files
+    from fenceline.session import checkpoint_dir
+    spark.createDataFrame([(i, f"Supplier {i}", i % 5) for i in range(40)], "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    top = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    got = q_files.read_config_files(spark, str(tmp_path)).collect()
+    assert sorted(r.k for r in got) == list(range(40)) and {(r.lines, r.error) for r in got} == {(2, None)}
+    made = [f"{top}/{x}" for x in set(os.listdir(top)) - before]
+    assert sum(len(ds) for m in made for _, ds, _ in os.walk(m)) <= 2 and sum(f.endswith(".txt") for m in made for _, _, fs in os.walk(m) for f in fs) == 40
