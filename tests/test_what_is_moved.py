@@ -132,3 +132,29 @@ def test_policies_of_many_devices_are_not_broadcast_to_their_questions(spark):
     a = G.reach(G.standard_queries(few), rules, many)
     assert "SortMergeJoin" in first_join(a)
     assert {(r.port, r.permitted) for r in a.collect()} == {(p, p <= 100) for p in G.STANDARD_PORTS}
+
+
+def test_what_is_known_of_devices_is_not_broadcast_to_them(spark):
+    ctl = C.controls_df(spark, [{"id": "A", "field": "x", "operator": "equals", "expected": True, "severity": "low"}])
+    d = spark.range(500).select(F.col("id").cast("string").alias("device_id"), F.lit("p").alias("platform"))
+    tv = F.struct(F.lit("bool").alias("kind"), (F.col("device_id") % 2 == 0).alias("b"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("array<string>").alias("l"))
+    none = F.array().cast("array<struct<file:string,line:int,raw:string,record_id:string>>")
+    obs = cut_lineage(d.select("device_id", F.lit("x").alias("field"), F.lit(None).cast("string").alias("scope"), F.lit(0).cast("long").alias("ordinal"), F.lit("OBSERVED").alias("state"), tv.alias("value"), F.lit(1.0).alias("confidence"), none.alias("evidence")))
+    f = C.evaluate(d, ctl, obs)
+    joins = [line for line in f._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "device_id" in line]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert {r.state: r["count"] for r in f.groupBy("state").count().collect()} == {"PASS": 250, "FAIL": 250}
+
+
+def test_exposure_facts_come_out_of_one_pass_over_the_rules(spark):
+    none = F.array().cast("array<string>")
+    rules = spark.createDataFrame([("a", "r1", "z1", "tcp/22", ""), ("a", "r2", "z2", "tcp/22", ""), ("b", "r1", "z1", "tcp/22", "GONE"), ("c", "r1", "z1", "any", "")], "device_id string, id string, z string, s string, g string").select(
+        "device_id", "id", F.col("id").alias("name"), F.lit(True).alias("enabled"), F.lit("allow").alias("action"), F.array(F.lit("0.0.0.0/0")).alias("src"), F.array(F.lit("0.0.0.0/0")).alias("dst"), F.array("s").alias("svc"), F.array("s").alias("services"),
+        none.alias("src_bad"), none.alias("dst_bad"), F.when(F.col("g") == "", none).otherwise(F.array("g")).alias("svc_bad"), F.array("z").alias("source_zones"))
+    policies = spark.createDataFrame([(d, ["z1"]) for d in "abcd"], "device_id string, untrusted_zones array<string>")
+    o = G.exposure_observations(rules, policies)
+    assert o._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + o._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") <= 3
+    got = {(r.device_id, r.field.split(".")[1]): (r.state, r.value and r.value.l) for r in o.collect()}
+    admin, every = {d: got[d, "admin_ports_open_to_internet"] for d in "abcd"}, {d: got[d, "any_any_rules"] for d in "abcd"}
+    assert admin == {"a": ("OBSERVED", ["r1:22"]), "b": ("UNPARSED", None), "c": ("OBSERVED", ["r1:22/23/80/161/443/3389/5900"]), "d": ("DEFAULT_ASSUMED", [])}
+    assert every == {"a": ("DEFAULT_ASSUMED", []), "b": ("UNPARSED", None), "c": ("OBSERVED", ["r1"]), "d": ("DEFAULT_ASSUMED", [])}
